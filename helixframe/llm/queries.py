@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_url_filter", "q_packing", "q_vector_search")
+MODULES = ("q_line_dedup", "q_decontaminate", "q_url_filter", "q_toxicity", "q_vector_search", "q_warc_audit", "q_packing", "q_html_extract")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -107,8 +107,9 @@ def hwe_chisq(df: DataFrame, aa: str, ab: str, bb: str, out: str = "hwe_chisq")
 
 
 def fisher_combine(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:
-    """-2 sum ln p and its degrees of freedom per group."""
-    return df.where(F.col(p).isNotNull()).groupBy(*by).agg((-2 * F.sum(F.log(p))).alias("fisher_chisq"), (2 * F.count(p)).alias("df"))
+    """-2 sum ln p (infinite from a p of 0 on) and its degrees of freedom per group; null p are ignored."""
+    ln = F.when(F.col(p) > 0, F.log(p)).otherwise(F.lit(float("-inf")))
+    return df.where(F.col(p).isNotNull()).groupBy(*by).agg((-2 * F.sum(ln)).alias("fisher_chisq"), (2 * F.count(p)).alias("df"))
 
 
 def ivw_meta(df: DataFrame, by: Sequence[str], beta: str, se: str) -> DataFrame:

@@ -65,7 +65,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
 
     A file is the unit of work: large runs come as many lane or shard files.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = F.split(F.regexp_replace("value", "\r", ""), "\n")
     n = F.floor(F.size(rows) / 4).cast("int")
     record = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(rows, 4 * i + 1, 4))).alias("r")

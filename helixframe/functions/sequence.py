@@ -59,7 +59,7 @@ def p_distance(a: Column, b: Column) -> Column:
 def jukes_cantor(p: Column) -> Column:
     """-3/4 ln(1 - 4p/3); 0 where that is undefined."""
     inside = 1 - p * 4 / 3
-    return F.when(inside > 0, -0.75 * F.log(inside)).otherwise(0.0)
+    return F.when(inside > 0, 0.0 - 0.75 * F.log(inside)).otherwise(0.0)
 
 
 def is_transition(a: Column, b: Column) -> Column:

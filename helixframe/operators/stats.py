@@ -173,12 +173,12 @@ def manhattan(df: DataFrame, chromosome: str, pos: str) -> DataFrame:
 
 
 def gsea(df: DataFrame, by: Sequence[str], order: str, weight: str, member: Column) -> DataFrame:
-    """Running-sum enrichment score per group: weighted hits up, misses down; the extreme deviation and whether it is positive."""
+    """Running-sum enrichment score per group: weighted hits up, misses down; the extreme deviation; null where all or none are members."""
     w = Window.partitionBy(*by).orderBy(F.col(weight).desc(), order).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
     hit = F.when(member, F.abs(weight)).otherwise(0.0)
     miss = F.when(member, 0.0).otherwise(1.0)
-    run = df.select(*by, (F.sum(hit).over(w) / F.sum(hit).over(every) - F.sum(miss).over(w) / F.sum(miss).over(every)).alias("_s"))
+    run = df.select(*by, (F.try_divide(F.sum(hit).over(w), F.sum(hit).over(every)) - F.try_divide(F.sum(miss).over(w), F.sum(miss).over(every))).alias("_s"))
     got = run.groupBy(*by).agg(F.max("_s").alias("_hi"), F.min("_s").alias("_lo"))
     return got.select(*by, F.when(F.col("_hi") >= -F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("es"))
 

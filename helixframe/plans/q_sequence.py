@@ -108,7 +108,7 @@ ORACLES = {
     "kmer_similarity": f"WITH k AS (SELECT DISTINCT doc_id, kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 2), lambda i: seq[i:i + 3])) AS kmer FROM ({_DNA}) WHERE doc_id < 40)) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.doc_id < b.doc_id GROUP BY 1, 2",
     "edit_distance_pairs": _PAIR + " SELECT a, b, levenshtein(x, y) AS edits FROM p",
     "hamming_pairs": _PAIR + f" SELECT a, b, {_HAM} AS mismatches FROM p",
-    "p_distance_pairs": _PAIR + f", q AS (SELECT a, b, CASE WHEN least(length(x), length(y)) > 0 THEN {_HAM} / CAST(least(length(x), length(y)) AS DOUBLE) ELSE 0.0 END AS p FROM p) SELECT a, b, round(p, 6) AS p, round(CASE WHEN 1 - p * 4 / 3 > 0 THEN -0.75 * ln(1 - p * 4 / 3) ELSE 0.0 END, 6) AS jc69 FROM q",
+    "p_distance_pairs": _PAIR + f", q AS (SELECT a, b, CASE WHEN least(length(x), length(y)) > 0 THEN {_HAM} / CAST(least(length(x), length(y)) AS DOUBLE) ELSE 0.0 END AS p FROM p) SELECT a, b, round(p, 6) AS p, round(CASE WHEN 1 - p * 4 / 3 > 0 THEN 0.0 - 0.75 * ln(1 - p * 4 / 3) ELSE 0.0 END, 6) AS jc69 FROM q",
     "letter_coverage": _POS + " SELECT lang, pos, letter, count(*) AS n FROM l GROUP BY ALL",
     "consensus": _POS + ", c AS (SELECT lang, pos, letter, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT lang, pos, letter FROM c QUALIFY row_number() OVER (PARTITION BY lang, pos ORDER BY n DESC, letter) = 1) SELECT lang, string_agg(letter, '' ORDER BY pos) AS consensus FROM b GROUP BY 1",
     "masked_columns": f"SELECT doc_id, 'N' || seq[2:3] || 'N' || seq[5:9] || 'N' || substr(seq, 11) AS masked, seq[2:3] || seq[5:9] || substr(seq, 11) AS rest, seq[1] || seq[4] || seq[10] AS taken FROM ({_DNA}) WHERE length(seq) > 10",

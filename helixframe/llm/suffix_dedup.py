@@ -59,10 +59,10 @@ def anchors(texts: list[bytes], window: int, gram: int = GRAM) -> list[np.ndarra
     if len(whole) < gram:
         return [np.zeros(0, np.int64) for _ in texts]
     h = whole.astype(np.uint64) + np.uint64(1)
-    power, k = _P, 1
+    power, k = int(_P), 1
     while k < gram:  # gram is a power of two: hashes of twice the bytes from two neighbours
-        h = h[:-k] * power + h[k:]
-        power = power * power
+        h = h[:-k] * np.uint64(power) + h[k:]
+        power = power * power % 2**64
         k *= 2
     h = np.minimum(_mix(h), _TOP - np.uint64(1))
     for e in ends[:-1]:
@@ -163,7 +163,7 @@ def shared_strings(left: list[bytes], right: list[bytes], group: list[int], leng
             continue
         run = np.concatenate([[0], np.cumsum(common_ < length - d)])  # equal for rows whose prefixes of length - d agree
         at = np.flatnonzero(whole)
-        both = _mix(key[at] ^ _mix(run[at].astype(np.uint64) + np.uint64(1)))
+        both = _mix(_mix(key[at]) * _P + run[at].astype(np.uint64))  # not symmetric: small keys and run numbers look alike
         _, back, many = np.unique(both, return_inverse=True, return_counts=True)
         hit[d, at] = many[back] > 1
     out = []

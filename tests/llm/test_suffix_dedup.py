@@ -61,6 +61,32 @@ def test_against_brute_force(spark, monkeypatch, seed, shard, kinds):
     assert sum(bool(w[1]) for w in want.values()) > 50
 
 
+def test_shards_against_brute_force():
+    r = random.Random(6)
+    length, window = 40, 20
+    left, right, group = [], [], []
+    for g in range(400):
+        base = bytes(r.randrange(60) for _ in range(window - 1 + length))
+        for _ in range(r.randint(2, 4)):
+            row = bytearray(base)
+            for _ in range(r.randint(0, 2)):
+                row[r.randrange(len(row))] = r.randrange(60)
+            a, b = r.choice([0, 0, 5]), len(row) - r.choice([0, 0, 7])
+            left.append(bytes(row[a : window - 1]))
+            right.append(bytes(row[window - 1 : b]))
+            group.append(g)
+    want = set()
+    for i in range(len(group)):
+        for j in range(len(group)):
+            if i != j and group[i] == group[j]:
+                for d in range(min(window, len(left[i]) + 1, len(left[j]) + 1)):
+                    n = length - d
+                    if len(right[i]) >= n and len(right[j]) >= n and left[i][len(left[i]) - d :] == left[j][len(left[j]) - d :] and right[i][:n] == right[j][:n]:
+                        want.add((i, d))
+    got = {(i, d) for i, a, b in S.shared_strings(left, right, group, length, window) for d in range(a, b + 1)}
+    assert got == want and len(want) > 500
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(1, "q" * 400), (1, "q" * 400), (None, None)], "doc_id long, text string")

@@ -9,8 +9,10 @@ global sort and take the planned slot of that rank.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,21 +31,33 @@ PLAIN = re.compile("[\\n\\r\\t\x20-~À-ÖØ-öø-ÿ]*")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+def byte_tokens(path: str) -> dict[bytes, int]:
+    """Token bytes to ids of a byte-level BPE file. Printable bytes stand for themselves there, the others for the characters from 256 on."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if all(c in of for c in token)}
+
+
 class _Words(dict):
-    """Token ids of a word as bytes, remembered; a full memory starts anew."""
+    """Token ids of a word as bytes, remembered; a full memory starts anew. New words are merged by the file's own ranks, which are its ids."""
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
 
-    def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.merge = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=byte_tokens(path), special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = pa.array(self.tokenizer.encode(word, add_special_tokens=False).ids, pa.uint32())
-        self[word] = data = memoryview(found.buffers()[1])[: 4 * len(found)].tobytes() if len(found) else b""
+        ids = self.merge(word)
+        self[word] = data = _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
         return data
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _LOADED: dict[str, tuple] = {}
 
 
@@ -54,7 +68,7 @@ def _tokenizer(path: str) -> tuple:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         found = Tokenizer.from_file(path)
         special = [t.content for t in found.get_added_tokens_decoder().values()]
-        _LOADED[path] = found, _Words(found), special
+        _LOADED[path] = found, _Words(path), special
     return _LOADED[path]
 
 

@@ -9,8 +9,8 @@ from helixframe.sources.tables import table
 from . import toxicity
 
 CATEGORIES = ("quality", "toxic")
-#: Chosen on held-out labels: no clean document above it, 99.7 % of the toxic ones.
-THRESHOLD = 0.3
+#: Chosen on 6,000 held-out labels: every clean document scores below 0.07, every toxic one above 0.16.
+THRESHOLD = 0.1
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

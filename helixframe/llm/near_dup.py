@@ -16,6 +16,7 @@ links are confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from . import common
 from .components import components
 
 WORDS = 5
-#: Coordinates of a sketch, rows of a band, bands. At similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**28 = 8e-8.
-SIZE, ROWS, BANDS = 512, 5, 28
+#: Coordinates of a sketch, rows of a band, and the chance that a pair at the threshold shares no band.
+SIZE, ROWS, MISS = 512, 5, 1e-7
 #: Classes in a block of a bucket; standard deviations below the expected agreement at which a pair is left out (2e-7 of links).
 BLOCK, SIGMAS = 512, 5.2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -96,7 +97,7 @@ def sketches(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     for i in range(2 * size):
         if not len(every):
             break
-        v = _mix(every + np.uint64(i + 1) * _P)
+        v = _mix(every + np.uint64((i + 1) * int(_P) % 2**64))
         at = (v >> np.uint64(32)) * np.uint64(size) >> np.uint64(32) if i < size else np.full(len(v), i - size, np.uint64)
         value = (np.uint64(i) << np.uint64(48)) | (_mix(v) >> np.uint64(16))
         np.minimum.at(flat, which * size + at.astype(np.int64), value)
@@ -107,7 +108,12 @@ def sketches(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     return _mix(out)
 
 
-def band_keys(sketch: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+def bands_for(similarity: float) -> int:
+    """Bands enough for MISS at a similarity; as many as the sketch has at most."""
+    return min(SIZE // ROWS, math.ceil(math.log(MISS) / math.log(1 - similarity**ROWS))) if similarity < 1 else 1
+
+
+def band_keys(sketch: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     part = sketch[:, : rows * bands].reshape(len(sketch), bands, rows)
     keys = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.ones((len(sketch), 1), np.uint64)
     for r in range(rows):
@@ -118,15 +124,18 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.nd
 _SKETCHED = T.StructType([T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
 
-@arrow_udf(_SKETCHED)
-def _sketched(texts: pa.Array) -> pa.Array:
-    """Set size, band keys and the sketch by one byte a coordinate; no bands for an empty set."""
-    sets = [shingle_hashes(t.as_py()) for t in texts]
-    s = sketches(sets)
-    keys = band_keys(s) if len(s) else s
-    short = (s & np.uint64(255)).astype(np.uint8)
-    kind = pa.struct([("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-    return pa.array([{"n": len(x), "bands": k if len(x) else [], "sketch": b.tobytes() if len(x) else b""} for x, k, b in zip(sets, keys, short)], kind)
+def _sketcher(bands: int):
+    @arrow_udf(_SKETCHED)
+    def sketched(texts: pa.Array) -> pa.Array:
+        """Set size, band keys and the sketch by one byte a coordinate; no bands for an empty set."""
+        sets = [shingle_hashes(t.as_py()) for t in texts]
+        s = sketches(sets)
+        keys = band_keys(s, bands) if len(s) else s
+        short = (s & np.uint64(255)).astype(np.uint8)
+        kind = pa.struct([("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+        return pa.array([{"n": len(x), "bands": k if len(x) else [], "sketch": b.tobytes() if len(x) else b""} for x, k, b in zip(sets, keys, short)], kind)
+
+    return sketched
 
 
 def _verifier(percent: int):
@@ -161,9 +170,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(least: float):
-    """Within each (band, i, j) group of rows, the pairs of different roots, one from block i and one from block j, whose sketches agree enough."""
+    """Within each (band, i, j) group of rows, the pairs of different roots, one from block i and one from block j, whose sketches agree enough.
+
+    A pair is reported by the first band that it shares alone.
+    """
 
-    def pairs_of(rows: list[tuple], i: int, j: int) -> tuple[list, list]:
+    def pairs_of(rows: list[tuple], band: int, i: int, j: int) -> tuple[list, list]:
         left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
         if not left or not right:
             return [], []
@@ -171,6 +183,7 @@ def _cross_pairs(least: float):
         roots: dict[bytes, int] = {}
         ra, rb = (np.array([roots.setdefault(r[2], len(roots)) for r in side]) for side in (left, right))
         na, nb = (np.array([r[3] for r in side]) for side in (left, right))
+        ba, bb = (np.array([r[5] for r in side], np.int64) for side in (left, right))
         us, vs = [], []
         for k in range(len(left)):
             may = rb != ra[k]
@@ -179,6 +192,9 @@ def _cross_pairs(least: float):
             may &= np.minimum(nb, na[k]) * 100 >= np.maximum(nb, na[k]) * np.int64(round(100 * least[1]))
             at = np.flatnonzero(may)
             at = at[(b[at] == a[k]).sum(axis=1) >= least[0]] if len(at) else at
+            if len(at):
+                same = bb[at] == ba[k]
+                at = at[ba[k][same.argmax(axis=1)] == band]
             us += [left[k][1]] * len(at)
             vs += [right[x][1] for x in at]
         return us, vs
@@ -188,19 +204,19 @@ def _cross_pairs(least: float):
         us: list = []
         vs: list = []
         for batch in batches:
-            for band, i, j, block, key, root, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for band, i, j, block, key, root, n, sketch, bands in zip(*(c.to_pylist() for c in batch.columns)):
                 if (band, i, j) != group:
                     if len(rows) > 1:
-                        more = pairs_of(rows, group[1], group[2])
+                        more = pairs_of(rows, *group)
                         us += more[0]
                         vs += more[1]
                     group, rows = (band, i, j), []
-                rows.append((block, key, root, n, sketch))
+                rows.append((block, key, root, n, sketch, bands))
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(us, vs)], pa.binary()), pa.array([max(x) for x in zip(us, vs)], pa.binary())], ["u", "v"])
                 us, vs = [], []
         if len(rows) > 1:
-            us, vs = pairs_of(rows, group[1], group[2])
+            us, vs = pairs_of(rows, *group)
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(us, vs)], pa.binary()), pa.array([max(x) for x in zip(us, vs)], pa.binary())], ["u", "v"])
 
@@ -214,14 +230,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     5-word shingle sets; fewer words are one shingle, none (or a null text) give an empty set that is
     linked with nothing. component_id is the least id reachable, kept whether it is the row's own. Rows of one id are each
     kept or not by that id; a null id never leads a component with other
-    ids, and rows of null id alone have a null component and are kept only if
-    their set is empty or no other row shares their component. Other columns are ignored; no documents give no rows.
+    ids. A component of null ids alone is null, and the rows of its least key
+    are kept. Rows of an empty set are kept. Other columns are ignored; no documents give no rows.
     """
     spark = docs.sparkSession
     common.tune(spark)
     parts = common.partitions(spark)
     words = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), common.text_key(canonical(F.col(text_col))).alias("key"))
-    rows = words.select("doc_id", "key", _sketched("text").alias("s")).select("doc_id", "key", "s.n", "s.bands", "s.sketch")
+    rows = words.select("doc_id", "key", _sketcher(bands_for(percent / 100))("text").alias("s")).select("doc_id", "key", "s.n", "s.bands", "s.sketch")
     rows = common.materialize(rows, "sketches")
     classes = rows.where("n > 0").select("key", "n", "bands").dropDuplicates(["key"])
 
@@ -252,9 +268,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     rest = rooted.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    sketch = rows.where("n > 0").select("key", "sketch").dropDuplicates(["key"]).join(rest.select("key").distinct(), "key", "left_semi")
+    sketch = rows.where("n > 0").select("key", "sketch", "bands").dropDuplicates(["key"]).join(rest.select("key").distinct(), "key", "left_semi")
     rest = rest.join(sketch, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "n", "sketch")
+    rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "n", "sketch", "bands")
     share = percent / 100
     least = SIZE * share - SIGMAS * (SIZE * share * (1 - share)) ** 0.5
     rest = rest.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -271,8 +287,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = common.materialize(found.unionByName(lone), "components")
 
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = out.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("head"), F.count("*").alias("size"))
+    heads = out.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("head"))
     out = out.join(heads, "root", "left")
-    lone = (F.col("n_shingles") == 0) | (F.col("head").isNull() & (F.col("size") == 1))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("head"))
+    lone = (F.col("n_shingles") == 0) | (F.col("head").isNull() & (F.col("key") == F.col("root")))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, lone).alias("kept"))

@@ -95,3 +95,31 @@ def chromosome_number(name: Column) -> Column:
     """chr prefix dropped, X 23, Y 24, XY 25, M or MT 26; null for other names."""
     n = F.regexp_replace(name, "^chr", "")
     return F.when(n == "X", 23).when(n == "Y", 24).when(n == "XY", 25).when(n.isin("M", "MT"), 26).otherwise(n.try_cast("int"))
+
+
+def orient_to(seq: Column, reference: Column) -> Column:
+    """The sequence or its reverse complement, whichever has fewer edits to the reference (ties: as it is)."""
+    rc = reverse_complement(seq)
+    return F.when(F.levenshtein(rc, reference) < F.levenshtein(seq, reference), rc).otherwise(seq)
+
+
+def remove_primer(seq: Column, primer: str, most: int) -> Column:
+    """The sequence without a start within ``most`` edits of the primer."""
+    n = len(primer)
+    return F.when(F.levenshtein(F.substring(seq, 1, n), F.lit(primer)) <= most, seq.substr(F.lit(n + 1), F.length(seq))).otherwise(seq)
+
+
+def splice_gaps(start: Column, cigar: Column) -> Column:
+    """array<struct(start, end)> of the N runs of a CIGAR from a half-open start on."""
+    ops = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1)
+    size = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("long")
+    moves = lambda o: F.when(F.right(o, F.lit(1)).isin("M", "D", "N", "=", "X"), size(o)).otherwise(F.lit(0).cast("long"))
+    before = lambda i: F.aggregate(F.slice(ops, 1, i), F.lit(0).cast("long"), lambda n, o: n + moves(o))
+    rows = F.transform(ops, lambda o, i: F.struct((start + before(i)).alias("start"), (start + before(i) + moves(o)).alias("end"), F.right(o, F.lit(1)).alias("op")))
+    return F.transform(F.filter(rows, lambda r: r["op"] == "N"), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+
+
+def expand(code: Column) -> Column:
+    """Bases that one IUPAC letter stands for, as an array; null for other letters."""
+    table = F.create_map(*[F.lit(x) for k, v in IUPAC.items() for x in (k, v)])
+    return F.split(F.try_element_at(table, F.upper(code)), "")

@@ -283,3 +283,15 @@ def pca(df: DataFrame, row: str, values: Sequence[str], k: int) -> DataFrame:
     vector = vector * np.where(vector[np.abs(vector).argmax(axis=0), range(vector.shape[1])] < 0, -1, 1)
     scores = [sum(((c - F.lit(float(got[f"m{i}"]))) * F.lit(float(vector[i, n])) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"pc{n + 1}") for n in range(vector.shape[1])]
     return df.dropna(subset=list(values)).select(row, *scores)
+
+
+def global_test_statistic(df: DataFrame, by: Sequence[str], y: str, marker: str, x: str, weight: str | None = None) -> DataFrame:
+    """Sum over markers of weight * (sum of x times centred y) squared, over the residual variance, per group: two aggregations."""
+    d = df.dropna(subset=[y, x])
+    s = d.groupBy(*by, marker).agg((F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.avg(y)).alias("_u"), (F.var_pop(y)).alias("_v"), (F.max(weight) if weight else F.lit(1.0)).alias("_w"))
+    return s.groupBy(*by).agg((F.sum(F.col("_w") * F.col("_u") * F.col("_u")) / F.avg("_v")).alias("q"), F.count("*").alias("n_markers"))
+
+
+def permutation_p(seen: float, drawn: np.ndarray) -> float:
+    """Share of drawn statistics at or beyond the seen one, counting the seen one itself."""
+    return float((1 + (np.asarray(drawn) >= seen).sum()) / (1 + len(drawn)))

@@ -41,7 +41,7 @@ def set_overlap(df: DataFrame, name: str, item: str) -> DataFrame:
 
 def hash_uniform(key: Column, seed: int = 0) -> Column:
     """A pseudo-random number in [0, 1) from an integer key, the same in any engine."""
-    x = (key.cast("long") * F.lit(1103515245) + F.lit(12345 + seed)) % F.lit(2147483648)
+    x = (F.pmod(key.cast("long"), F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345 + seed)) % F.lit(2147483648)
     return x / F.lit(2147483648.0)
 
 
@@ -125,3 +125,15 @@ def representative_sets(df: DataFrame, name: str, item: str, most: float) -> Dat
     pairs = set_overlap(df, name, item).where(F.col("overlap") > most * F.least("size_a", "size_b"))
     drop = pairs.select(F.when((F.col("size_a") < F.col("size_b")), F.col("a")).otherwise(F.col("b")).alias(name)).distinct()
     return df.select(name).distinct().join(drop, name, "left_anti")
+
+
+def multinomial(df: DataFrame, name: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
+    """``draws`` independent draws by weight: (name, n), names drawn no time left out. Draws are hash numbers looked up in the cumulated weights."""
+    from helixframe.operators.joins import as_of
+
+    spark = df.sparkSession
+    w = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    total = df.agg(F.sum(weight).alias("_t"))
+    steps = df.where(F.col(weight) > 0).crossJoin(F.broadcast(total)).select(F.lit(1).alias("_g"), F.coalesce(F.sum(F.col(weight) / F.col("_t")).over(w), F.lit(0.0)).alias("x"), name)  # one row a category
+    u = spark.range(draws).select(F.lit(1).alias("_g"), hash_uniform(F.col("id") * 40503, seed).alias("x"))
+    return as_of(u, steps, ["_g"], "x", name, "_d").groupBy(F.col("_d").alias(name)).agg(F.count("*").alias("n"))

@@ -65,3 +65,21 @@ def hard_calls(probability: float, dosage: Column) -> Column:
     ref = F.greatest(F.lit(0.0), 1 - dosage)
     call = F.when(hom >= probability, 2).when(het >= probability, 1).when(ref >= probability, 0)
     return F.struct(hom.alias("hom"), het.alias("het"), ref.alias("ref"), call.alias("call"))
+
+
+def grm_text(df: DataFrame, path: str) -> None:
+    """Lower triangle lines: i, j, n, value."""
+    df.where("i >= j").select(F.concat_ws("\t", F.col("i").cast("string"), F.col("j").cast("string"), F.col("n").cast("string"), F.format_string("%.8g", F.col("value"))).alias("value")).write.text(path)
+
+
+def vcf_lines(df: DataFrame) -> DataFrame:
+    """Site rows (chr, pos, id, ref, alt, qual, filter, info map) as the eight leading columns; nulls as dots, INFO keys in order."""
+    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    return df.select(F.concat_ws("\t", "chr", F.col("pos").cast("string"), dot("id"), "ref", "alt", dot("qual"), dot("filter"), F.when(F.coalesce(F.size("info"), F.lit(0)) > 0, info).otherwise(".")).alias("value"))
+
+
+def association(df: DataFrame, path: str) -> None:
+    """Result rows under the header SNP CHR BP A1 BETA SE P; nulls as NA."""
+    names = {"snp": "SNP", "chr": "CHR", "bp": "BP", "a1": "A1", "beta": "BETA", "se": "SE", "p": "P"}
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(n) for c, n in names.items()]).write.option("header", True).option("sep", " ").csv(path)

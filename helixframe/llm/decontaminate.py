@@ -30,8 +30,6 @@ SHINGLE, LEAST, LEAST_WORDS = 5, 0.8, 0.6
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Test items of one index; more are searched index by index.
 ITEMS_AN_INDEX = 20_000
-#: Greatest length, in terms, that the passage length follows; longer items are looked for in passages of twice this length by their parts.
-LONGEST = 2048
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("overlap", T.DoubleType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType())]))
 
@@ -64,13 +62,13 @@ class Index:
         self.shingles = [shingles(c) for c in coded]
         self.sides = [tuple({self.vocabulary[w] for w in side} for side in question_answer(t)) for _, t in kept]
         longest = max(map(len, coded), default=1)
-        self.half = max(SHINGLE, min(longest, LONGEST))
+        self.half = max(SHINGLE, longest)
         df = Counter(t for c in coded for t in set(c))
         mean = sum(map(len, coded)) / max(1, len(coded))
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for n, c in enumerate(coded):
             weight = {t: math.log(1 + (len(coded) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(c) / mean)) for t, tf in Counter(c).items()}
-            least = self._least(weight, self.shingles[n]) if len(c) <= self.half else 0.0
+            least = self._least(weight, self.shingles[n])
             for t, w in weight.items():
                 postings[t].append((n, w / max(least, 1e-9)))
         size = len(self.vocabulary)

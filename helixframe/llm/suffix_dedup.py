@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     long_ = texts.where(F.octet_length("text") >= length)
     marks = common.materialize(long_.select(*ids, _anchored(length, window)("text").alias("a")).select(*ids, "a.pos", "a.g"), "anchors")
     every = marks.select(*ids, F.explode(F.arrays_zip("pos", "g")).alias("x")).select(*ids, F.col("x.pos").alias("pos"), F.col("x.g").alias("g"))
-    again = every.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g")
+    again = common.materialize(every.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g"), "repeated-keys")  # as a table, so that Spark can split a hot key's rows in the join
     wanted = every.join(again, "g", "left_semi").groupBy(*ids).agg(F.collect_list(F.struct("pos", "g")).alias("wanted"))
     seen = long_.join(wanted, ids).select(*ids, F.explode(_contexts(length, window)("text", "wanted")).alias("c")).select(*ids, "c.*")
     seen = common.materialize(seen, "contexts")

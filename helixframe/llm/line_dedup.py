@@ -79,6 +79,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     by_body = found.groupBy("h", "h2", "body").agg(first.alias("first"), F.count("*").alias("n"))
     by_hash = by_body.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies"))
     repeated = by_hash.where("n > 1 AND bodies = 1").select("h", "h2", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    repeated = common.materialize(repeated, "repeated-chunks")  # joined as a table, so that Spark can split a hot chunk's rows
     again = found.select("id", "key", "no", "lines", "h", "h2").join(repeated, ["h", "h2"])
     again = again.where(~((F.col("doc") == _place(F.col("id"), F.col("key"))) & (F.col("no") == F.col("first_no"))))
     # a document's own chunks: repeated rows give the same numbers, hence the set

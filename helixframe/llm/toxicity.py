@@ -112,15 +112,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qu
     """Fit a chain on at most MAX_ROWS labelled documents, the first in hash order of their id.
 
     Labels with a null id or category are left out, repeated ones of an id
-    count by their greatest values, labels without a document not at all; of repeated
-    documents all count. The MAX_WORDS words whose presence differs most between
+    count by their greatest values, labels without a document not at all; of documents
+    that share an id the least text counts. The MAX_WORDS words whose presence differs most between
     the classes of any category become features. Without labelled documents every probability is 0.5.
     """
     common.tune(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
     ys = [f"_y{i}" for i in range(len(categories))]
     known = known.dropna(subset=ys).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(MAX_ROWS)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").limit(2 * MAX_ROWS)  # MAX_ROWS ids at most
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")  # MAX_ROWS ids at most
+    rows = rows.groupBy("_id", "_h", *ys).agg(F.min("_text").alias("_text"))
     rows = common.materialize(rows.select("_id", "_h", *ys, _term_sets("_text").alias("_terms")), "labelled")
 
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()

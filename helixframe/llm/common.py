@@ -17,7 +17,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, since texts may be long; a tighter setting of the caller's stays."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         try:
             now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         except Exception as e:  # the setting is unknown to this version

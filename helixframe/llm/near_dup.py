@@ -36,18 +36,6 @@ SIZE, ROWS, MISS = 512, 5, 1e-7
 BLOCK, SIGMAS = 512, 5.2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_hashes(text: str | None) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, sorted."""
     w = words_of(text)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     if len(h) < WORDS:
         return _mix(np.array([sum((int(x) * 31 ** (i + 1) for i, x in enumerate(h)), len(h)) % 2**64], np.uint64)) if len(h) else h
     s = h[: len(h) - WORDS + 1].copy()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 #: Words whose token ids a worker remembers, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Texts of these characters only are cut into words by ``SPLIT``; all others go to the tokenizer whole.
 PLAIN = re.compile("[\\n\\r\\t\x20-~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's published word pattern, for texts of PLAIN's characters.

@@ -229,15 +229,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rows = common.materialize(rows, "sketches")
     classes = rows.where("n > 0").select("key", "n", "bands").dropDuplicates(["key"])
 
-    # buckets of two classes or more
+    # buckets of two classes or more. What buckets are joined to is a table of its own, so that Spark can split a hot bucket's rows
     members = classes.select(F.explode("bands").alias("band"), "key", "n")
-    shared = members.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    shared = common.materialize(members.groupBy("band").agg(F.count("*").alias("many")).where("many > 1"), "shared")
     members = common.materialize(members.join(shared, "band"), "buckets")
 
     # one verified link a class, to the most popular member that it shares most buckets with
     popular = members.groupBy("key").agg(F.sum("many").alias("fame"))
     ranked = members.select("band", "key", "n").join(popular, "key")
-    centre = ranked.groupBy("band").agg(F.max(F.struct("fame", "key", "n")).alias("c"))
+    centre = common.materialize(ranked.groupBy("band").agg(F.max(F.struct("fame", "key", "n")).alias("c")), "centres")
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     tried = members.select("band", "key", "n").join(centre, "band").where((F.col("key") != F.col("c.key")) & close(F.col("n"), F.col("c.n")))
     tried = tried.groupBy("key", F.col("c.key").alias("v")).agg(F.count("*").alias("bands"), F.max("c.fame").alias("fame"))
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # buckets that still hold several components: members of different ones, compared in blocks
     root = F.coalesce("root", "key").alias("root")
     rooted = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", "many", root)
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    mixed = common.materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixed")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     rest = rooted.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     sketch = rows.where("n > 0").select("key", "sketch", "bands").dropDuplicates(["key"]).join(rest.select("key").distinct(), "key", "left_semi")

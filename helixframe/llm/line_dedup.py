@@ -5,10 +5,15 @@ ends, so an inserted line moves only the boundaries next to it. Multi-line
 chunks that occur again are removed but for their first occurrence in the
 order of document id. Chunks are grouped by their very bytes: equal hashes
 alone remove nothing.
+
+``dedup_runs`` goes by lines instead of chunks: every run of MIN_LINES lines
+or more that came before is removed whole, wherever chunks would end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -95,8 +100,61 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document and fare alike. A null text stays null, a text of one line stays as it is, a text of
     which nothing is left becomes empty. Column order and other columns stay; an input column named ``removed_lines`` is replaced.
     """
-    gone = removals(docs, id_col, text_col).select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("removed").alias("_gone"), F.col("removed_lines").alias("_gone_lines"))
+    return _applied(docs, removals(docs, id_col, text_col), _without, id_col, text_col)
+
+
+def _applied(docs: DataFrame, removed: DataFrame, without: Callable[[Column, Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` joined to its removals, with texts cut by ``without``."""
+    gone = removed.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("removed").alias("_gone"), F.col("removed_lines").alias("_gone_lines"))
     rows = docs.withColumn("_key", F.xxhash64(text_col))
     rows = rows.join(gone, rows[id_col].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left")
-    changed = _without(F.col(text_col), F.col("_gone"))
+    changed = without(F.col(text_col), F.col("_gone"))
     return rows.withColumns({text_col: changed, "removed_lines": F.coalesce("_gone_lines", F.lit(0))}).drop("_key", "_gone_id", "_gone_key", "_gone", "_gone_lines")
+
+
+@arrow_udf(T.StringType())
+def _without_lines(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    """Each text without the lines of the given numbers."""
+    out = []
+    for t, r in zip(texts, removed):
+        text, gone = t.as_py(), set(r.as_py() or ())
+        if gone:
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, removed, removed_lines): per document (id and 64-bit text hash) that loses lines, their numbers.
+
+    A run of MIN_LINES lines or more came before just if each window of MIN_LINES lines in it did, at least as many lines
+    ahead where it is the same document; so windows stand for runs of all lengths.
+    """
+    common.tune(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("instr(text, '\\n') > 0")
+    lines = F.split("text", "\n", -1)
+    windows = F.slice(lines, 1, F.size(lines) - (MIN_LINES - 1))
+    for k in range(1, MIN_LINES):
+        windows = F.zip_with(windows, F.slice(lines, k + 1, F.size(lines) - (MIN_LINES - 1)), lambda a, b: F.concat(a, F.lit("\n"), b))
+    found = rows.select("id", "key", F.posexplode(windows).alias("no", "body")).select("id", "key", "no", F.xxhash64("body").alias("h"), F.xxhash64(F.lit(7), "body").alias("h2"), "body")
+    first = F.min(F.struct(_place(F.col("id"), F.col("key")).alias("doc"), F.col("no")))
+    # grouping by the body compares bytes, as in removals
+    by_body = found.groupBy("h", "h2", "body").agg(first.alias("first"), F.count("*").alias("n"))
+    by_hash = by_body.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies"))
+    repeated = by_hash.where("n > 1 AND bodies = 1").select("h", "h2", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    repeated = common.materialize(repeated, "repeated-windows")  # joined as a table, so that Spark can split a hot window's rows
+    again = found.select("id", "key", "no", "h", "h2").join(repeated, ["h", "h2"])
+    again = again.where(~((F.col("doc") == _place(F.col("id"), F.col("key"))) & (F.col("no") < F.col("first_no") + MIN_LINES)))
+    gone = again.groupBy("id", "key").agg(F.collect_set("no").alias("starts"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + MIN_LINES - 1))))
+    return gone.select("id", "key", covered.alias("removed")).withColumn("removed_lines", F.size("removed"))
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with text replaced by what is left and a column ``removed_lines`` (int), as in ``dedup_lines``.
+
+    A line goes if it lies in a run of MIN_LINES lines or more (blank ones count) of which an equal run comes before it: in an earlier
+    document of the same order, or in the same one, ending where this run begins or sooner. Runs are those of the texts as given, so
+    the first place of each line stays. Nulls, single lines, repeated rows and other columns fare as in ``dedup_lines``.
+    """
+    return _applied(docs, run_removals(docs, id_col, text_col), _without_lines, id_col, text_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
@@ -16,19 +18,26 @@ def dna(spark, d, column="seq"):
     return table(spark, d, "documents").select("doc_id", "lang", letters.alias(column))
 
 
+def dna_whole(spark, d, column="seq"):
+    """All letters a-z of the text as ACGT by code."""
+    letters = F.translate(F.regexp_replace("text", "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+    return table(spark, d, "documents").select("doc_id", "lang", letters.alias(column))
+
+
 _DNA = "SELECT doc_id, lang, translate(substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
+_DNA_WHOLE = _DNA.replace("substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 60)", "regexp_replace(text, '[^a-z]', '', 'g')")
 
 
-def revcomp(spark, d):
-    return dna(spark, d).select("doc_id", sequence.reverse_complement(F.col("seq")).alias("rc"))
+def revcomp(spark, d, letters=dna):
+    return letters(spark, d).select("doc_id", sequence.reverse_complement(F.col("seq")).alias("rc"))
 
 
-def translate_codons(spark, d):
-    return dna(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
+def translate_codons(spark, d, letters=dna):
+    return letters(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
 
 
-def kmer_counts(spark, d):
-    return dna(spark, d).select(F.explode(sequence.kmers(F.col("seq"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+def kmer_counts(spark, d, letters=dna):
+    return letters(spark, d).select(F.explode(sequence.kmers(F.col("seq"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def kmer_similarity(spark, d):
@@ -55,16 +64,16 @@ def p_distance_pairs(spark, d):
     return _pairs(spark, d).select("a", "b", F.round(p, 6).alias("p"), F.round(sequence.jukes_cantor(p), 6).alias("jc69"))
 
 
-def letter_coverage(spark, d):
-    return alignment.column_counts(dna(spark, d), ["lang"], "seq").select("lang", F.col("pos").cast("long").alias("pos"), "letter", "n")
+def letter_coverage(spark, d, letters=dna):
+    return alignment.column_counts(letters(spark, d), ["lang"], "seq").select("lang", F.col("pos").cast("long").alias("pos"), "letter", "n")
 
 
-def consensus(spark, d):
-    return alignment.consensus(dna(spark, d), ["lang"], "seq")
+def consensus(spark, d, letters=dna):
+    return alignment.consensus(letters(spark, d), ["lang"], "seq")
 
 
-def masked_columns(spark, d):
-    return dna(spark, d).where("length(seq) > 10").select("doc_id", alignment.mask_columns(F.col("seq"), [0, 3, 9]).alias("masked"), alignment.delete_columns(F.col("seq"), [0, 3, 9]).alias("rest"), alignment.extract_columns(F.col("seq"), [0, 3, 9]).alias("taken"))
+def masked_columns(spark, d, letters=dna):
+    return letters(spark, d).where("length(seq) > 10").select("doc_id", alignment.mask_columns(F.col("seq"), [0, 3, 9]).alias("masked"), alignment.delete_columns(F.col("seq"), [0, 3, 9]).alias("rest"), alignment.extract_columns(F.col("seq"), [0, 3, 9]).alias("taken"))
 
 
 def binary_indicators(spark, d):
@@ -72,8 +81,8 @@ def binary_indicators(spark, d):
     return got.select(F.col("pos").cast("long").alias("pos"), "letter", "doc_id")
 
 
-def concatenated(spark, d):
-    s = dna(spark, d)
+def concatenated(spark, d, letters=dna):
+    s = letters(spark, d)
     return alignment.concatenate([s.where("doc_id % 3 <> 0"), s.where("doc_id % 3 <> 1")], "doc_id", "seq")
 
 
@@ -89,14 +98,17 @@ def snp_classes(spark, d):
     return s.select("doc_id", sequence.is_snp(F.col("r"), F.col("a")).alias("snp"), sequence.is_transition(F.col("r"), F.col("a")).alias("transition"), sequence.is_transversion(F.col("r"), F.col("a")).alias("transversion"))
 
 
-def hypermutation(spark, d):
+def hypermutation(spark, d, letters=dna):
     """G followed by GG or GA contexts against the others, per document."""
-    s = dna(spark, d)
+    s = letters(spark, d)
     n = lambda p: F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - 1)), lambda i: F.col("seq").substr(i, F.lit(2))), lambda k: k.rlike(p))).cast("long")
     return s.select("doc_id", n("^G[GA]$").alias("context"), n("^G[CT]$").alias("control"))
 
 
 QUERIES = {f.__name__: f for f in (revcomp, translate_codons, kmer_counts, kmer_similarity, edit_distance_pairs, hamming_pairs, p_distance_pairs, letter_coverage, consensus, masked_columns, binary_indicators, concatenated, minimal_representation, snp_classes, hypermutation)}
+#: The same over whole texts; minimal_representation and snp_classes look at no letter after the ninth.
+WHOLE = (revcomp, translate_codons, kmer_counts, letter_coverage, consensus, masked_columns, concatenated, hypermutation)
+QUERIES |= {f"{f.__name__}_whole": partial(f, letters=dna_whole) for f in WHOLE}
 
 _PAIR = f"WITH s AS ({_DNA}), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.seq AS x, b.seq AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.doc_id < 30 AND b.doc_id < 30)"
 _HAM = "len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i]))"
@@ -120,3 +132,4 @@ ORACLES = {
     "snp_classes": f"WITH s AS (SELECT doc_id, seq[1] AS r, seq[2] AS a FROM ({_DNA}) WHERE length(seq) >= 2) SELECT doc_id, r <> a AS snp, r || a IN ('AG', 'GA', 'CT', 'TC') AS transition, r <> a AND r || a NOT IN ('AG', 'GA', 'CT', 'TC') AS transversion FROM s",
     "hypermutation": f"SELECT doc_id, len(list_filter(range(1, length(seq)), lambda i: seq[i:i + 1] IN ('GG', 'GA'))) AS context, len(list_filter(range(1, length(seq)), lambda i: seq[i:i + 1] IN ('GC', 'GT'))) AS control FROM ({_DNA})",
 }
+ORACLES |= {f"{f.__name__}_whole": ORACLES[f.__name__].replace(_DNA, _DNA_WHOLE) for f in WHOLE}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import frames, sets
 from helixframe.plans.q_genotype import _G as DOSAGES
-from helixframe.plans.q_genotype import dosages
+from helixframe.plans.q_genotype import dosages, dosages_whole, whole_sql
 from helixframe.plans.q_multitest import pseudo_p
 from helixframe.sources import sinks
 from helixframe.sources.tables import table
@@ -89,8 +91,8 @@ def regulated(spark, d):
     return frames.regulated(p, "p", "fold", 0.05, 1.0).select("o_orderkey", "side")
 
 
-def burden(spark, d):
-    return frames.burden(dosages(spark, d), "ind", "marker", "dosage").select("ind", F.round("burden", 4).alias("burden"))
+def burden(spark, d, genotypes=dosages):
+    return frames.burden(genotypes(spark, d), "ind", "marker", "dosage").select("ind", F.round("burden", 4).alias("burden"))
 
 
 def variant_density(spark, d):
@@ -133,3 +135,8 @@ ORACLES = {
     "significant_rows": f"SELECT o_orderkey FROM ({_P}) WHERE p <= 0.01",
     "order_violations": "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE o_totalprice < b",
 }
+
+#: From all line items.
+WHOLE = (burden,)
+QUERIES |= {f"{f.__name__}_whole": partial(f, genotypes=dosages_whole) for f in WHOLE}
+ORACLES |= {f"{f.__name__}_whole": whole_sql(ORACLES[f.__name__]) for f in WHOLE if f.__name__ in ORACLES}

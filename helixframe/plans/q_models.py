@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import counts, models, pruning, sets, tree
 from helixframe.plans.q_genotype import _G as DOSAGES
-from helixframe.plans.q_genotype import dosages
+from helixframe.plans.q_genotype import dosages, dosages_whole, whole_sql
 from helixframe.sources.tables import table
 
 
@@ -46,9 +48,9 @@ def score_test(spark, d):
     return models.score_test(_case(spark, d), ["l_linestatus"], "y", "l_quantity").select("l_linestatus", "n", F.round("score_chisq", 6).alias("score_chisq"))
 
 
-def marker_scan(spark, d):
+def marker_scan(spark, d, genotypes=dosages):
     """Single-marker association scan: a phenotype of the individual on each marker's dosage, all markers in one aggregation."""
-    rows = dosages(spark, d).withColumn("y", (F.col("ind") * 37 % 101) / 10.0)
+    rows = genotypes(spark, d).withColumn("y", (F.col("ind") * 37 % 101) / 10.0)
     return models.ols_simple(rows, ["marker"], "y", "dosage").select("marker", "n", *_r("slope", "slope_se", "r2"))
 
 
@@ -62,8 +64,8 @@ def principal_components(spark, d):
     return models.pca(li, "row", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
 
 
-def ld_prune(spark, d):
-    g = dosages(spark, d).groupBy("marker").agg(F.map_from_entries(F.collect_list(F.struct("ind", "dosage"))).alias("m"))  # 60 individuals
+def ld_prune(spark, d, genotypes=dosages):
+    g = genotypes(spark, d).groupBy("marker").agg(F.map_from_entries(F.collect_list(F.struct("ind", "dosage"))).alias("m"))  # 60 individuals
     row = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(float("nan"))))
     g = g.select((F.col("marker") % 2).alias("chr"), (F.col("marker") * 100).alias("pos"), "marker", row.alias("dosages"))
     return pruning.ld_prune(g, "chr", "pos", "marker", "dosages", 0.03, 1000)
@@ -136,3 +138,8 @@ ORACLES = {
       n AS (SELECT DISTINCT gene FROM f UNION SELECT unnest(['__alignment_not_unique', '__too_low_aQual', '__no_feature', '__ambiguous'])) SELECT n.gene, count(l.gene) AS n FROM n LEFT JOIN l USING (gene) GROUP BY 1""",
     "hierarchy_ancestors": "WITH e AS (SELECT 'n' || n_nationkey AS c, 'r' || n_regionkey AS p FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer) SELECT c AS node, p AS ancestor, 1 AS steps FROM e UNION ALL SELECT a.c, b.p, 2 FROM e a JOIN e b ON a.p = b.c",
 }
+
+#: From all line items.
+WHOLE = (marker_scan, ld_prune)
+QUERIES |= {f"{f.__name__}_whole": partial(f, genotypes=dosages_whole) for f in WHOLE}
+ORACLES |= {f"{f.__name__}_whole": whole_sql(ORACLES[f.__name__]) for f in WHOLE if f.__name__ in ORACLES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import intervals, sets
@@ -62,8 +64,8 @@ def interval_total_length(spark, d):
     return intervals.total_length(sessions(spark, d))
 
 
-def sliding_row_windows(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("chr"), "o_orderkey").where("o_orderkey % 4 = 0")
+def sliding_row_windows(spark, d, of="o_orderkey % 4 = 0"):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("chr"), "o_orderkey").where(of)
     return intervals.row_windows(o, "chr", "o_orderkey", 10, 5).groupBy("chr", F.col("win").cast("long").alias("win")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
@@ -103,3 +105,5 @@ ORACLES = {
     "sliding_coord_windows": f"WITH s AS ({_S})" + _COLLAPSE.format(n="c", gap=0, src="s") + " SELECT chr, x AS win_start, least(x + 3600, \"end\") AS win_end FROM (SELECT chr, \"end\", unnest(range(\"start\", \"end\", 1800)) AS x FROM c)",
     "span_grouping": "WITH e AS (SELECT event_id, user_id, CASE WHEN (event_type = 'click') <> lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM events) SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS span FROM e",
 }
+QUERIES["sliding_row_windows_whole"] = partial(sliding_row_windows, of="true")
+ORACLES["sliding_row_windows_whole"] = ORACLES["sliding_row_windows"].replace(" WHERE o_orderkey % 4 = 0", "")

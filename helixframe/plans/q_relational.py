@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import joins
@@ -45,9 +47,9 @@ def lag_asof(spark, d):
     return joins.as_of(left, right, ["user_id"], "t", "value", "last_click").select("event_id", F.round("last_click", 6).alias("last_click"))
 
 
-def insertion_interval(spark, d):
+def insertion_interval(spark, d, of="c_custkey % 10 = 0"):
     p = table(spark, d, "part").select(F.col("p_retailprice").alias("x"))
-    s = table(spark, d, "customer").where("c_acctbal > 0 AND c_custkey % 10 = 0").select("c_acctbal")
+    s = table(spark, d, "customer").where("c_acctbal > 0").where(of).select("c_acctbal")
     got = joins.insertion_interval(p, s, "x", "c_acctbal", 50.0)
     return got.select(F.round("x", 2).alias("x"), F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
 
@@ -109,3 +111,7 @@ ORACLES = {
     "topk_per_group": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= 3",
     "semi_anti": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN 'kept' ELSE 'dropped' END AS side FROM customer",
 }
+
+#: On all customers.
+QUERIES["insertion_interval_whole"] = partial(insertion_interval, of="true")
+ORACLES["insertion_interval_whole"] = ORACLES["insertion_interval"].replace(" AND c_custkey % 10 = 0", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from helixframe.functions import dist
@@ -155,13 +157,13 @@ def reverse_map(spark, d):
     return sets.reverse_map(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").select("s_nationkey", F.array_join("keys", ",").alias("keys"))
 
 
-def set_overlap(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
+def set_overlap(spark, d, of="l_partkey % 10 = 0"):
+    li = table(spark, d, "lineitem").where(of).select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
     return sets.set_overlap(li, "name", "l_partkey").select("a", "b", "size_a", "size_b", "overlap", *_r("share_a", "share_b"))
 
 
-def representative_sets(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 10 = 0").select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
+def representative_sets(spark, d, of="l_partkey % 10 = 0"):
+    li = table(spark, d, "lineitem").where(of).select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
     return sets.representative_sets(li, "name", "l_partkey", 0.85)
 
 
@@ -182,10 +184,10 @@ def downsample_counts(spark, d):
     return sets.downsample_counts(c, "n", 1000, ["l_suppkey"]).select("l_suppkey", "n", "sampled")
 
 
-def connected_components(spark, d):
-    li = table(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_suppkey", "l_partkey").distinct()
+def connected_components(spark, d, of="l_partkey % 40 = 0", linked="u % 3 = v % 3"):
+    li = table(spark, d, "lineitem").where(of).select("l_suppkey", "l_partkey").distinct()
     e = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("m")).join(li, "l_partkey").select(F.col("l_suppkey").alias("u"), F.col("m").alias("v"))
-    return sets.components(e.where("u % 3 = v % 3"), "u", "v")
+    return sets.components(e.where(linked), "u", "v")
 
 
 def best_two(spark, d):
@@ -194,6 +196,10 @@ def best_two(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (summary_stats_by_segment, percentile_legacy, contingency_chisq, cramers_v, phi_2x2, mann_whitney_u, blom_rank, hwe_chisq, fisher_combine, ivw_meta, weighted_z, meta_flip, f_ratio, hypergeom_counts, hypergeom_upper_tail, gsea_running_sum, hist_fixed_step, hist_breaks, stratified_hist, box_five_numbers, qq_points, qq_lambda, manhattan_coords, letter_entropy, empirical_cdf, sfs, shared_at_least_k, reverse_map, set_overlap, representative_sets, reservoir_hash_sample, bernoulli_sample, fold_assignment, downsample_counts, connected_components, best_two)}
+#: The same on all parts.
+QUERIES |= {f"{f.__name__}_whole": partial(f, of="true") for f in (set_overlap, representative_sets)}
+QUERIES["connected_components_whole"] = partial(connected_components, of="true", linked="true")
+
 
 _P = "SELECT o_orderkey, o_custkey, x * x * x AS p FROM (SELECT o_orderkey, o_custkey, CAST((o_orderkey * 48271 % 2147483647) / 2147483647.0 AS DOUBLE) AS x FROM orders)"
 _EFF = "SELECT l_suppkey, l_partkey % 10 AS marker, avg(l_discount) AS beta, stddev_samp(l_discount) / sqrt(count(*)) AS se, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING stddev_samp(l_discount) > 0"
@@ -240,3 +246,4 @@ ORACLES = {
       r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS node, least(u, min(v)) AS root FROM r GROUP BY u""",
     "best_two": "WITH g AS (SELECT l_orderkey, l_returnflag, count(*) / 2 AS dose FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY dose DESC, l_returnflag) AS k FROM g) SELECT l_orderkey, max(l_returnflag) FILTER (k = 1) AS first, CASE WHEN max(dose) FILTER (k = 1) >= 1.33 THEN max(l_returnflag) FILTER (k = 1) ELSE max(l_returnflag) FILTER (k = 2) END AS second FROM r GROUP BY 1",
 }
+ORACLES |= {f"{n}_whole": ORACLES[n].replace(" WHERE l_partkey % 10 = 0", "") for n in ("set_overlap", "representative_sets")}

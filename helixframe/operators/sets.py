@@ -102,8 +102,8 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 50) -> DataFr
         changed = new.where("root <> _old").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def verify_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

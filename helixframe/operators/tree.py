@@ -137,11 +137,21 @@ def leaf_distance(root: Node, a: str, b: str) -> float:
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, steps) of a forest of (child, parent) rows by doubling: log2(depth) joins."""
+    """(node, ancestor, steps) of a forest of (child, parent) rows by doubling: log2(depth) joins. Rounds for ``max_depth`` come first; where chains are longer, more follow until all are whole. Raises on a cycle."""
     reach = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
-    rounds = max(1, (max_depth - 1).bit_length())
-    for _ in range(rounds):
+
+    def doubled(reach: DataFrame) -> DataFrame:
         step = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("steps").alias("_more"))
         further = reach.join(step, "ancestor").select("node", F.col("_far").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
-        reach = reach.unionByName(further).distinct()
-    return reach
+        return reach.unionByName(further).distinct()
+
+    for _ in range(max(1, (max_depth - 1).bit_length())):
+        reach = doubled(reach)
+    # after k rounds all ancestors up to 2^k steps are there: the longest chain tells whether more are needed
+    done = 1 << max(1, (max_depth - 1).bit_length())
+    while True:
+        if reach.where(F.col("node") == F.col("ancestor")).limit(1).count():
+            raise ValueError("the edges hold a cycle")
+        if (reach.agg(F.max("steps")).first()[0] or 0) < done:
+            return reach
+        reach, done = doubled(reach), done * 2

@@ -34,7 +34,16 @@ def translate(seq: Column) -> Column:
 def kmers(seq: Column, k: int) -> Column:
     """All substrings of k letters; empty below k letters or for null."""
     n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: seq.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    def runs(letters: Column) -> Column:
+        part = lambda j: F.slice(letters, j, F.size(letters) - (k - 1))
+        out = part(1)
+        for j in range(2, k + 1):
+            out = F.zip_with(out, part(j), lambda a, b: F.concat(a, b))
+        return out
+
+    # an array of one binds the letters, so that seq is worked out once and not for each place
+    return F.when(n > 0, F.transform(F.array(F.split(seq, "")), runs)[0]).otherwise(F.array().cast("array<string>"))
 
 
 def _sites(a: Column, b: Column, test) -> Column:

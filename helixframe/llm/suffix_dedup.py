@@ -6,11 +6,15 @@
    offset below WINDOW. An anchor is keyed by the ``length - WINDOW + 1`` bytes from it on, which
    both strings hold. Keys met once cannot belong to a repeat.
 3. An anchor's context is every byte that such strings around it can cover.
-   Contexts met twice repeat whole. The others, one of each kind for each key, meet in shards:
-   a suffix array over their 40-byte blocks orders them by what follows the anchor, and strings that begin
-   d bytes before it are equal where those d bytes are and the order's common prefixes reach far enough.
-   Keys with very many kinds of contexts are split by their exact strings instead.
-4. Covered bytes are merged and cut out per text.
+   Contexts met twice (by a cryptographic digest of 128 bits) repeat whole. The others, one of each kind for each
+   key, meet in shards: a suffix array over their 40-byte blocks orders them by what follows the anchor, an order of
+   what precedes it stands beside, and strings that begin d bytes before the anchor are equal where the common
+   prefixes of neighbours reach far enough in both orders. Bytes decide; no hash does.
+4. A key with more kinds of contexts than a shard takes is split by the bytes next to its own: strings that begin
+   a to b bytes before the anchor share a longer core, so for each of FAN such ranges the narrowed contexts meet
+   under that core, equal ones collapse, and the parts go to shards or are split again. A range of one
+   string ends it.
+5. Covered bytes are merged and cut out per text.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from .suffix_array import suffix_array
 
 #: Positions of a window, of which the least one is an anchor, and bytes hashed at each.
 WINDOW, GRAM = 200, 16
-#: Contexts of one shard (about) and bytes of a symbol of its suffix array; kinds of contexts of one key that a shard takes.
-SHARD, SYMBOL, KINDS = 3000, 40, 12_000
+#: Contexts of one shard (about) and bytes of a symbol of its suffix array; ranges into which a key with more contexts is split.
+SHARD, SYMBOL, FAN = 3000, 40, 4
 _P, _TOP = np.uint64(0x9E3779B97F4A7C15), np.iinfo(np.uint64).max
 
 
@@ -116,7 +120,7 @@ def _contexts(length: int, window: int):
                 p = x["pos"]
                 a = max(0, p - window + 1)
                 part = text[a : p + length]
-                h = xxhash.xxh3_128_intdigest(part + (p - a).to_bytes(4, "little"))
+                h = int.from_bytes(hashlib.blake2b(part + (p - a).to_bytes(4, "little"), digest_size=16).digest(), "little")
                 row.append({"pos": p, "g": x["g"], "h1": _signed(h >> 64), "h2": _signed(h & (1 << 64) - 1), "size": len(part)})
             out.append(row)
         return pa.array(out, kind)
@@ -147,25 +151,26 @@ def shared_strings(left: list[bytes], right: list[bytes], group: list[int], leng
     width = blocks + 2
     order = np.array([p // width for p in suffix_array(text.reshape(-1).tolist()) if p % width == 0])
     # common prefixes of neighbours
-    after, before, groups = after[order], before[order], groups[order]
+    after, before, groups = after[order], np.ascontiguousarray(before[order]), groups[order]
     size_l, size_r = size_l[order], size_r[order]
     same = after[1:, :length] == after[:-1, :length]
     common_ = np.where(same.all(axis=1), length, same.argmin(axis=1))
     common_ = np.minimum(common_, np.minimum(size_r[1:], size_r[:-1]))
     common_[groups[1:] != groups[:-1]] = -1
+    # the same for what precedes the anchor, read backwards
+    back = np.argsort(before.view(f"S{before.shape[1]}").reshape(-1), kind="stable")
+    same = before[back[1:]] == before[back[:-1]]
+    ahead = np.where(same.all(axis=1), before.shape[1], same.argmin(axis=1))
     hit = np.zeros((window, n), bool)
-    key = np.zeros(n, np.uint64)
+    left_run = np.zeros(n, np.int64)
     for d in range(window):
-        if d:
-            key = _mix(key * _P + before[:, d - 1] + np.uint64(1))
-        whole = (size_l >= d) & (size_r >= length - d)
-        if whole.sum() < 2:
+        at = np.flatnonzero((size_l >= d) & (size_r >= length - d))
+        if len(at) < 2:
             continue
         run = np.concatenate([[0], np.cumsum(common_ < length - d)])  # equal for rows whose prefixes of length - d agree
-        at = np.flatnonzero(whole)
-        both = _mix(_mix(key[at]) * _P + run[at].astype(np.uint64))  # not symmetric: small keys and run numbers look alike
-        _, back, many = np.unique(both, return_inverse=True, return_counts=True)
-        hit[d, at] = many[back] > 1
+        left_run[back] = np.concatenate([[0], np.cumsum(ahead < d)])  # equal for rows that agree in the d bytes before
+        _, again, many = np.unique(left_run[at] * n + run[at], return_inverse=True, return_counts=True)
+        hit[d, at] = many[again] > 1
     out = []
     for i in np.flatnonzero(hit.any(axis=0)):
         d = np.flatnonzero(hit[:, i])
@@ -202,20 +207,31 @@ def _sharded(length: int, window: int):
     return run
 
 
-def _strings(length: int, window: int):
-    """The same rows to one row for each string of ``length`` bytes around the anchor: its hash and place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "t1", "t2", "lo"]
-        for batch in batches:
-            for _, t1, t2, pos, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                text = left + right
-                at = range(max(0, len(text) - length + 1))
-                at = at[: len(left) + 1]
-                h = [xxhash.xxh3_128_intdigest(text[a : a + length]) for a in at]
-                yield pa.RecordBatch.from_arrays([pa.array([_signed(x >> 64) for x in h], pa.int64()), pa.array([_signed(x & (1 << 64) - 1) for x in h], pa.int64()), pa.array([t1] * len(h), pa.int64()), pa.array([t2] * len(h), pa.int32()), pa.array([pos - len(left) + a for a in at], pa.int32())], names)
-
-    return run
+def _narrowed(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts (g, lo, hi, t1, t2, pos, left, right) of strings that begin lo..hi - 1 bytes before their anchor, narrowed to each of FAN parts of that range and keyed by the bytes that all strings of the part share."""
+    parts = rows.withColumn("step", F.expr(f"CAST(ceil((hi - lo) / {FAN}) AS INT)")).withColumn("a", F.expr("explode(sequence(lo, hi - 1, step))")).withColumn("b", F.expr("least(a + step, hi)"))
+    parts = parts.where(f"octet_length(left) >= a AND octet_length(right) > {length} - b")
+    core = F.expr(f"concat(substring(left, octet_length(left) - a + 1, a), substring(right, 1, {length} - b + 1))")
+    near = F.expr("substring(left, greatest(octet_length(left) - b + 1, 0) + 1, b)").alias("left")
+    parts = parts.select(F.xxhash64(core, "a", "b").alias("g"), F.col("a").alias("lo"), F.col("b").alias("hi"), "t1", "t2", "pos", near, F.expr(f"substring(right, 1, {length} - a)").alias("right"))
+    return parts.where(f"octet_length(left) + octet_length(right) >= {length}")
+
+
+def _split(hot: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of hot keys to (spans that repeat whole, contexts by keys that fit shards), both in several tables."""
+    spans, few = [], []
+    while hot.take(1):
+        rows = common.materialize(_narrowed(hot, length), "narrowed")
+        same = ["g", "lo", "hi", "left", "right"]
+        kinds = common.materialize(rows.groupBy(*same).agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "pos")).alias("at")), "narrowed-kinds")
+        twice = common.materialize(kinds.where("many > 1").select(*same), "narrowed-twice")
+        whole = rows.join(twice, same, "left_semi")
+        spans.append(whole.select("t1", "t2", F.expr("pos - octet_length(left)").alias("lo"), F.expr("pos + octet_length(right)").alias("hi")))
+        open_ = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).where("kinds > 1 AND least = 1").select("g", "kinds")
+        given = kinds.join(common.materialize(open_, "narrowed-keys"), "g").select("g", "lo", "hi", "at.*", "left", "right", "kinds")
+        few.append(given.where(F.col("kinds") <= SHARD))
+        hot = common.materialize(given.where((F.col("kinds") > SHARD) & (F.col("hi") - F.col("lo") > 1)), "hot")
+    return spans, few
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -293,12 +309,15 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     from_ = F.greatest(F.lit(0), F.col("x.pos") - (window - 1))
     given = given.select(F.col("x.g").alias("g"), *ids, F.col("x.pos").alias("pos"), F.substring("text", from_ + 1, F.col("x.pos") - from_).alias("left"), F.substring("text", F.col("x.pos") + 1, F.lit(length)).alias("right"), F.col("x.kinds").alias("kinds"))
     given = common.materialize(given, "open-contexts")
-    few = given.where(F.col("kinds") <= KINDS).drop("kinds").repartition(parts, "g").sortWithinPartitions("g")
+    over = given.where(F.col("kinds") > SHARD).withColumns({"lo": F.lit(0), "hi": F.lit(window)})
+    more, parts_of = _split(over, length)
+    for x in more:
+        spans = spans.unionByName(x)
+    few = given.where(F.col("kinds") <= SHARD).drop("kinds")
+    for x in parts_of:
+        few = few.unionByName(x.select(*few.columns))
+    few = few.repartition(parts, "g").sortWithinPartitions("g")
     spans = spans.unionByName(few.mapInArrow(_sharded(length, window), "t1 long, t2 int, lo int, hi int"))
-    # keys with very many kinds: each string by itself, counted where it is read before it is sent
-    many = given.where(F.col("kinds") > KINDS).drop("kinds").mapInArrow(_strings(length, window), "h1 long, h2 long, t1 long, t2 int, lo int")
-    twice = many.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    spans = spans.unionByName(many.join(twice, ["h1", "h2"], "left_semi").select(*ids, "lo", (F.col("lo") + length).alias("hi")))
 
     runs = spans.groupBy(*ids).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # a few for each of a text's anchors
     whole_text = F.array(F.struct(F.lit(0).alias("lo"), F.octet_length("text").alias("hi")))

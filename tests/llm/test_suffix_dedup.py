@@ -48,10 +48,10 @@ def corpus(seed):
     return texts + [None, "", "a" * 39, "a" * 40, "a" * 41, "ab" * 100, "\x00" * 60, "x" + "\x00" * 41, base, base, "z" * 3000, noise(1) * 45]
 
 
-@pytest.mark.parametrize("seed,shard,kinds", [(1, 3000, 12000), (2, 10, 3), (3, 3000, 0)])
-def test_against_brute_force(spark, monkeypatch, seed, shard, kinds):
+@pytest.mark.parametrize("seed,shard,fan", [(1, 3000, 4), (2, 10, 2), (3, 1, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, shard, fan):
     monkeypatch.setattr(S, "SHARD", shard)
-    monkeypatch.setattr(S, "KINDS", kinds)
+    monkeypatch.setattr(S, "FAN", fan)
     monkeypatch.setattr(S, "SYMBOL", 7)
     texts = corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as t1", "2 as g", "'s' as spans")
@@ -91,3 +91,23 @@ def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(1, "q" * 400), (1, "q" * 400), (None, None)], "doc_id long, text string")
     assert sorted((x.doc_id or 0, len(x.kept)) for x in S.remove_repeats(same).collect()) == [(0, 0), (1, 0), (1, 0)]
+
+
+def test_query_on_planted_passages(spark, tmp_path):
+    """Passages of just over 50 words, shorter and longer than 400 bytes, in two documents each: the registered query against brute force."""
+    from helixframe.llm.q_suffix_dedup import op6_suffix_dedup
+
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz\u00e9") for _ in range(n))
+    prose = lambda words, n: " ".join(word(r.randint(max(1, n - 2), n + 2)) for _ in range(words))
+    passages = [prose(words, n) for words in (51, 52, 55, 60) for n in (4, 6, 7, 9)]
+    texts = [f"{prose(20, 5)} {p} {prose(r.randint(0, 30), 5)}" for p in passages for _ in range(2)] + [None, "", prose(300, 5)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op6_suffix_dedup(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string"), ("has_repeats", "boolean")]
+    found = {x.doc_id: tuple(x)[1:] for x in got.collect()}
+    want = {i: (n, n - len(kept), len(runs), S.hashlib.sha256(kept).hexdigest(), bool(runs)) for i, (n, runs, kept) in enumerate(brute(texts, 400))}
+    assert found == want
+    lost = [any(len(p.encode()) >= 399 for p in (passages[i // 2],)) for i in range(2 * len(passages))]
+    assert {w[-1] for i, w in want.items() if i < len(lost) and lost[i]} == {True} and not all(w[-1] for w in want.values())

@@ -19,43 +19,67 @@ from pyspark.sql.functions import arrow_udf
 
 from . import common
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*>|(?P<text>[^<]+|<)", re.S)
+#: A quote opens a value only behind ``=``; in names and bare values it is a character like others.
+_ATTRS = r"(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|=(?=\s*>)|[^=>])*)"
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)" + _ATTRS + r">|</[^>]*>|(?P<text>[^<]+|<(?![a-zA-Z/!?]))", re.S)
+#: A tag with a quote that never closes, taken up to the next ``>``.
+_LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>(?P<cdata>(?!))?(?P<text>(?!))?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol option p pre search section select summary svg table tbody td template tfoot th thead tr ul button canvas object audio video head".split())
-_DROP = set("nav footer aside form script style noscript iframe svg template button select option textarea dialog canvas object audio video menu search head fieldset".split())
+_DROP = set("nav footer aside script style noscript iframe svg template button select option textarea dialog canvas object audio video menu search head".split())
+#: Left out, unless what the page has to say stands in them.
+_FORMS = {"form", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of class and id names that mark parts to leave out, whatever else the name says; then those that a word of _TEXT outweighs.
-_NEVER = set("comment comments disqus respond reply replies ad ads advert adverts advertisement advertising adslot sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription paywall share sharing social".split())
-_RARELY = set("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header masthead banner notice notices alert related recommended recommendations pagination pager widget toolbar login signup search skip hidden outbrain taboola rail topbar".split())
-_TEXT = set("article content post entry main story body text".split())
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+#: Words of class and id names. A name of such words alone marks a part to leave out ...
+_BOILER = set("comment comments disqus respond replies ad ads advert adverts advertisement advertisements advertising adslot adsense sponsor sponsors sponsored promo promos cookie cookies consent gdpr popup modal overlay newsletter subscribe nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header masthead banner notice notices alert alerts related recommended recommendations pagination pager toolbar outbrain taboola topbar".split())
+#: ... or, for these, one that holds no paragraph of its own or mostly links;
+_MAYBE = set("promotion promotions social share sharing reply paywall subscription widget login signup search skip hidden rail".split())
+#: they may stand beside words of place and kind; an article's own header stays.
+_BESIDE = set("box bar wrap wrapper container list item items section block area inner outer top bottom left right main button buttons link links icon icons panel group row col column unit slot holder site page global primary secondary sticky fixed mobile desktop large small policy message form thread content contents article articles post posts story stories entry reading block blocks tools count".split())
+_OWN = {"article", "articles", "post", "posts", "story", "entry", "content", "section"}
 _PLACE = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMAS = re.compile("[,，、،]")
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
+_KEEP, _MAYBE_OUT, _FORM, _OUT = range(4)
+
+
+def _left_out(tag: str, attrs: str, in_article: bool) -> int:
+    """What an element's tag, role and names say: kept, left out, or left to what it holds."""
     if tag in _DROP or (tag == "header" and not in_article):
-        return True
+        return _OUT
+    kind = _FORM if tag in _FORMS else _KEEP
     if not attrs.strip():
-        return False
+        return kind
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    words = set(_PLACE.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    if tag in ("article", "main", "body", "html"):
-        return bool(words & {"comment", "comments"}) and tag == "article"
-    return bool(words & _NEVER) or (bool(words & _RARELY) and not words & _TEXT)
+    role = found.get("role", "").lower()
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in _ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return _OUT
+    if tag in ("main", "body", "html"):
+        return kind
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = set(_PLACE.findall(_CAMEL.sub(" ", name).lower()))
+        if tag == "article" and not words <= {"comment", "comments"}:
+            continue
+        told = words & (_BOILER | _MAYBE)
+        if not told or words - told - _BESIDE - {w for w in words if len(w) < 3} or (told <= {"header", "banner"} and words & _OWN):
+            continue
+        if told & _BOILER:
+            return _OUT
+        kind = max(kind, _MAYBE_OUT)
+    return max(kind, _FORM) if role == "form" else kind
 
 
 def main_text(page: str | None) -> str:
     """Main text of a page: blocks in page order joined by two newlines, white space inside a block as one space; empty if there is none."""
     if not page:
         return ""
-    tag_of, parent, out, link_of = ["#root"], [-1], [False], [False]
+    tag_of, parent, told = ["#root"], [-1], [_KEEP]
     stack = [0]
     blocks: list[tuple[int, str, int, int]] = []  # element, text, link characters, links
     pieces: list[str] = []
@@ -84,7 +108,7 @@ def main_text(page: str | None) -> str:
 
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.match(page, at)
+        m = _TOKEN.match(page, at) or _LOOSE.match(page, at)
         if m is None:  # a tag that never ends
             break
         at = m.end()
@@ -143,7 +167,7 @@ def main_text(page: str | None) -> str:
         tag_of.append(tag)
         parent.append(above)
         in_article = tag == "header" and any(tag_of[n] in ("article", "main") for n in stack)
-        out.append(tag != "a" and _left_out(tag, m["attrs"], in_article))
+        told.append(_KEEP if tag == "a" else _left_out(tag, m["attrs"], in_article))
         if not m["attrs"].endswith("/") or tag not in ("svg", "canvas", "object"):
             stack.append(node)
     flush()
@@ -151,39 +175,32 @@ def main_text(page: str | None) -> str:
     count = len(tag_of)
     holds = [t in ("article", "main") for t in tag_of]  # what holds an article is not left out: its end tag is missing
     for node in range(count - 1, 0, -1):
-        holds[parent[node]] = holds[parent[node]] or (holds[node] and not out[node])
-    for node in range(1, count):
-        out[node] = (out[node] and not (holds[node] and tag_of[node] != "article")) or out[parent[node]]
-
-    length, link, points, many = [0] * count, [0] * count, [0.0] * count, [0] * count
-    for node, text, in_links, n in blocks:
-        if out[node]:
-            continue
+        holds[parent[node]] = holds[parent[node]] or (holds[node] and told[node] == _KEEP)
+    worth, length, link = [0.0] * count, [0] * count, [0] * count
+    for node, text, in_links, _ in blocks:
         length[node] += len(text)
         link[node] += in_links
-        many[node] += n
-        if len(text) >= 25:
-            worth = 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)
-            above = parent[node] if tag_of[node] in ("p", "pre", "blockquote", "td", "li", "dd", *_HEADINGS) else node
-            for level in range(6):
-                if above < 0:
-                    break
-                points[above] += worth if level == 0 else worth / 2 if level == 1 else worth / (3 * level)
-                above = parent[above]
+        worth[node] += len(text) >= 25
     for node in range(count - 1, 0, -1):
-        length[parent[node]] += length[node]
-        link[parent[node]] += link[node]
-        many[parent[node]] += many[node]
-    density = [link[i] / length[i] if length[i] else 0.0 for i in range(count)]
-    score = [points[i] * (1 - density[i]) for i in range(count)]
+        for sums in (worth, length, link):
+            sums[parent[node]] += sums[node]
 
-    best = max(range(count), key=lambda i: (score[i], -i))
-    if score[best] <= 0:
-        best = 0
+    def unwanted(forms: bool) -> list[bool]:
+        out = [False] * count
         for node in range(1, count):
-            if tag_of[node] in ("article", "main") and not out[node] and length[node]:
-                best = node
-                break
+            leave = told[node] == _OUT or (told[node] == _FORM and not forms) or (told[node] == _MAYBE_OUT and (not worth[node] or 3 * link[node] >= length[node]))
+            out[node] = (leave and not (holds[node] and tag_of[node] != "article")) or out[parent[node]]
+        return out
+
+    out = unwanted(False)
+    best, score, density, many = _scored(blocks, tag_of, parent, out)
+    if _FORM in told:
+        wrapped = unwanted(True)
+        inside = _scored(blocks, tag_of, parent, wrapped)
+        if inside[1][inside[0]] > 3 * max(score[best], 0.0):  # the form is the page
+            out, (best, score, density, many) = wrapped, inside
+    if score[best] <= 0:
+        best = next((n for n in range(1, count) if tag_of[n] in ("article", "main") and not out[n] and length[n]), 0)
     whole = best
     while whole > 0 and tag_of[whole] not in ("article", "main"):
         whole = parent[whole]
@@ -195,11 +212,35 @@ def main_text(page: str | None) -> str:
         if beside and tag_of[node] != "a":
             kept[node] = score[node] >= least or tag_of[node] in _HEADINGS or (tag_of[node] == "p" and density[node] < 0.25 and length[node] > 80)
         kept[node] = kept[node] or node == best or (node > 0 and kept[parent[node]])
-        # a list that is nearly all links is a menu
-        if node > 0 and tag_of[node] in ("ul", "ol", "dl") and many[node] >= 3 and density[node] >= 0.8:
-            out[node] = True
-        out[node] = out[node] or (node > 0 and out[parent[node]])
-    return "\n\n".join(text for node, text, _, _ in blocks if kept[node] and not out[node])
+    # a list that is nearly all links, before any text and in no article, is a menu
+    menu = [whole <= 0 and tag_of[n] in ("ul", "ol", "dl") and many[n] >= 3 and density[n] >= 0.8 for n in range(count)]
+    for node in range(1, count):
+        menu[node] = menu[node] or menu[parent[node]]
+    first = next((i for i, (node, text, _, _) in enumerate(blocks) if kept[node] and not out[node] and not menu[node] and (len(text) >= 25 or tag_of[node] in _HEADINGS)), 0)
+    return "\n\n".join(text for i, (node, text, _, _) in enumerate(blocks) if kept[node] and not out[node] and not (menu[node] and i < first))
+
+
+def _scored(blocks: list[tuple[int, str, int, int]], tag_of: list[str], parent: list[int], out: list[bool]) -> tuple[int, list[float], list[float], list[int]]:
+    """The best element, and per element its score, link density and links. A block's points go to the element around it, half of them to the next and so on."""
+    count = len(tag_of)
+    length, link, points, many = [0] * count, [0] * count, [0.0] * count, [0] * count
+    for node, text, in_links, n in blocks:
+        if out[node]:
+            continue
+        length[node] += len(text)
+        link[node] += in_links
+        many[node] += n
+        if len(text) >= 25:
+            above = parent[node] if node and tag_of[node] in ("p", "pre", "blockquote", "td", "li", "dd", *_HEADINGS) else node
+            points[above] += 1 + len(_COMMAS.findall(text)) + min(len(text) // 100, 3)
+    for node in range(count - 1, 0, -1):
+        length[parent[node]] += length[node]
+        link[parent[node]] += link[node]
+        many[parent[node]] += many[node]
+        points[parent[node]] += points[node] / 2
+    density = [link[i] / length[i] if length[i] else 0.0 for i in range(count)]
+    score = [points[i] * (1 - density[i]) for i in range(count)]
+    return max(range(count), key=lambda i: (score[i], -i)), score, density, many
 
 
 @arrow_udf(T.StringType())

@@ -9,8 +9,8 @@ sharply concentrated around the Jaccard similarity.
 Documents of equal word sequences are one class. Classes meet in the buckets
 of their bands. First every class is verified against one popular member of its
 buckets; whoever is linked shares a component. Then, in buckets that still hold
-several components, members of different components are compared by whole sketches in
-blocks of bounded size, and the pairs that may be links are verified. All
+several components, members outside the largest one are compared by whole sketches with
+all members of other components, in blocks of bounded size, and the pairs that may be links are verified. All
 links are confirmed on the full shingle sets.
 """
 
@@ -253,11 +253,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # buckets that still hold several components: members of different ones, compared in blocks
     root = F.coalesce("root", "key").alias("root")
     rooted = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", "many", root)
-    mixed = common.materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "mixed")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rest = rooted.join(mixed, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # (a bucket's largest component is dealt into blocks that meet the other members only, so it is not repeated for each of its own blocks)
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("big"), F.sum("size").alias("all")).where("all > big.size")
+    few, many = (F.ceil(n / BLOCK).cast("int") for n in (F.col("all") - F.col("big.size"), F.col("big.size")))
+    mixed = common.materialize(mixed.select("band", F.col("big.root").alias("major"), few.alias("few"), many.alias("blocks")), "mixed")
+    rest = rooted.join(mixed, "band").withColumn("is_major", F.col("root") == F.col("major")).withColumn("h", F.xxhash64("key"))
+    rest = rest.withColumn("block", F.expr("CAST(if(is_major, few + pmod(h, blocks), pmod(h, few)) AS INT)"))
     sketch = rows.where("n > 0").select("key", "sketch", "bands").dropDuplicates(["key"]).join(rest.select("key").distinct(), "key", "left_semi")
-    rest = rest.join(sketch, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.join(sketch, "key").withColumn("other", F.expr("explode(sequence(0, if(is_major, few, few + blocks) - 1))"))
     rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "n", "sketch", "bands")
     share = percent / 100
     least = SIZE * share - SIGMAS * (SIZE * share * (1 - share)) ** 0.5
@@ -275,7 +279,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = common.materialize(found.unionByName(lone), "components")
 
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = out.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("head"))
+    # as a table, so that Spark can split the rows of a large component in the join
+    heads = common.materialize(out.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("head")), "heads")
     out = out.join(heads, "root", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("head"))
     lone = (F.col("n_shingles") == 0) | (F.col("head").isNull() & (F.col("key") == F.col("root")))

@@ -249,7 +249,7 @@ def _extracted(pages: pa.Array) -> pa.Array:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` columns, text and n_chars (code points) of every row; a null or empty page gives an empty text. Repeated rows stay; other columns are ignored."""
+    """``keep`` columns, text and n_chars (code points) of every row; a null or empty page gives an empty text. Repeated rows stay; other columns are ignored, and a kept column named text or n_chars gives way."""
     common.tune(pages.sparkSession)
-    text = pages.select(*keep, _extracted(F.col(html)).alias("text"))
+    text = pages.select(*[c for c in keep if c not in ("text", "n_chars")], _extracted(F.col(html)).alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

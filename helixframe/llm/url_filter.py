@@ -3,10 +3,12 @@
 A rule (host, path) fits a URL when its host is the URL's host or a parent
 domain and its path is a prefix of the URL's path. Written as
 ``reversed.host/path`` a rule is the interval of all keys with that prefix,
-and a URL is one key for each of its parent domains. Rules and keys are dealt
-out by ranges of the key and sorted; in one sweep each key meets the rule that
-was opened last, whose stack of enclosing rules (itself included) holds every
-rule that can still be open there. The longest open one wins.
+and a URL is one key for each of its parent domains. Intervals nest or are
+apart. Every rule gives an event that opens its interval and one that closes it;
+events and keys are dealt out by ranges of the key and sorted. The sweep keeps the stack
+of active rules as running aggregates: the sum of openings and closings is its height,
+and the place at each height holds the rule opened there last. A range starts from one carried row, the stack at
+its lower border. The rule on top of the stack is the longest that fits.
 
 Only DataFrame operations are used.
 """
@@ -41,14 +43,13 @@ def _key(host: Column, path: Column) -> Column:
     return F.concat(_reversed(host), F.lit("/"), path)
 
 
-def _stacks(rules: DataFrame) -> DataFrame:
-    """One row per distinct rule with its key and the stack of rules that enclose it, longest first."""
+def _worded(rules: DataFrame) -> DataFrame:
+    """One row per distinct rule: host, key, and the entry (long, opens, rule, verdict) that the stack holds."""
     worded = rules.select(F.translate(F.coalesce("host", F.lit("")), common.UPPER, common.LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     worded = worded.where("host <> ''").groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").cast("int").alias("b"), F.col("verdict").alias("verdict"))).alias("v"))
-    worded = worded.select("host", "path", F.col("v.verdict").alias("verdict"), _key(F.col("host"), F.col("path")).alias("key"))
-    prefixes = worded.select("host", "key", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.col("path").substr(F.lit(1), i))).alias("path"))
-    outer = worded.select("host", "path", F.struct((F.length("host") + F.length("path")).alias("long"), F.col("key").alias("opens"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict")).alias("entry"))
-    return prefixes.join(outer, ["host", "path"]).groupBy("host", "key").agg(F.sort_array(F.collect_list("entry"), asc=False).alias("stack"))
+    key = _key(F.col("host"), F.col("path"))
+    entry = F.struct((F.length("host") + F.length("path")).alias("long"), key.alias("opens"), F.concat("host", "path").alias("rule"), F.col("v.verdict").alias("verdict"))
+    return worded.select("host", key.alias("key"), entry.alias("entry"))
 
 
 def _boundaries(keys: DataFrame, n: int) -> list[list[str]]:
@@ -78,30 +79,46 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[
     ``block`` wins, and of two different rules of the same length the one with
     the greater key. Rules with a null or empty host fit nothing; a null path
     is an empty one. Null URLs, URLs without ``://`` and URLs that no rule fits get ``default``.
-    Repeated rows stay; columns not in ``keep`` are not returned, so none can clash.
+    Repeated rows stay; columns not in ``keep`` are not returned, and a kept column of one of the four names gives way to it.
     """
     spark = urls.sparkSession
-    stacks = _stacks(rules)
+    worded = common.materialize(_worded(rules), "rules")
     host, path = split_url(F.col(url))
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
     rows = urls.select(*keep, host.alias("host"), path.alias("path"))
-    deepest = stacks.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
+    deepest = worded.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0
 
     labels = F.split("host", r"\.", -1)
     n = F.size(labels)
     first = F.greatest(F.lit(1), n - F.lit(deepest - 1))
     parents = F.transform(F.sequence(first, n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     keys = rows.select("host", "path").where("host <> ''").distinct()
-    keys = keys.select("host", "path", F.explode(parents).alias("parent")).join(stacks.select(F.col("host").alias("parent")).distinct(), "parent", "left_semi")
+    keys = keys.select("host", "path", F.explode(parents).alias("parent")).join(worded.select(F.col("host").alias("parent")).distinct(), "parent", "left_semi")
     keys = keys.select("host", "path", _key(F.col("parent"), F.col("path")).alias("key"))
 
     runs = _boundaries(keys, 4 * common.partitions(spark))
-    dealt = keys.select(_range_of(runs, lambda b: b <= F.col("key")).alias("range"), "key", F.lit(1).alias("is_url"), "host", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    low = _range_of(runs, lambda b: b <= F.col("key"))
-    high = _range_of(runs, lambda b: (b <= F.col("key")) | F.startswith(b, F.col("key")))
-    opened = stacks.select(F.explode(F.sequence(low, high)).alias("range"), "key", F.lit(0).alias("is_url"), F.lit("").alias("host"), F.lit("").alias("path"), "stack")
-
-    sweep = Window.partitionBy("range").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
-    met = dealt.unionByName(opened).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1 AND open IS NOT NULL")
-    best = met.select("host", "path", F.expr("filter(open, r -> startswith(key, r.opens))").alias("fits")).where(F.size("fits") > 0).select("host", "path", F.col("fits")[0].alias("best"))
-    best = best.groupBy("host", "path").agg(F.max("best").alias("best"))
+    below = lambda b: b <= F.col("key")
+    nothing = F.lit(None).cast(worded.schema["entry"].dataType).alias("entry")
+    raw = F.col("key").cast("binary")
+
+    def event(range_: Column, at: Column, turn: int, step: int, entry: Column, host: Column | None = None, path: Column | None = None) -> list[Column]:
+        host, path = (F.lit("") if c is None else c for c in (host, path))
+        return [range_.alias("range"), at.alias("at"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), entry, host.alias("host"), path.alias("path")]
+
+    low, high = _range_of(runs, below).alias("low"), _range_of(runs, lambda b: below(b) | F.startswith(b, F.col("key"))).alias("high")
+    rules_at = worded.select("key", "entry", low, high)
+    # no UTF-8 text holds the byte FF: a rule's key with it stands behind all that begin with the key and before all else
+    opens = rules_at.select(*event(F.col("low"), raw, 1, 1, F.col("entry")))
+    closes = rules_at.select(*event(F.col("high"), F.concat(raw, F.lit(b"\xff")), 0, -1, nothing))
+    carried = rules_at.where("high > low").select(F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("range"), "entry")
+    carried = carried.groupBy("range").agg(F.sort_array(F.collect_list("entry")).alias("stack")).select("range", F.explode("stack").alias("entry"))
+    carried = carried.select(*event(F.col("range"), F.lit(b""), 0, 1, F.col("entry")))
+    asked = keys.select(*event(_range_of(runs, below), raw, 2, 0, nothing, F.col("host"), F.col("path")))
+
+    order = ("at", "turn", F.col("entry.long"))
+    height = F.sum("step").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    swept = asked.unionByName(opens).unionByName(closes).unionByName(carried).withColumn("height", height).where("step >= 0")
+    top = F.last("entry", ignorenulls=True).over(Window.partitionBy("range", "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = swept.withColumn("top", top).where("turn = 2 AND top IS NOT NULL")
+    best = common.materialize(met.groupBy("host", "path").agg(F.max("top").alias("best")), "url-verdicts")  # joined as a table, so that Spark can split a hot URL's rows
     return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -2,8 +2,10 @@
 
 Categories are predicted one after the other; each later logistic model sees,
 besides the words of the text and their beginnings, the probabilities of the earlier categories. In
-training those probabilities are out-of-fold, so a model never learns from
-predictions its own labels have shaped. A bounded sample of labelled rows is
+training those probabilities are out-of-fold: the words, too, are chosen without the fold
+that a model predicts, so none learns from
+predictions its own labels have shaped. A category's threshold is set where the out-of-fold
+probabilities part its classes best. A bounded sample of labelled rows is
 used for fitting; scoring reads every text whole.
 """
 
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import common
@@ -39,11 +41,12 @@ def _term_sets(texts: pa.Array) -> pa.Array:
 
 @dataclass
 class Chain:
-    """words: feature numbers; weights: per category one weight a word, one an earlier category's log-odds, and the bias."""
+    """words: feature numbers; weights: per category one weight a word, one an earlier category's log-odds, and the bias; thresholds: per category the least probability that counts as positive."""
 
     categories: tuple[str, ...]
     words: dict[str, int]
     weights: list[np.ndarray]
+    thresholds: list[float]
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities, a row a text and a column a category; a null text counts as empty."""
@@ -93,19 +96,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, words: dict[str, int], categories: tuple[str, ...]) -> Chain:
-    """Fit the models in order. x: 0/1 word features; y: a 0/1 column a category; folds: a fold number a row."""
-    features, weights = x.astype(float), []
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where the mean of both classes' shares told right is greatest; of several such places the widest gap in log-odds, at its middle. One class alone: 0.5."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    at = np.argsort(p, kind="stable")
+    z, told = _logit_clipped(p[at]), y[at]
+    right = np.cumsum(1 - told)[:-1] / (1 - told).sum() + 1 - np.cumsum(told)[:-1] / told.sum()
+    right[np.diff(p[at]) <= 0] = -1
+    if (most := right.max()) < 0:
+        return 0.5
+    best = np.flatnonzero(right > most - 1e-12)
+    i = best[np.diff(z)[best].argmax()]
+    return float(_sigmoid((z[i] + z[i + 1]) / 2))
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray, words: dict[str, int], categories: tuple[str, ...], chosen: dict[int, list[int]] | None = None) -> Chain:
+    """Fit the models in order. x: 0/1 word features; y: a 0/1 column a category; folds: a fold number a row.
+
+    words: the features of the models. chosen: per fold the columns of x for the models that predict it (all of ``words`` unless given).
+    """
+    own = list(words.values())
+    earlier, weights, thresholds = np.zeros((len(y), 0)), [], []
     for j in range(len(categories)):
-        weights.append(fit_logistic(features, y[:, j]))
-        if j + 1 < len(categories):
-            outside = np.zeros(len(y))
-            for f in np.unique(folds):
-                rest, held = folds != f, folds == f
-                w = fit_logistic(features[rest], y[rest, j]) if rest.any() else weights[-1]
-                outside[held] = _sigmoid(features[held] @ w[:-1] + w[-1])
-            features = np.concatenate([features, _logit_clipped(outside)[:, None]], axis=1)
-    return Chain(categories, words, weights)
+        features = lambda columns: np.concatenate([x[:, columns].astype(float), earlier], axis=1)  # noqa: E731, B023
+        weights.append(fit_logistic(features(own), y[:, j]))
+        outside = np.zeros(len(y))
+        for f in np.unique(folds):
+            rest, held = folds != f, folds == f
+            columns = own if chosen is None else chosen[int(f)]
+            a = features(columns)
+            w = fit_logistic(a[rest], y[rest, j]) if rest.any() else fit_logistic(a, y[:, j])
+            outside[held] = _sigmoid(a[held] @ w[:-1] + w[-1])
+        thresholds.append(best_threshold(outside, y[:, j]))
+        earlier = np.concatenate([earlier, _logit_clipped(outside)[:, None]], axis=1)
+    return Chain(categories, {w: i for i, w in enumerate(words)}, weights, thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text") -> Chain:
@@ -114,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qu
     Labels with a null id or category are left out, repeated ones of an id
     count by their greatest values, labels without a document not at all; of documents
     that share an id the least text counts. The MAX_WORDS words whose presence differs most between
-    the classes of any category become features. Without labelled documents every probability is 0.5.
+    the classes of any category become features; for the models that predict a fold they are
+chosen without it. Without labelled documents every probability is 0.5.
     """
     common.tune(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
@@ -124,18 +150,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qu
     rows = rows.groupBy("_id", "_h", *ys).agg(F.min("_text").alias("_text"))
     rows = common.materialize(rows.select("_id", "_h", *ys, _term_sets("_text").alias("_terms")), "labelled")
 
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
-    n = totals["n"]
-    if not n:
-        return Chain(tuple(categories), {}, [np.zeros(j + 1) for j in range(len(categories))])
-    seen = rows.select(F.explode("_terms").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).where("n >= 3")
+    # sums over all rows and without each fold in turn
+    rows = rows.withColumn("_fold", F.pmod("_h", F.lit(FOLDS)).cast("int"))
+    sides = [-1, *range(FOLDS)]
+    sums = [F.sum(F.when(F.col("_fold") != e, v).otherwise(F.lit(0))).cast("double").alias(f"{name}{e}") for e in sides for name, v in [("n", F.lit(1)), *[(y, F.col(y)) for y in ys]]]
+    totals = rows.agg(*sums).first().asDict()
+    if not totals["n-1"]:
+        return Chain(tuple(categories), {}, [np.zeros(j + 1) for j in range(len(categories))], [0.5] * len(categories))
+    seen = rows.select(F.explode("_terms").alias("word"), "_fold", *ys).groupBy("word").agg(*sums).where("`n-1` >= 3")
     worth = []
-    for y in ys:  # chi-square of presence by class
-        pos = float(totals[y])
-        want = F.col("n") * (pos / n)
-        worth.append((F.col(y) - want) * (F.col(y) - want) / (want * (1 - pos / n) * (1 - F.col("n") / n) + 1e-9) if 0 < pos < n else F.lit(0.0))
-    best = lambda score: [r["word"] for r in seen.select("word", score.alias("s")).orderBy(F.desc("s"), "word").limit(MAX_WORDS // len(ys)).collect()]
-    words = {w: i for i, w in enumerate(sorted({w for s in worth for w in best(s)}))}
+    for e in sides:
+        n, here = totals[f"n{e}"] or 0, F.col(f"n{e}")
+        for y in ys:  # chi-square of presence by class
+            pos = totals[f"{y}{e}"] or 0
+            if 0 < pos < n:
+                want = here * (pos / n)
+                chi = (F.col(f"{y}{e}") - want) * (F.col(f"{y}{e}") - want) / (want * (1 - pos / n) * (1 - here / n) + 1e-9)
+                worth.append(F.struct(F.lit(e).alias("e"), F.lit(y).alias("y"), F.when(here >= 3, chi).alias("s")))
+    ranked = Window.partitionBy("e", "y").orderBy(F.desc("s"), "word")
+    best = seen.select("word", F.explode(F.array(*worth)).alias("w")).select("word", "w.*").where("s IS NOT NULL").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= MAX_WORDS // len(ys)) if worth else None
+    picked: dict[int, set[str]] = {e: set() for e in sides}
+    for r in best.select("e", "word").collect() if worth else []:  # MAX_WORDS for each fold
+        picked[r["e"]].add(r["word"])
+    words = {w: i for i, w in enumerate(sorted(set().union(*picked.values())))}
 
     @arrow_udf(T.BinaryType())
     def bits(terms: pa.Array) -> pa.Array:
@@ -146,10 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qu
             out.append(np.packbits(row).tobytes())
         return pa.array(out, pa.binary())
 
-    got = rows.select("_id", "_h", *ys, bits("_terms").alias("_bits")).orderBy("_h", "_id").collect()  # MAX_ROWS rows of MAX_WORDS bits
+    got = rows.select("_id", "_h", *ys, bits("_terms").alias("_bits")).orderBy("_h", "_id").collect()  # MAX_ROWS rows of a bit a word
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["_bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(words)]
     y = np.array([[r[c] for c in ys] for r in got], float)
-    return fit_chain(x, y, np.array([r["_h"] % FOLDS for r in got]), words, tuple(categories))
+    own = {w: words[w] for w in sorted(picked[-1])}
+    return fit_chain(x, y, np.array([r["_h"] % FOLDS for r in got]), own, tuple(categories), {f: sorted(words[w] for w in picked[f]) for f in range(FOLDS)})
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "toxicity") -> DataFrame:

@@ -2,11 +2,12 @@
 
 Vectors are dealt by a hash into shards of bounded size, each packed as one row
 with its ball tree (centre and radius of every node, leaves of contiguous
-rows). Queries are packed into bounded blocks. A first pass searches one shard
-for every block; its kth scores are lower bounds that all later searches start
-from, and a block that visits several shards carries its kth scores from shard
-to shard. A node's bound is q.c + |q| r; leaves are taken by falling bound and
-skipped for the queries whose kth score already exceeds it.
+rows). Queries are packed into bounded blocks. A first pass searches for every block the shard
+whose root has the highest bound; its kth scores are lower bounds that all later searches start
+from, and a block that visits several shards, by falling bound of their roots, carries its kth scores from shard
+to shard. A node's bound is q.c + |q| r. From the root on, every query opens its node of the
+highest bound next: an inner node gives its two children, a leaf its rows; once that bound is under the kth
+score, all that is left is pruned unopened.
 """
 
 from __future__ import annotations
@@ -69,29 +70,33 @@ def search(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.nd
     score, best = top
     norm = np.sqrt((q * q).sum(axis=1))
     slack = 1e-9 * (1 + norm * np.sqrt((x * x).sum(axis=1).max()))
-    bound = q @ tree["centres"].T + np.outer(norm, tree["radii"]) + slack[:, None]
-    for node in range(1, len(tree["parent"])):  # no looser than the parent's: a pruned node prunes all below it
-        np.minimum(bound[:, node], bound[:, tree["parent"][node]], out=bound[:, node])
-    leaves = np.flatnonzero(tree["leaf"])
-    bound = bound[:, leaves]
-
-    def visit(at: int, rows: np.ndarray) -> None:
-        lo, hi = tree["spans"][leaves[at]]
-        got = q[rows] @ x[lo:hi].T
-        got[q_ids[rows][:, None] == ids[None, lo:hi]] = -np.inf
-        score[rows], best[rows] = _best(score[rows], best[rows], got, ids[None, lo:hi], k)
-
-    # every query takes its leaves by falling bound; in a round the queries that want the same leaf share one product
-    want = np.argsort(-bound, axis=1, kind="stable")
-    for turn in range(len(leaves)):
-        at = want[:, turn]
-        live = np.flatnonzero(bound[np.arange(len(q)), at] >= np.maximum(score[:, -1], floor))
+    reach = lambda rows, node: q[rows] @ tree["centres"][node] + norm[rows] * tree["radii"][node] + slack[rows]
+    children: dict[int, list[int]] = {}
+    for node in range(1, len(tree["parent"])):
+        children.setdefault(int(tree["parent"][node]), []).append(node)
+    # bounds of opened nodes' children that are not opened themselves
+    front = np.full((len(q), len(tree["parent"])), -np.inf)
+    live = np.arange(len(q))
+    front[:, 0] = reach(live, 0)
+    while True:
+        at = front[live].argmax(axis=1)
+        fine = front[live, at] >= np.maximum(score[live, -1], floor[live])
+        live, at = live[fine], at[fine]
         if not len(live):
-            break
-        by = live[np.argsort(at[live], kind="stable")]
-        for rows in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
-            visit(at[rows[0]], rows)
-    return score, best
+            return score, best
+        bound = front[live, at]
+        front[live, at] = -np.inf
+        by = np.argsort(at, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):  # queries that open the same node share one product
+            rows, node = live[part], int(at[part[0]])
+            if not tree["leaf"][node]:
+                for child in children[node]:
+                    front[rows, child] = np.minimum(reach(rows, child), bound[part])
+                continue
+            lo, hi = tree["spans"][node]
+            got = q[rows] @ x[lo:hi].T
+            got[q_ids[rows][:, None] == ids[None, lo:hi]] = -np.inf
+            score[rows], best[rows] = _best(score[rows], best[rows], got, ids[None, lo:hi], k)
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -149,15 +154,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         x = _matrix(pdf["_v"], width)
         t = ball_tree(x)
         order = t["order"]
-        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64)[order].tobytes(), pdf["count"].to_numpy(np.int64)[order].tobytes(), _bytes(x[order]), t["spans"].astype(np.int64).tobytes(), t["parent"].astype(np.int64).tobytes(), t["leaf"].tobytes(), _bytes(t["centres"]), t["radii"].tobytes()]])
+        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64)[order].tobytes(), pdf["count"].to_numpy(np.int64)[order].tobytes(), _bytes(x[order]), t["spans"].astype(np.int64).tobytes(), t["parent"].astype(np.int64).tobytes(), t["leaf"].tobytes(), _bytes(t["centres"]), t["radii"].tobytes(), t["centres"][0].tolist(), float(t["radii"][0])]])
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64).tobytes(), _bytes(_matrix(pdf["_v"], width))]])
+        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64).tobytes(), _bytes(q := _matrix(pdf["_v"], width)), q.mean(axis=0).tolist()]])
 
     place = lambda parts: F.pmod(F.xxhash64("_id", "_v"), F.lit(parts)).cast("int")
-    shards = rows.groupBy(place(n_shards).alias("_shard")).applyInPandas(shard, "_shard int, _ids binary, _counts binary, _x binary, _spans binary, _parent binary, _leaf binary, _centres binary, _radii binary")
+    shards = rows.groupBy(place(n_shards).alias("_shard")).applyInPandas(shard, "_shard int, _ids binary, _counts binary, _x binary, _spans binary, _parent binary, _leaf binary, _centres binary, _radii binary, _root array<double>, _reach double")
     shards = common.materialize(shards, "ball-trees")
-    blocks = common.materialize(asked.groupBy(place(n_blocks).alias("_block")).applyInPandas(block, "_block int, _qids binary, _q binary"), "query-blocks")
+    blocks = common.materialize(asked.groupBy(place(n_blocks).alias("_block")).applyInPandas(block, "_block int, _qids binary, _q binary, _mid array<double>"), "query-blocks")
     # a stated query set, in blocks, against all rows
     every_block = lambda df: df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
@@ -166,7 +171,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         top = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
         counts: dict[int, int] = {}
         floor = np.full(len(q), -np.inf) if floor is None else floor
-        for s in parts.sort_values("_shard").to_dict("records"):
+        mid = q.mean(axis=0)
+        roots = [float(mid @ np.array(c)) + float(np.sqrt(mid @ mid)) * r for c, r in zip(parts["_root"], parts["_reach"])]
+        for s in parts.iloc[np.argsort(-np.array(roots), kind="stable")].to_dict("records"):
             tree, x, ids = _unpacked(s, width)
             many = np.frombuffer(s["_counts"], np.int64)
             counts.update((int(ids[i]), int(many[i])) for i in np.flatnonzero(many > 1))
@@ -180,8 +187,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         kth = fold(b, right, None)[1][:, -1]
         return pd.DataFrame([[b["_block"], b["_qids"], b["_q"], kth.tobytes()]])
 
-    first = every_block(shards.where("_shard = 0"))
-    seeded = blocks.groupBy("_block").cogroup(first.groupBy("_block")).applyInPandas(seed, "_block int, _qids binary, _q binary, _kth binary")
+    # for each block the shard whose root has the highest bound for the mean of its queries
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    roots = every_block(shards.select("_shard", "_root", "_reach")).join(blocks.select("_block", "_mid"), "_block")
+    bound = dot("_mid", "_root") + F.sqrt(dot("_mid", "_mid")) * F.col("_reach")
+    nearest = roots.groupBy("_block").agg(F.max(F.struct(bound.alias("bound"), F.col("_shard"))).alias("n")).select("_block", F.col("n._shard").alias("_shard"))
+    first = shards.join(nearest, "_shard")
+    seeded = blocks.drop("_mid").groupBy("_block").cogroup(first.groupBy("_block")).applyInPandas(seed, "_block int, _qids binary, _q binary, _kth binary")
     seeded = seeded.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     grouped = every_block(shards.withColumn("_group", (F.col("_shard") % n_groups).cast("int")))
 

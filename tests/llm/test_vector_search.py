@@ -29,3 +29,27 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows, 10)
     assert vector_search.top_k(df.limit(0), df, k=10).count() == 0
     assert vector_search.top_k(df, df.limit(0), k=10).count() == 0
+
+
+def test_descent_prunes():
+    """Of clusters far apart a query opens few leaves, and the answer is the brute one."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(64, 8)) + 40 * c for c in r.normal(size=(32, 8))])
+    tree = vector_search.ball_tree(x, 64)
+    x, ids = x[tree["order"]], tree["order"]
+    opened, best = [], vector_search._best
+
+    def counted(*args):
+        opened.append(len(args[0]))
+        return best(*args)
+
+    vector_search._best = counted
+    try:
+        q = x[:20] * 1.5
+        top = (np.full((20, 5), -np.inf), np.full((20, 5), np.iinfo(np.int64).max))
+        score, found = vector_search.search(tree, x, ids, q, np.full(20, -1), np.full(20, -np.inf), top, 5)
+    finally:
+        vector_search._best = best
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :5]
+    assert np.allclose(score, np.take_along_axis(q @ x.T, want, 1))
+    assert sum(opened) < 20 * tree["leaf"].sum() / 4

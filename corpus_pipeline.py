@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.llm import common, decontaminate, line_dedup, near_dup, packing, toxicity
 from helixframe.llm.q_packing import tokenizer_path
-from helixframe.llm.q_toxicity import CATEGORIES, THRESHOLD
+from helixframe.llm.q_toxicity import CATEGORIES
 from helixframe.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones among them, does not call toxic."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return toxicity.score(docs, chain, out="_p").where(F.col("_p")[len(CATEGORIES) - 1] < THRESHOLD).select(*COLUMNS)
+    return toxicity.score(docs, chain, out="_p").where(F.col("_p")[len(CATEGORIES) - 1] < chain.thresholds[-1]).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,18 +31,46 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; only where none is named (tests) a local one is set."""
+    """The cluster's shared folder for cut lineage, ``spark.checkpoint.dir``. Where none is named a local session (tests) sets one of its own; on a cluster that is an error, since executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_OPEN: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, note all tables and folders that operators write to the shared folder, and remove them at its end: for results that are written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for kind, name in _OPEN.pop():
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(kind: str, name: str) -> None:
+    """Note a ``table`` or ``folder`` for the scratch scopes that are open."""
+    for names in _OPEN[-1:]:
+        names.append((kind, name))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return it reread: lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    written("folder", path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import common
@@ -211,17 +211,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
     """Add ``out`` to every row of ``docs``: the items leaked into its text, in order of item id (item_id, overlap, question, answer).
 
     A leak holds, in one passage, LEAST of the item's distinct shingles and LEAST_WORDS of the distinct words
-    of its question and of its answer. Items with a null id, or a null text or one without words, match nothing; items with
+    of its question and of its answer. Ids are whole numbers. Items with another or a null id, or a null text or one without words, match nothing; items with
     the same id are each searched for. Null and empty texts leak nothing. Rows, order and other
     columns stay; an input column named ``out`` is replaced.
     """
     spark = docs.sparkSession
     common.tune(spark)
-    sound = items.where(F.col(id_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    sound = items.where(F.col(id_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(id_col).try_cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL")
     n_indexes = max(1, -(-sound.count() // ITEMS_AN_INDEX))
-    found: list[Column] = []
-    for k in range(n_indexes):  # about ITEMS_AN_INDEX items at a time reach the driver
-        part = [(r["i"], r["t"]) for r in sound.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_indexes)) == k).collect()]
-        sent = spark.sparkContext.broadcast(Index(part))
-        found.append(_leaked(sent)(F.col(text_col)))
-    return docs.withColumn(out, found[0] if len(found) == 1 else F.array_sort(F.concat(*found)))
+    if n_indexes == 1:
+        sent = spark.sparkContext.broadcast(_index(sound))
+        return docs.withColumn(out, _leaked(sent)(F.col(text_col)))
+    # index after index over the distinct texts, so that one is alive at a time; what it finds goes to a table by text
+    sound = common.materialize(sound.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n_indexes)).cast("int")), "items")
+    texts = docs.select(common.text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
+    found = None
+    for part in range(n_indexes):
+        sent = spark.sparkContext.broadcast(_index(sound.where(F.col("part") == part)))
+        hits = texts.select("k", _leaked(sent)("t").alias("l")).where(F.size("l") > 0).dropDuplicates(["k"])
+        hits = common.materialize(hits, "leaks")
+        sent.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    every = common.materialize(found.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("l"))).alias("l")), "leaks")  # a list an index
+    mark = "_leak"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # a name that no input column has
+        mark = f"_{mark}"
+    rows = docs.withColumn(f"{mark}_text", common.text_key(F.col(text_col))).join(every.select(F.col("k").alias(f"{mark}_k"), F.col("l").alias(f"{mark}_l")), F.col(f"{mark}_text") == F.col(f"{mark}_k"), "left")
+    return rows.withColumn(out, F.coalesce(f"{mark}_l", F.array().cast(LEAKS))).drop(f"{mark}_text", f"{mark}_k", f"{mark}_l")
+
+
+def _index(items: DataFrame) -> Index:
+    """The index of about ITEMS_AN_INDEX items, which reach the driver for it."""
+    return Index([(r["i"], r["t"]) for r in items.select("i", "t").collect()])

@@ -6,8 +6,10 @@ chunks that occur again are removed but for their first occurrence in the
 order of document id. Chunks are grouped by their very bytes: equal hashes
 alone remove nothing.
 
-``dedup_runs`` goes by lines instead of chunks: every run of MIN_LINES lines
-or more that came before is removed whole, wherever chunks would end.
+``dedup_runs`` goes on from the chunks to the ends of what repeats: a chunk with the line behind it
+stands for all its occurrences, so repeated passages collapse to one copy first; the windows of MIN_LINES lines in
+what is left, again grouped by their bytes, tell which lines repeat across chunk borders. Every run of MIN_LINES lines
+or more that came before is removed whole, wherever its chunks end.
 """
 
 from __future__ import annotations
@@ -78,14 +80,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, key, removed, removed_lines): per document (id and 64-bit text hash) that loses chunks, their numbers."""
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("instr(text, '\\n') > 0")
-    found = rows.select("id", "key", F.explode(_chunks("text")).alias("c")).select("id", "key", "c.no", "c.lines", F.xxhash64("c.body").alias("h"), F.xxhash64(F.lit(7), "c.body").alias("h2"), F.col("c.body").alias("body"))
+    found = rows.select("id", "key", F.explode(_chunks("text")).alias("c")).select("id", "key", "c.no", "c.lines", common.text_key(F.col("c.body")).alias("h"), F.col("c.body").alias("body"))
     first = F.min(F.struct(_place(F.col("id"), F.col("key")).alias("doc"), F.col("no")))
     # grouping by the body compares bytes; hot chunks shrink to a row a task before the shuffle
-    by_body = found.groupBy("h", "h2", "body").agg(first.alias("first"), F.count("*").alias("n"))
-    by_hash = by_body.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies"))
-    repeated = by_hash.where("n > 1 AND bodies = 1").select("h", "h2", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    repeated = found.groupBy("h", "body").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
     repeated = common.materialize(repeated, "repeated-chunks")  # joined as a table, so that Spark can split a hot chunk's rows
-    again = found.select("id", "key", "no", "lines", "h", "h2").join(repeated, ["h", "h2"])
+    again = found.select("id", "key", "no", "lines", "h").join(repeated, "h")
     again = again.where(~((F.col("doc") == _place(F.col("id"), F.col("key"))) & (F.col("no") == F.col("first_no"))))
     # a document's own chunks: repeated rows give the same numbers, hence the set
     return again.groupBy("id", "key").agg(F.collect_set(F.struct("no", "lines")).alias("gone")).select("id", "key", F.col("gone.no").alias("removed"), F.aggregate("gone", F.lit(0), lambda n, g: n + g["lines"]).alias("removed_lines"))
@@ -105,11 +105,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _applied(docs: DataFrame, removed: DataFrame, without: Callable[[Column, Column], Column], id_col: str, text_col: str) -> DataFrame:
     """``docs`` joined to its removals, with texts cut by ``without``."""
-    gone = removed.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("removed").alias("_gone"), F.col("removed_lines").alias("_gone_lines"))
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    rows = rows.join(gone, rows[id_col].eqNullSafe(gone["_gone_id"]) & (rows["_key"] == gone["_gone_key"]), "left")
-    changed = without(F.col(text_col), F.col("_gone"))
-    return rows.withColumns({text_col: changed, "removed_lines": F.coalesce("_gone_lines", F.lit(0))}).drop("_key", "_gone_id", "_gone_key", "_gone", "_gone_lines")
+    mark = "_gone"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # a name that no input column has
+        mark = f"_{mark}"
+    gone = removed.select(*[F.col(c).alias(f"{mark}_{c}") for c in ("id", "key", "removed", "removed_lines")])
+    rows = docs.withColumn(f"{mark}_text", F.xxhash64(text_col))
+    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col(f"{mark}_id")) & (F.col(f"{mark}_text") == F.col(f"{mark}_key")), "left")
+    changed = without(F.col(text_col), F.col(f"{mark}_removed"))
+    rows = rows.withColumns({text_col: changed, "removed_lines": F.coalesce(f"{mark}_removed_lines", F.lit(0))})
+    return rows.drop(f"{mark}_text", *[f"{mark}_{c}" for c in ("id", "key", "removed", "removed_lines")])
 
 
 @arrow_udf(T.StringType())
@@ -124,28 +128,45 @@ def _without_lines(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+@arrow_udf(_CHUNKS)
+def _long_chunks(texts: pa.Array) -> pa.Array:
+    """Every chunk with the MIN_LINES - 1 lines behind it; no is its first line's number."""
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("lines", pa.int32()), ("body", pa.string())]))
+    out = []
+    for t in texts:
+        lines = (t.as_py() or "").split("\n")
+        ends = [(a, min(b + MIN_LINES - 1, len(lines))) for a, b in chunk_spans(lines)]
+        out.append([{"no": a, "lines": b - a, "body": "\n".join(lines[a:b])} for a, b in ends if b - a >= MIN_LINES])
+    return pa.array(out, kind)
+
+
 def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, removed, removed_lines): per document (id and 64-bit text hash) that loses lines, their numbers.
 
     A run of MIN_LINES lines or more came before just if each window of MIN_LINES lines in it did, at least as many lines
-    ahead where it is the same document; so windows stand for runs of all lengths.
+    ahead where it is the same document; so windows stand for runs of all lengths. A window lies in the long chunk of its first line.
     """
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("instr(text, '\\n') > 0")
-    lines = F.split("text", "\n", -1)
+    found = rows.select("id", "key", F.explode(_long_chunks("text")).alias("c")).select("id", "key", "c.no", common.text_key(F.col("c.body")).alias("h"), F.col("c.body").alias("body"))
+    # grouping by the body compares bytes; of all occurrences the first place stays
+    first = F.min(F.struct(_place(F.col("id"), F.col("key")).alias("doc"), F.col("no")))
+    chunks = common.materialize(found.groupBy("h", "body").agg(first.alias("first"), F.count("*").alias("n")), "chunks")
+
+    lines = F.split("body", "\n", -1)
     windows = F.slice(lines, 1, F.size(lines) - (MIN_LINES - 1))
     for k in range(1, MIN_LINES):
         windows = F.zip_with(windows, F.slice(lines, k + 1, F.size(lines) - (MIN_LINES - 1)), lambda a, b: F.concat(a, F.lit("\n"), b))
-    found = rows.select("id", "key", F.posexplode(windows).alias("no", "body")).select("id", "key", "no", F.xxhash64("body").alias("h"), F.xxhash64(F.lit(7), "body").alias("h2"), "body")
-    first = F.min(F.struct(_place(F.col("id"), F.col("key")).alias("doc"), F.col("no")))
-    # grouping by the body compares bytes, as in removals
-    by_body = found.groupBy("h", "h2", "body").agg(first.alias("first"), F.count("*").alias("n"))
-    by_hash = by_body.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies"))
-    repeated = by_hash.where("n > 1 AND bodies = 1").select("h", "h2", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
-    repeated = common.materialize(repeated, "repeated-windows")  # joined as a table, so that Spark can split a hot window's rows
-    again = found.select("id", "key", "no", "h", "h2").join(repeated, ["h", "h2"])
-    again = again.where(~((F.col("doc") == _place(F.col("id"), F.col("key"))) & (F.col("no") < F.col("first_no") + MIN_LINES)))
-    gone = again.groupBy("id", "key").agg(F.collect_set("no").alias("starts"))
+    spread = chunks.select("h", "first", "n", F.posexplode(windows).alias("k", "window")).withColumn("w", common.text_key(F.col("window")))
+    earliest = F.min(F.struct(F.col("first.doc").alias("doc"), (F.col("first.no") + F.col("k")).alias("no")))
+    repeated = spread.groupBy("w", "window").agg(earliest.alias("first"), F.sum("n").alias("n")).where("n > 1").select("w", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    repeated = common.materialize(repeated, "repeated-windows")  # joined as tables, so that Spark can split a hot window's and a hot chunk's rows
+    marked = spread.select("h", "k", "w").join(repeated, "w").groupBy("h").agg(F.collect_list(F.struct("k", "doc", "first_no")).alias("marks"))  # of one chunk
+    marked = common.materialize(marked, "marked-chunks")
+
+    again = found.select("id", "key", "no", "h").join(marked, "h").withColumn("place", _place(F.col("id"), F.col("key")))
+    starts = F.expr(f"transform(filter(marks, m -> NOT (m.doc = place AND no + m.k < m.first_no + {MIN_LINES})), m -> no + m.k)")
+    gone = again.select("id", "key", starts.alias("starts")).where(F.size("starts") > 0).groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + MIN_LINES - 1))))
     return gone.select("id", "key", covered.alias("removed")).withColumn("removed_lines", F.size("removed"))
 

@@ -178,18 +178,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     like any other. Other columns are ignored. No documents give no rows.
     """
     spark = docs.sparkSession
-    cut = common.materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    parts = 8 * common.partitions(spark)
+    # a piece's part is written with it, by its row's number, so that equal rows are dealt out too
+    dealt = pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    cut = common.materialize(dealt, "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     planned = slots(plan(histogram, capacity))
 
     # rank within length: row number inside (length, part) plus the parts before it
-    parts = 8 * common.partitions(spark)
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
-    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    sizes = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = dealt.withColumn("at", F.row_number().over(inside)).join(sizes, ["length", "part"]).withColumn("rank", F.col("before") + F.col("at") - 1)
+    ranked = cut.withColumn("at", F.row_number().over(inside)).join(sizes, ["length", "part"]).withColumn("rank", F.col("before") + F.col("at") - 1)
 
     # the plan has a few thousand rows at most, whatever the number of documents
     table = spark.createDataFrame(pd.DataFrame(planned, columns=["length", "lo", "hi", "first", "each", "base"]), "length int, lo long, hi long, first long, each long, base long") if planned else spark.createDataFrame([], "length int, lo long, hi long, first long, each long, base long")

@@ -283,7 +283,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", w
     texts = raw.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # bucketed by its key: later joins move only what they bring to the texts
     name = f"helixframe_texts_{uuid.uuid4().hex}"
-    texts.write.bucketBy(parts, "t1", "t2").option("path", f"{common.shared_dir(spark)}/helixframe/{name}").saveAsTable(name)
+    path = f"{common.shared_dir(spark)}/helixframe/{name}"
+    common.written("table", name)
+    common.written("folder", path)
+    texts.write.bucketBy(parts, "t1", "t2").option("path", path).saveAsTable(name)
     texts = spark.table(name)
 
     ids = ["t1", "t2"]

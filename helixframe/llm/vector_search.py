@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     """Each query's k highest inner products over ``vectors``: query_id, rank (from 1), vec_id, score (double).
 
     Exact; ties go to the smaller id; rows with the query's own id are not its
-    candidates. Null ids, and vectors that are null, empty or hold null or
+    candidates. Ids are whole numbers; null and other ids, and vectors that are null, empty or hold null or
     non-finite components, take no part on either side. A shorter vector counts
     as padded by zeros. Repeated candidate rows count each; a repeated query row
     is answered once. Query ids are taken to be unique otherwise: rows of one id
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     def sound(df: DataFrame) -> DataFrame:
         v = F.col(vec_col)
         fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-        return df.select(F.col(id_col).cast("long").alias("_id"), v.cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & fine)
+        return df.select(F.col(id_col).try_cast("long").alias("_id"), v.cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & fine)
 
     # repeated rows become one with a count, so that none can fill a shard
     rows, asked = sound(vectors).groupBy("_id", "_v").count(), sound(queries).distinct()

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from helixframe.llm import decontaminate as D
 
 
@@ -70,5 +72,46 @@ def test_operator(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS_AN_INDEX", 25)
     several = D.find_leaks(docs, table)
     assert several.columns == [*docs.columns, "leaks"] and several.count() == len(texts) + 1
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in several.collect()} == want
+    named = D.find_leaks(docs, table.selectExpr("concat('id', item_id) as item_id", "text"))
+    assert named.where("size(leaks) > 0").count() == 0  # ids that are no whole numbers match nothing
     assert D.find_leaks(docs, table.limit(0)).where("size(leaks) > 0").count() == 0
     assert D.find_leaks(docs.limit(0), table).count() == 0
+
+
+def test_query(spark):
+    from helixframe.llm.q_decontaminate import op2_decontaminate
+
+    got = op2_decontaminate(spark, "/root/testdata/sf0.001")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("item_ids", "array<bigint>"), ("overlaps", "array<double>"), ("contaminated", "boolean")]
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    found = {r.doc_id: r.item_ids for r in got.collect()}
+    want = {r.doc_id: brute(r.text, items) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert found == want and any(want.values())
+
+
+def test_scratch_removes_what_operators_write(spark, monkeypatch):
+    import pathlib
+
+    from helixframe.llm import common
+
+    items, texts = cases(5)
+    monkeypatch.setattr(D, "ITEMS_AN_INDEX", 25)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file://")) / "helixframe"
+    before = set(folder.glob("*"))
+    with common.scratch(spark):
+        assert D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).count() == len(texts)
+        assert set(folder.glob("*")) > before
+    assert set(folder.glob("*")) == before
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from helixframe.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)

@@ -66,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{common.shared_dir(spark)}/helixframe/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with common.scratch(spark):  # what a stage wrote on the way goes; its result stays for the next
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 

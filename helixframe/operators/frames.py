@@ -128,14 +128,19 @@ def mahalanobis2(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumn("d2", d2).drop("_mx", "_my", "_vx", "_vy", "_c")
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Inner product and cosine of all pairs of a stated set of vectors."""
-    v = df.select(key, vector)
+def against(queries: DataFrame, rows: DataFrame, key: str, value: str, blocks: int = 16) -> DataFrame:
+    """(a, x, b, y): every row of a stated query set with every other row, by key and value. Queries go once to each of ``blocks`` blocks of rows."""
+    q = queries.select(F.col(key).alias("a"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    r = rows.select(F.col(key).alias("b"), F.col(value).alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
+    return q.join(r, "_b").where("a <> b").drop("_b")
+
+
+def cosine_pairs(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Inner product and cosine of a stated query set of vectors with all others."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    a, b = v.select(F.col(key).alias("a"), F.col(vector).alias("_x")), v.select(F.col(key).alias("b"), F.col(vector).alias("_y"))
-    j = a.join(b, F.col("a") < F.col("b"))
-    inner = dot(F.col("_x"), F.col("_y"))
-    return j.select("a", "b", inner.alias("inner"), (inner / F.sqrt(dot(F.col("_x"), F.col("_x")) * dot(F.col("_y"), F.col("_y")))).alias("cosine"))
+    norm = lambda df: df.select(key, F.struct(F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("n")).alias("_v"))
+    inner = dot(F.col("x.v"), F.col("y.v"))
+    return against(norm(queries), norm(rows), key, "_v").select("a", "b", inner.alias("inner"), (inner / (F.col("x.n") * F.col("y.n"))).alias("cosine"))
 
 
 def regulated(df: DataFrame, p: str, fold: str, most_p: float, least_fold: float) -> DataFrame:

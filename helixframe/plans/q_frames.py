@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from helixframe.operators import frames, sets
 from helixframe.plans.q_genotype import _G as DOSAGES
-from helixframe.plans.q_genotype import dosages, dosages_whole, whole_sql
+from helixframe.plans.q_genotype import dosages
 from helixframe.plans.q_multitest import pseudo_p
 from helixframe.sources import sinks
 from helixframe.sources.tables import table
@@ -57,7 +55,7 @@ def common_elements(spark, d):
 
 
 def marker_pairs(spark, d):
-    m = table(spark, d, "supplier").where("s_suppkey < 60").select("s_suppkey")
+    m = table(spark, d, "supplier").select("s_suppkey")
     return frames.ordered_pairs(m, "s_suppkey", (F.col("s_suppkey") % 4).cast("int"), 4)
 
 
@@ -82,7 +80,9 @@ def mahalanobis(spark, d):
 
 
 def cosine_pairs(spark, d):
-    got = frames.cosine_pairs(table(spark, d, "embeddings").where("vec_id < 40"), "vec_id", "embedding")
+    """Every twentieth vector against all others."""
+    v = table(spark, d, "embeddings")
+    got = frames.cosine_pairs(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding")
     return got.select("a", "b", F.round("inner", 5).alias("inner"), F.round("cosine", 5).alias("cosine"))
 
 
@@ -91,8 +91,8 @@ def regulated(spark, d):
     return frames.regulated(p, "p", "fold", 0.05, 1.0).select("o_orderkey", "side")
 
 
-def burden(spark, d, genotypes=dosages):
-    return frames.burden(genotypes(spark, d), "ind", "marker", "dosage").select("ind", F.round("burden", 4).alias("burden"))
+def burden(spark, d):
+    return frames.burden(dosages(spark, d), "ind", "marker", "dosage").select("ind", F.round("burden", 4).alias("burden"))
 
 
 def variant_density(spark, d):
@@ -121,22 +121,17 @@ ORACLES = {
     "has_variance": "SELECT c_nationkey, min(c_acctbal) <> max(c_acctbal) AS has_variance FROM customer GROUP BY 1",
     "bind_columns": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
     "common_elements": "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3",
-    "marker_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey < 60",
+    "marker_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey",
     "arm_chunks": """WITH o AS (SELECT o_orderstatus AS chr, o_orderkey AS pos, CASE WHEN o_orderkey < 2000 THEN 'p' ELSE 'q' END AS arm FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY chr, arm ORDER BY pos) - 1 AS n, count(*) OVER (PARTITION BY chr, arm) AS m FROM o),
       l AS (SELECT *, greatest(0, m // 300 - CASE WHEN m % 300 < 150 OR m % 300 = 0 THEN 1 ELSE 0 END) AS last FROM n), c AS (SELECT *, least(n // 300, last) AS own FROM l),
       u AS (SELECT chr, arm, pos, own AS chunk FROM c UNION ALL SELECT chr, arm, pos, own + 1 FROM c WHERE own < last AND (own + 1) * 300 - n <= 20) SELECT chr, arm, chunk, count(*) AS n, min(pos) AS first, max(pos) AS last FROM u GROUP BY 1, 2, 3""",
     "phase_blocks": "SELECT event_id, CAST(2 * sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM events",
     "covariances": " UNION ALL ".join(f"SELECT l_returnflag, '{x}' AS x, '{y}' AS y, round(covar_samp({x}, {y}), 3) + 0.0 AS covariance FROM lineitem GROUP BY 1" for i, x in enumerate(("l_quantity", "l_extendedprice", "l_tax")) for y in ("l_quantity", "l_extendedprice", "l_tax")[i:]),
     "mahalanobis": "WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS vx, var_samp(l_extendedprice) AS vy, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, round((pow(l_quantity - mx, 2) * vy - 2 * (l_quantity - mx) * (l_extendedprice - my) * c + pow(l_extendedprice - my, 2) * vx) / (vx * vy - c * c), 6) AS d2 FROM lineitem, s",
-    "cosine_pairs": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 5) AS inner, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 5) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id",
+    "cosine_pairs": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 5) AS inner, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 5) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0",
     "regulated": f"WITH p AS (SELECT o_orderkey, p, CAST((o_orderkey * 31 % 1000) / 100.0 AS DOUBLE) - 5 AS f FROM ({_P})) SELECT o_orderkey, CASE WHEN f > 1 THEN 'up' ELSE 'down' END AS side FROM p WHERE p <= 0.05 AND (f > 1 OR f < -1)",
     "burden": DOSAGES + ", f AS (SELECT marker, sum(dosage) > count(dosage) AS flip FROM g GROUP BY 1) SELECT ind, round(sum(CASE WHEN flip THEN 2 - dosage ELSE dosage END), 4) AS burden FROM g JOIN f USING (marker) GROUP BY 1",
     "variant_density": "SELECT o_orderstatus AS chr, o_orderkey // 500 * 500 AS win_start, count(*) AS n FROM orders GROUP BY 1, 2",
     "significant_rows": f"SELECT o_orderkey FROM ({_P}) WHERE p <= 0.01",
     "order_violations": "SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE o_totalprice < b",
 }
-
-#: From all line items.
-WHOLE = (burden,)
-QUERIES |= {f"{f.__name__}_whole": partial(f, genotypes=dosages_whole) for f in WHOLE}
-ORACLES |= {f"{f.__name__}_whole": whole_sql(ORACLES[f.__name__]) for f in WHOLE if f.__name__ in ORACLES}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from helixframe.operators import intervals, sets
@@ -64,8 +62,8 @@ def interval_total_length(spark, d):
     return intervals.total_length(sessions(spark, d))
 
 
-def sliding_row_windows(spark, d, of="o_orderkey % 4 = 0"):
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("chr"), "o_orderkey").where(of)
+def sliding_row_windows(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("chr"), "o_orderkey")
     return intervals.row_windows(o, "chr", "o_orderkey", 10, 5).groupBy("chr", F.col("win").cast("long").alias("win")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
@@ -100,10 +98,8 @@ ORACLES = {
     "interval_chunk": f"WITH s AS ({_S}) SELECT chr, x AS \"start\", least(x + 1000, \"end\") AS \"end\" FROM (SELECT chr, \"end\", unnest(range(\"start\", \"end\", 1000)) AS x FROM s)",
     "interval_midpoints": f"WITH s AS ({_S}) SELECT chr, \"start\", \"end\", (\"start\" + \"end\") // 2 AS mid FROM s",
     "interval_total_length": f"WITH s AS ({_S}) SELECT CAST(sum(\"end\" - \"start\") AS BIGINT) AS total_length FROM s",
-    "sliding_row_windows": """WITH o AS (SELECT o_orderpriority AS chr, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderkey % 4 = 0),
+    "sliding_row_windows": """WITH o AS (SELECT o_orderpriority AS chr, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders),
       w AS (SELECT chr, unnest(range(0, max(n) // 5 + 1)) AS win FROM o GROUP BY chr) SELECT w.chr, win, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM w JOIN o ON o.chr = w.chr AND o.n >= win * 5 AND o.n < win * 5 + 10 GROUP BY w.chr, win""",
     "sliding_coord_windows": f"WITH s AS ({_S})" + _COLLAPSE.format(n="c", gap=0, src="s") + " SELECT chr, x AS win_start, least(x + 3600, \"end\") AS win_end FROM (SELECT chr, \"end\", unnest(range(\"start\", \"end\", 1800)) AS x FROM c)",
     "span_grouping": "WITH e AS (SELECT event_id, user_id, CASE WHEN (event_type = 'click') <> lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM events) SELECT event_id, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS span FROM e",
 }
-QUERIES["sliding_row_windows_whole"] = partial(sliding_row_windows, of="true")
-ORACLES["sliding_row_windows_whole"] = ORACLES["sliding_row_windows"].replace(" WHERE o_orderkey % 4 = 0", "")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from helixframe.operators import joins
@@ -47,9 +45,9 @@ def lag_asof(spark, d):
     return joins.as_of(left, right, ["user_id"], "t", "value", "last_click").select("event_id", F.round("last_click", 6).alias("last_click"))
 
 
-def insertion_interval(spark, d, of="c_custkey % 10 = 0"):
+def insertion_interval(spark, d):
     p = table(spark, d, "part").select(F.col("p_retailprice").alias("x"))
-    s = table(spark, d, "customer").where("c_acctbal > 0").where(of).select("c_acctbal")
+    s = table(spark, d, "customer").where("c_acctbal > 0").select("c_acctbal")
     got = joins.insertion_interval(p, s, "x", "c_acctbal", 50.0)
     return got.select(F.round("x", 2).alias("x"), F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
 
@@ -101,7 +99,7 @@ ORACLES = {
     "merge_all_inputs": "SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 3) = 3",
     "merge_maps": "WITH o AS (SELECT o_custkey AS k, count(*) AS v FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, CAST(100 AS BIGINT) AS v FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(o.k, c.k) AS k, coalesce(o.v + c.v, o.v, c.v) AS v FROM o FULL JOIN c ON o.k = c.k",
     "lag_asof": "WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, round(r.value, 6) AS last_click FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts WHERE event_type <> 'click'",
-    "insertion_interval": "WITH s AS (SELECT DISTINCT c_acctbal AS v FROM customer WHERE c_acctbal > 0 AND c_custkey % 10 = 0), p AS (SELECT p_retailprice AS x, row_number() OVER () AS i FROM part) SELECT round(x, 2) AS x, round((SELECT max(v) FROM s WHERE v <= x), 2) AS lo, round((SELECT min(v) FROM s WHERE v > x), 2) AS hi FROM p",
+    "insertion_interval": "WITH s AS (SELECT DISTINCT c_acctbal AS v FROM customer WHERE c_acctbal > 0), p AS (SELECT p_retailprice AS x, row_number() OVER () AS i FROM part) SELECT round(x, 2) AS x, round((SELECT max(v) FROM s WHERE v <= x), 2) AS lo, round((SELECT min(v) FROM s WHERE v > x), 2) AS hi FROM p",
     "nearby_loci": "SELECT a.o_custkey AS chr, a.o_orderkey AS pos, b.o_orderkey AS pos_r FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey > a.o_orderkey AND b.o_orderkey - a.o_orderkey <= 2000",
     "compare_by_key": """WITH a AS (SELECT o_orderkey k, o_orderstatus s, o_orderpriority p FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 11 = 0 THEN '?' ELSE o_orderstatus END s, o_orderpriority p FROM orders WHERE o_orderkey % 7 <> 0)
       SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side, a.s IS NOT DISTINCT FROM b.s AS same_o_orderstatus, a.p IS NOT DISTINCT FROM b.p AS same_o_orderpriority FROM a FULL JOIN b ON a.k = b.k""",
@@ -113,5 +111,3 @@ ORACLES = {
 }
 
 #: On all customers.
-QUERIES["insertion_interval_whole"] = partial(insertion_interval, of="true")
-ORACLES["insertion_interval_whole"] = ORACLES["insertion_interval"].replace(" AND c_custkey % 10 = 0", "")

@@ -2,53 +2,56 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
-from helixframe.operators import alignment
+from helixframe.operators import alignment, frames
 from helixframe.sources.tables import table
 
 
+#: a-z as ACGT by code.
+_LETTERS = ("ACGT" * 7)[:26]
+
+
 def dna(spark, d, column="seq"):
-    """The letters a-z of the first text characters as ACGT by code, 60 at most."""
-    t = F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 60)
-    letters = F.translate(t, "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+    """All letters a-z of a text as ACGT."""
+    letters = F.translate(F.regexp_replace("text", "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", _LETTERS)
     return table(spark, d, "documents").select("doc_id", "lang", letters.alias(column))
 
 
-def dna_whole(spark, d, column="seq"):
-    """All letters a-z of the text as ACGT by code."""
-    letters = F.translate(F.regexp_replace("text", "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
-    return table(spark, d, "documents").select("doc_id", "lang", letters.alias(column))
+def names(spark, d):
+    """The letters of a part's name, brand and type as ACGT: short sequences, whole, for what compares every letter with every other."""
+    text = F.lower(F.concat("p_name", "p_brand", "p_type"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.translate(F.regexp_replace(text, "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", _LETTERS).alias("seq"))
 
 
-_DNA = "SELECT doc_id, lang, translate(substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
-_DNA_WHOLE = _DNA.replace("substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 60)", "regexp_replace(text, '[^a-z]', '', 'g')")
+_DNA = "SELECT doc_id, lang, translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
+_NAMES = "SELECT p_partkey AS id, translate(regexp_replace(lower(p_name || p_brand || p_type), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM part"
 
 
-def revcomp(spark, d, letters=dna):
-    return letters(spark, d).select("doc_id", sequence.reverse_complement(F.col("seq")).alias("rc"))
+def revcomp(spark, d):
+    return dna(spark, d).select("doc_id", sequence.reverse_complement(F.col("seq")).alias("rc"))
 
 
-def translate_codons(spark, d, letters=dna):
-    return letters(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
+def translate_codons(spark, d):
+    return dna(spark, d).select("doc_id", sequence.translate(F.col("seq")).alias("protein"))
 
 
-def kmer_counts(spark, d, letters=dna):
-    return letters(spark, d).select(F.explode(sequence.kmers(F.col("seq"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+def kmer_counts(spark, d):
+    return dna(spark, d).select(F.explode(sequence.kmers(F.col("seq"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def kmer_similarity(spark, d):
-    rows = dna(spark, d).where("doc_id < 40").select("doc_id", F.explode(F.array_distinct(sequence.kmers(F.col("seq"), 4))).alias("kmer"))
-    a, b = rows.select(F.col("doc_id").alias("a"), "kmer"), rows.select(F.col("doc_id").alias("b"), "kmer")
-    return a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Every twentieth document against all others."""
+    rows = dna(spark, d).select("doc_id", F.array_distinct(sequence.kmers(F.col("seq"), 4)).alias("k")).where(F.size("k") > 0)
+    got = frames.against(rows.where("doc_id % 20 = 0"), rows, "doc_id", "k")
+    return got.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).where("shared > 0")
 
 
-def _pairs(spark, d, n=30):
-    s = dna(spark, d).where(f"doc_id < {n}")
-    return s.select(F.col("doc_id").alias("a"), F.col("seq").alias("x")).crossJoin(F.broadcast(s.select(F.col("doc_id").alias("b"), F.col("seq").alias("y")))).where("a < b")
+def _pairs(spark, d):
+    """Every twentieth part against all others."""
+    s = names(spark, d)
+    return frames.against(s.where("id % 20 = 0"), s, "id", "seq")
 
 
 def edit_distance_pairs(spark, d):
@@ -64,26 +67,26 @@ def p_distance_pairs(spark, d):
     return _pairs(spark, d).select("a", "b", F.round(p, 6).alias("p"), F.round(sequence.jukes_cantor(p), 6).alias("jc69"))
 
 
-def letter_coverage(spark, d, letters=dna):
-    return alignment.column_counts(letters(spark, d), ["lang"], "seq").select("lang", F.col("pos").cast("long").alias("pos"), "letter", "n")
+def letter_coverage(spark, d):
+    return alignment.column_counts(dna(spark, d), ["lang"], "seq").select("lang", F.col("pos").cast("long").alias("pos"), "letter", "n")
 
 
-def consensus(spark, d, letters=dna):
-    return alignment.consensus(letters(spark, d), ["lang"], "seq")
+def consensus(spark, d):
+    return alignment.consensus(dna(spark, d), ["lang"], "seq")
 
 
-def masked_columns(spark, d, letters=dna):
-    return letters(spark, d).where("length(seq) > 10").select("doc_id", alignment.mask_columns(F.col("seq"), [0, 3, 9]).alias("masked"), alignment.delete_columns(F.col("seq"), [0, 3, 9]).alias("rest"), alignment.extract_columns(F.col("seq"), [0, 3, 9]).alias("taken"))
+def masked_columns(spark, d):
+    return dna(spark, d).where("length(seq) > 10").select("doc_id", alignment.mask_columns(F.col("seq"), [0, 3, 9]).alias("masked"), alignment.delete_columns(F.col("seq"), [0, 3, 9]).alias("rest"), alignment.extract_columns(F.col("seq"), [0, 3, 9]).alias("taken"))
 
 
 def binary_indicators(spark, d):
-    got = alignment.binary_indicators(dna(spark, d).where("doc_id < 200"), "doc_id", "seq", 5)
-    return got.select(F.col("pos").cast("long").alias("pos"), "letter", "doc_id")
+    got = alignment.binary_indicators(names(spark, d), "id", "seq", 5)
+    return got.select(F.col("pos").cast("long").alias("pos"), "letter", "id")
 
 
-def concatenated(spark, d, letters=dna):
-    s = letters(spark, d)
-    return alignment.concatenate([s.where("doc_id % 3 <> 0"), s.where("doc_id % 3 <> 1")], "doc_id", "seq")
+def concatenated(spark, d):
+    s = names(spark, d)
+    return alignment.concatenate([s.where("id % 3 <> 0"), s.where("id % 3 <> 1")], "id", "seq")
 
 
 def minimal_representation(spark, d):
@@ -98,38 +101,34 @@ def snp_classes(spark, d):
     return s.select("doc_id", sequence.is_snp(F.col("r"), F.col("a")).alias("snp"), sequence.is_transition(F.col("r"), F.col("a")).alias("transition"), sequence.is_transversion(F.col("r"), F.col("a")).alias("transversion"))
 
 
-def hypermutation(spark, d, letters=dna):
+def hypermutation(spark, d):
     """G followed by GG or GA contexts against the others, per document."""
-    s = letters(spark, d)
-    n = lambda p: F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - 1)), lambda i: F.col("seq").substr(i, F.lit(2))), lambda k: k.rlike(p))).cast("long")
-    return s.select("doc_id", n("^G[GA]$").alias("context"), n("^G[CT]$").alias("control"))
+    s = dna(spark, d)
+    n = lambda p: F.regexp_count("seq", F.lit(p)).cast("long")
+    return s.select("doc_id", n("G(?=[GA])").alias("context"), n("G(?=[CT])").alias("control"))
 
 
 QUERIES = {f.__name__: f for f in (revcomp, translate_codons, kmer_counts, kmer_similarity, edit_distance_pairs, hamming_pairs, p_distance_pairs, letter_coverage, consensus, masked_columns, binary_indicators, concatenated, minimal_representation, snp_classes, hypermutation)}
-#: The same over whole texts; minimal_representation and snp_classes look at no letter after the ninth.
-WHOLE = (revcomp, translate_codons, kmer_counts, letter_coverage, consensus, masked_columns, concatenated, hypermutation)
-QUERIES |= {f"{f.__name__}_whole": partial(f, letters=dna_whole) for f in WHOLE}
 
-_PAIR = f"WITH s AS ({_DNA}), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.seq AS x, b.seq AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.doc_id < 30 AND b.doc_id < 30)"
+_PAIR = f"WITH s AS ({_NAMES}), p AS (SELECT a.id AS a, b.id AS b, a.seq AS x, b.seq AS y FROM s a JOIN s b ON a.id <> b.id AND a.id % 20 = 0)"
 _HAM = "len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i]))"
 _POS = f"WITH s AS ({_DNA}), l AS (SELECT doc_id, lang, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS letter FROM s WHERE seq <> '')"
 ORACLES = {
     "revcomp": f"SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM ({_DNA})",
     "translate_codons": f"SELECT doc_id, array_to_string(list_transform(range(0, length(seq) // 3), lambda i: 'FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG'[CAST(16 * (instr('TCAG', seq[3 * i + 1]) - 1) + 4 * (instr('TCAG', seq[3 * i + 2]) - 1) + instr('TCAG', seq[3 * i + 3]) AS INT)]), '') AS protein FROM ({_DNA})",
     "kmer_counts": f"SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda i: seq[i:i + 3])) AS kmer FROM ({_DNA})) GROUP BY 1",
-    "kmer_similarity": f"WITH k AS (SELECT DISTINCT doc_id, kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 2), lambda i: seq[i:i + 3])) AS kmer FROM ({_DNA}) WHERE doc_id < 40)) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.doc_id < b.doc_id GROUP BY 1, 2",
+    "kmer_similarity": f"WITH k AS (SELECT DISTINCT doc_id, kmer FROM (SELECT doc_id, unnest(list_transform(range(1, length(seq) - 2), lambda i: seq[i:i + 3])) AS kmer FROM ({_DNA}))) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.doc_id <> b.doc_id AND a.doc_id % 20 = 0 GROUP BY 1, 2",
     "edit_distance_pairs": _PAIR + " SELECT a, b, levenshtein(x, y) AS edits FROM p",
     "hamming_pairs": _PAIR + f" SELECT a, b, {_HAM} AS mismatches FROM p",
     "p_distance_pairs": _PAIR + f", q AS (SELECT a, b, CASE WHEN least(length(x), length(y)) > 0 THEN {_HAM} / CAST(least(length(x), length(y)) AS DOUBLE) ELSE 0.0 END AS p FROM p) SELECT a, b, round(p, 6) AS p, round(CASE WHEN 1 - p * 4 / 3 > 0 THEN 0.0 - 0.75 * ln(1 - p * 4 / 3) ELSE 0.0 END, 6) AS jc69 FROM q",
     "letter_coverage": _POS + " SELECT lang, pos, letter, count(*) AS n FROM l GROUP BY ALL",
     "consensus": _POS + ", c AS (SELECT lang, pos, letter, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT lang, pos, letter FROM c QUALIFY row_number() OVER (PARTITION BY lang, pos ORDER BY n DESC, letter) = 1) SELECT lang, string_agg(letter, '' ORDER BY pos) AS consensus FROM b GROUP BY 1",
     "masked_columns": f"SELECT doc_id, 'N' || seq[2:3] || 'N' || seq[5:9] || 'N' || substr(seq, 11) AS masked, seq[2:3] || seq[5:9] || substr(seq, 11) AS rest, seq[1] || seq[4] || seq[10] AS taken FROM ({_DNA}) WHERE length(seq) > 10",
-    "binary_indicators": _POS + ", n AS (SELECT pos, letter, count(*) AS n FROM l WHERE doc_id < 200 GROUP BY ALL), k AS (SELECT pos, letter FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n, letter DESC) AS r FROM n) WHERE r > 1 AND n >= 5) SELECT l.pos, l.letter, doc_id FROM l JOIN k ON l.pos = k.pos AND l.letter = k.letter WHERE doc_id < 200",
-    "concatenated": f"WITH s AS ({_DNA}), a AS (SELECT * FROM s WHERE doc_id % 3 <> 0), b AS (SELECT * FROM s WHERE doc_id % 3 <> 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, rpad(coalesce(a.seq, ''), (SELECT max(length(seq))::INT FROM a), '-') || rpad(coalesce(b.seq, ''), (SELECT max(length(seq))::INT FROM b), '-') AS seq FROM a FULL JOIN b ON a.doc_id = b.doc_id",
+    "binary_indicators": f"WITH s AS ({_NAMES}), l AS (SELECT id, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS letter FROM s WHERE seq <> ''), n AS (SELECT pos, letter, count(*) AS n FROM l GROUP BY ALL), k AS (SELECT pos, letter FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n, letter DESC) AS r FROM n) WHERE r > 1 AND n >= 5) SELECT l.pos, l.letter, id FROM l JOIN k ON l.pos = k.pos AND l.letter = k.letter",
+    "concatenated": f"WITH s AS ({_NAMES}), a AS (SELECT * FROM s WHERE id % 3 <> 0), b AS (SELECT * FROM s WHERE id % 3 <> 1) SELECT coalesce(a.id, b.id) AS id, rpad(coalesce(a.seq, ''), (SELECT max(length(seq))::INT FROM a), '-') || rpad(coalesce(b.seq, ''), (SELECT max(length(seq))::INT FROM b), '-') AS seq FROM a FULL JOIN b ON a.id = b.id",
     "minimal_representation": f"""WITH s AS (SELECT doc_id, doc_id + 1000 AS pos, seq[1:6] AS r, seq[1:2] || seq[8:9] || seq[5:6] AS a FROM ({_DNA}) WHERE length(seq) >= 12),
       t AS (SELECT *, list_max(list_filter(range(0, 6), lambda n: right(r, n) = right(a, n))) AS t FROM s), u AS (SELECT doc_id, pos, left(r, 6 - t) AS r, left(a, 6 - t) AS a FROM t),
       h AS (SELECT *, list_max(list_filter(range(0, length(r)), lambda n: left(r, n) = left(a, n))) AS h FROM u) SELECT doc_id, pos + h AS pos, substr(r, h + 1) AS ref, substr(a, h + 1) AS alt FROM h""",
     "snp_classes": f"WITH s AS (SELECT doc_id, seq[1] AS r, seq[2] AS a FROM ({_DNA}) WHERE length(seq) >= 2) SELECT doc_id, r <> a AS snp, r || a IN ('AG', 'GA', 'CT', 'TC') AS transition, r <> a AND r || a NOT IN ('AG', 'GA', 'CT', 'TC') AS transversion FROM s",
     "hypermutation": f"SELECT doc_id, len(list_filter(range(1, length(seq)), lambda i: seq[i:i + 1] IN ('GG', 'GA'))) AS context, len(list_filter(range(1, length(seq)), lambda i: seq[i:i + 1] IN ('GC', 'GT'))) AS control FROM ({_DNA})",
 }
-ORACLES |= {f"{f.__name__}_whole": ORACLES[f.__name__].replace(_DNA, _DNA_WHOLE) for f in WHOLE}

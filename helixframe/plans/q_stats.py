@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from helixframe.functions import dist
@@ -157,13 +155,13 @@ def reverse_map(spark, d):
     return sets.reverse_map(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").select("s_nationkey", F.array_join("keys", ",").alias("keys"))
 
 
-def set_overlap(spark, d, of="l_partkey % 10 = 0"):
-    li = table(spark, d, "lineitem").where(of).select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
+def set_overlap(spark, d):
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
     return sets.set_overlap(li, "name", "l_partkey").select("a", "b", "size_a", "size_b", "overlap", *_r("share_a", "share_b"))
 
 
-def representative_sets(spark, d, of="l_partkey % 10 = 0"):
-    li = table(spark, d, "lineitem").where(of).select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
+def representative_sets(spark, d):
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 12).alias("name"), "l_partkey")
     return sets.representative_sets(li, "name", "l_partkey", 0.85)
 
 
@@ -184,10 +182,10 @@ def downsample_counts(spark, d):
     return sets.downsample_counts(c, "n", 1000, ["l_suppkey"]).select("l_suppkey", "n", "sampled")
 
 
-def connected_components(spark, d, of="l_partkey % 40 = 0", linked="u % 3 = v % 3"):
-    li = table(spark, d, "lineitem").where(of).select("l_suppkey", "l_partkey").distinct()
+def connected_components(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     e = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("m")).join(li, "l_partkey").select(F.col("l_suppkey").alias("u"), F.col("m").alias("v"))
-    return sets.components(e.where(linked), "u", "v")
+    return sets.components(e, "u", "v")
 
 
 def best_two(spark, d):
@@ -196,14 +194,11 @@ def best_two(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (summary_stats_by_segment, percentile_legacy, contingency_chisq, cramers_v, phi_2x2, mann_whitney_u, blom_rank, hwe_chisq, fisher_combine, ivw_meta, weighted_z, meta_flip, f_ratio, hypergeom_counts, hypergeom_upper_tail, gsea_running_sum, hist_fixed_step, hist_breaks, stratified_hist, box_five_numbers, qq_points, qq_lambda, manhattan_coords, letter_entropy, empirical_cdf, sfs, shared_at_least_k, reverse_map, set_overlap, representative_sets, reservoir_hash_sample, bernoulli_sample, fold_assignment, downsample_counts, connected_components, best_two)}
-#: The same on all parts.
-QUERIES |= {f"{f.__name__}_whole": partial(f, of="true") for f in (set_overlap, representative_sets)}
-QUERIES["connected_components_whole"] = partial(connected_components, of="true", linked="true")
 
 
 _P = "SELECT o_orderkey, o_custkey, x * x * x AS p FROM (SELECT o_orderkey, o_custkey, CAST((o_orderkey * 48271 % 2147483647) / 2147483647.0 AS DOUBLE) AS x FROM orders)"
 _EFF = "SELECT l_suppkey, l_partkey % 10 AS marker, avg(l_discount) AS beta, stddev_samp(l_discount) / sqrt(count(*)) AS se, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING stddev_samp(l_discount) > 0"
-_PAIRS = "WITH r AS (SELECT DISTINCT l_suppkey % 12 AS name, l_partkey FROM lineitem WHERE l_partkey % 10 = 0), z AS (SELECT name, count(*) AS size FROM r GROUP BY 1), p AS (SELECT a.name AS a, b.name AS b, count(*) AS overlap FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.name < b.name GROUP BY 1, 2), q AS (SELECT p.*, za.size AS size_a, zb.size AS size_b FROM p JOIN z za ON za.name = a JOIN z zb ON zb.name = b)"
+_PAIRS = "WITH r AS (SELECT DISTINCT l_suppkey % 12 AS name, l_partkey FROM lineitem), z AS (SELECT name, count(*) AS size FROM r GROUP BY 1), p AS (SELECT a.name AS a, b.name AS b, count(*) AS overlap FROM r a JOIN r b ON a.l_partkey = b.l_partkey AND a.name < b.name GROUP BY 1, 2), q AS (SELECT p.*, za.size AS size_a, zb.size AS size_b FROM p JOIN z za ON za.name = a JOIN z zb ON zb.name = b)"
 _U = "((o_orderkey * 1103515245 + {s}) % 2147483648) / 2147483648.0"
 _LEG = "CASE WHEN {q} * (n + 1) < 1 THEN v[1] WHEN {q} * (n + 1) >= n THEN v[n] ELSE v[CAST(floor({q} * (n + 1)) AS INT)] + ({q} * (n + 1) - floor({q} * (n + 1))) * (v[CAST(floor({q} * (n + 1)) AS INT) + 1] - v[CAST(floor({q} * (n + 1)) AS INT)]) END"
 ORACLES = {
@@ -242,8 +237,7 @@ ORACLES = {
     "bernoulli_sample": f"SELECT o_orderkey FROM orders WHERE {_U.format(s=12352)} < 0.1",
     "fold_assignment": f"SELECT o_orderkey, CAST(floor({_U.format(s=12345)} * 5) AS INTEGER) AS fold FROM orders",
     "downsample_counts": "WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT *, n * 1000 / CAST(sum(n) OVER () AS DOUBLE) AS x FROM c), b AS (SELECT *, CAST(floor(x) AS BIGINT) AS base, row_number() OVER (ORDER BY x - floor(x) DESC, l_suppkey) AS k FROM s) SELECT l_suppkey, n, base + CASE WHEN k <= 1000 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS sampled FROM b",
-    "connected_components": """WITH RECURSIVE li AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 40 = 0), e0 AS (SELECT DISTINCT l_suppkey AS u, min(l_suppkey) OVER (PARTITION BY l_partkey) AS v FROM li), e1 AS (SELECT * FROM e0 WHERE u <> v AND u % 3 = v % 3), e AS (SELECT u, v FROM e1 UNION SELECT v, u FROM e1),
+    "connected_components": """WITH RECURSIVE li AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), e0 AS (SELECT DISTINCT l_suppkey AS u, min(l_suppkey) OVER (PARTITION BY l_partkey) AS v FROM li), e1 AS (SELECT * FROM e0 WHERE u <> v), e AS (SELECT u, v FROM e1 UNION SELECT v, u FROM e1),
       r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS node, least(u, min(v)) AS root FROM r GROUP BY u""",
     "best_two": "WITH g AS (SELECT l_orderkey, l_returnflag, count(*) / 2 AS dose FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY dose DESC, l_returnflag) AS k FROM g) SELECT l_orderkey, max(l_returnflag) FILTER (k = 1) AS first, CASE WHEN max(dose) FILTER (k = 1) >= 1.33 THEN max(l_returnflag) FILTER (k = 1) ELSE max(l_returnflag) FILTER (k = 2) END AS second FROM r GROUP BY 1",
 }
-ORACLES |= {f"{n}_whole": ORACLES[n].replace(" WHERE l_partkey % 10 = 0", "") for n in ("set_overlap", "representative_sets")}

@@ -16,11 +16,11 @@ def test_parts_from_1000_on_count(spark, tmp_path):
         top[part % 40, supp % 60] = max(order, top.get((part % 40, supp % 60), 0))
     dose = {k: x * 7919 % 201 / 100 if x % 17 else None for k, x in top.items()}
     known = {m: [v for (k, _), v in dose.items() if k == m and v is not None] for m in range(40)}
-    got = {x.marker: x for x in run("maf_summary_whole")}
+    got = {x.marker: x for x in run("maf_summary")}
     assert set(got) == set(range(40))
     for m, x in got.items():
         assert x.n == len(known[m]) and math.isclose(x.freq, sum(known[m]) / (2 * x.n), abs_tol=1e-6)
-    gram = run("gram_matrix_whole")
+    gram = run("gram_matrix")
     assert len(gram) == 60 * 61 // 2 and max(x.i for x in gram) == 59
-    for name in ("marker_scan_whole", "ld_prune_whole", "burden_whole"):
+    for name in ("marker_scan", "ld_prune", "burden"):
         assert run(name)

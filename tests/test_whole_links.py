@@ -24,5 +24,5 @@ def test_all_parts_link(spark, tmp_path):
             a, b = sorted((top(s), top(min(group))))
             root[b] = a
     linked = {s for g in by.values() if len(g) > 1 for s in g}
-    got = catalogue.queries()["connected_components_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["connected_components"](spark, str(tmp_path)).collect()
     assert {x.node: x.root for x in got} == {s: top(s) for s in linked}

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from helixframe.session import stored
+
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in a total order; Spark limits each task's groups before the shuffle."""
@@ -84,21 +86,15 @@ def downsample_counts(df: DataFrame, count: str, total: int, order: Sequence[str
 
 
 def components(edges: DataFrame, u: str, v: str, max_rounds: int = 50) -> DataFrame:
-    """(node, root): least node of each connected component, by min-label hooking and pointer jumping; each round is cut off from its lineage by a reliable checkpoint where a folder is set."""
-    spark = edges.sparkSession
+    """(node, root): least node of each connected component, by min-label hooking and pointer jumping; each round ends in a table in the shared folder."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    reliable = bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined())
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if reliable else df.persist()
-
-    labels = cut(e.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
+    e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = stored(e.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
     for _ in range(max_rounds):
         near = e.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("_m"))
         hooked = labels.join(near, "node").select("node", "root", F.least("root", "_m").alias("_h"))
         jump = labels.select(F.col("node").alias("_h"), F.col("root").alias("_j"))
-        new = cut(hooked.join(jump, "_h").select("node", F.col("root").alias("_old"), F.least("_h", "_j").alias("root")))
+        new = stored(hooked.join(jump, "_h").select("node", F.col("root").alias("_old"), F.least("_h", "_j").alias("root")))
         changed = new.where("root <> _old").limit(1).count()
         labels = new.select("node", "root")
         if not changed:

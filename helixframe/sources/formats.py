@@ -120,7 +120,7 @@ def covariates(spark: SparkSession, path: str, missing: str = "-9") -> DataFrame
 def dosages(spark: SparkSession, path: str, missing: float = -9.0) -> DataFrame:
     """Text dosages in long form (snp, a1, a2, fid, iid, dosage): header ``SNP A1 A2 fid iid ..``; values outside [0, 2] other than the missing code fail the query."""
     df = lines(spark, path)
-    head = df.first()["value"].split()
+    head = df.where(F.col("value").startswith("SNP")).first()["value"].split()
     people = list(zip(head[3::2], head[4::2]))
     f = F.split(F.trim("value"), r"\s+")
     rows = df.where(~F.col("value").startswith("SNP")).select(f[0].alias("snp"), f[1].alias("a1"), f[2].alias("a2"), F.posexplode(F.slice(f, 4, len(people))).alias("_i", "_d"))
@@ -130,6 +130,36 @@ def dosages(spark: SparkSession, path: str, missing: float = -9.0) -> DataFrame:
     return rows.select("snp", "a1", "a2", F.element_at(who, F.col("_i") + 1).alias("_w"), value.alias("dosage")).select("snp", "a1", "a2", "_w.fid", "_w.iid", "dosage")
 
 
+def plink_dosage(spark: SparkSession, path: str, map_path: str, fam_path: str) -> DataFrame:
+    """Text dosages with their markers' places and their individuals' sex and phenotype; markers without a place and individuals not listed are dropped."""
+    d = dosages(spark, path)
+    people = fam(spark, fam_path).select("fid", "iid", "sex", "phenotype")
+    return d.join(map_file(spark, map_path).select("snp", "chr", "bp"), "snp").join(people, ["fid", "iid"]).select("snp", "chr", "bp", "a1", "a2", "fid", "iid", "sex", "phenotype", "dosage")
+
+
+def ped(spark: SparkSession, path: str, map_path: str) -> DataFrame:
+    """PED rows as long dosages (snp, fid, iid, a1, a2, dosage) of each marker's rarer letter a1 (ties: the lesser); ``0`` is missing.
+
+    The map's lines name the markers in their order; it is read to the driver, a name a marker.
+    """
+    names = [r["snp"] for r in map_file(spark, map_path).select("snp", F.monotonically_increasing_id().alias("n")).orderBy("n").collect()]
+    f = F.split(F.trim("value"), r"\s+")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.array(F.get(f, 2 * i + 6), F.get(f, 2 * i + 7)))
+    rows = lines(spark, path).select(f[0].alias("fid"), f[1].alias("iid"), F.posexplode(pairs).alias("_i", "_p"))
+    letters = rows.select("_i", F.explode("_p").alias("l")).where("l <> '0'").groupBy("_i", "l").agg(F.count("*").alias("n"))
+    alleles = letters.groupBy("_i").agg(F.min(F.struct("n", "l")).alias("low"), F.max(F.struct("n", "l")).alias("high"))
+    alleles = alleles.select("_i", F.col("low.l").alias("a1"), F.when(F.col("high.l") != F.col("low.l"), F.col("high.l")).alias("a2"))
+    count = F.size(F.filter("_p", lambda x: x == F.col("a1"))).cast("double")
+    known = ~F.array_contains("_p", "0")
+    return rows.join(alleles, "_i").select(F.element_at(F.lit(names), F.col("_i") + 1).alias("snp"), "fid", "iid", "a1", "a2", F.when(known, count).alias("dosage"))
+
+
+def genotype_store(spark: SparkSession, path: str, markers: Sequence[str] | None = None) -> DataFrame:
+    """Long dosages as ``sinks.genotype_store`` lays them out; listed markers reach the scan as a filter on sorted row groups."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("snp").isin(list(markers))) if markers is not None else df
+
+
 def genotype_probabilities(spark: SparkSession, path: str) -> DataFrame:
     """Triples of probabilities per individual in long form: dosage = 2 P(hom) + P(het). Columns: chr, snp, bp, a1, a2, then triples."""
     f = F.split(F.trim("value"), r"\s+")

@@ -52,7 +52,8 @@ def significant(df: DataFrame, p: str, threshold: float) -> DataFrame:
 def dosage_text(df: DataFrame, path: str, snp: str, a1: str, a2: str, individual: str, dosage: str, individuals: Sequence[str], missing: float = -9.0) -> None:
     """Markers as lines: snp a1 a2 and a dosage an individual, in the given order."""
     by = df.groupBy(snp, a1, a2).agg(F.map_from_entries(F.collect_list(F.struct(F.col(individual).cast("string"), F.coalesce(dosage, F.lit(missing))))).alias("_m"))
-    by.select(F.concat_ws(" ", snp, a1, a2, *[F.format_string("%.4f", F.coalesce(F.col("_m")[i], F.lit(missing))) for i in individuals]).alias("value")).write.text(path)
+    each = F.transform(F.lit(list(individuals)), lambda i: F.format_string("%.4f", F.coalesce(F.try_element_at("_m", i), F.lit(missing))))
+    by.select(F.concat_ws(" ", snp, a1, a2, each).alias("value")).write.text(path)
 
 
 def bim_lines(df: DataFrame) -> DataFrame:
@@ -83,3 +84,37 @@ def association(df: DataFrame, path: str) -> None:
     """Result rows under the header SNP CHR BP A1 BETA SE P; nulls as NA."""
     names = {"snp": "SNP", "chr": "CHR", "bp": "BP", "a1": "A1", "beta": "BETA", "se": "SE", "p": "P"}
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(n) for c, n in names.items()]).write.option("header", True).option("sep", " ").csv(path)
+
+
+def genotype_store(df: DataFrame, path: str, snp: str, individual: str, dosage: str) -> None:
+    """Long dosages as Parquet dealt out by ranges of the marker and sorted, so that a marker's rows stand in few row groups."""
+    df.select(F.col(snp).cast("string").alias("snp"), F.col(individual).cast("string").alias("individual"), F.col(dosage).alias("dosage")).repartitionByRange("snp").sortWithinPartitions("snp", "individual").write.parquet(path)
+
+
+def text_lines(df: DataFrame, path: str, header: str | None = None) -> None:
+    """One text column as lines; a header line in a file of its own, which readers know by what it holds."""
+    df.write.text(path)
+    if header is not None:
+        df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def genotype_probabilities(df: DataFrame, path: str, site: Sequence[str], individual: str, dosage: str, individuals: Sequence[str]) -> None:
+    """Site columns (chr, snp, bp, a1, a2) and the three probabilities of each individual's dosage; missing ones are zeros."""
+    by = df.groupBy(*site).agg(F.map_from_entries(F.collect_list(F.struct(F.col(individual).cast("string"), F.col(dosage)))).alias("_m"))
+    each = F.transform(F.transform(F.lit(list(individuals)), lambda i: F.try_element_at("_m", i)), lambda x: hard_calls(1.0, x))
+    triples = F.transform(each, lambda p: F.format_string("%.4f %.4f %.4f", *[F.coalesce(p[k], F.lit(0.0)) for k in ("hom", "het", "ref")]))
+    by.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in site], triples).alias("value")).write.text(path)
+
+
+def tped(df: DataFrame, path: str, site: Sequence[str], individual: str, dosage: str, individuals: Sequence[str], probability: float) -> None:
+    """Hard calls: chr, snp, 0, bp and two letters an individual; a call under ``probability`` is ``0 0``. ``site`` is chr, snp, bp, a1, a2."""
+    by = df.groupBy(*site).agg(F.map_from_entries(F.collect_list(F.struct(F.col(individual).cast("string"), F.col(dosage)))).alias("_m"))
+    a1, a2 = F.col(site[3]), F.col(site[4])
+
+    def letters(dosage: Column) -> Column:
+        call = hard_calls(probability, dosage)["call"]
+        return F.when(call == 2, F.concat_ws(" ", a1, a1)).when(call == 1, F.concat_ws(" ", a1, a2)).when(call == 0, F.concat_ws(" ", a2, a2)).otherwise("0 0")
+
+    each = F.transform(F.transform(F.lit(list(individuals)), lambda i: F.try_element_at("_m", i)), letters)
+    chr_, snp, bp = (F.col(c).cast("string") for c in site[:3])
+    by.select(F.concat_ws(" ", chr_, snp, F.lit("0"), bp, each).alias("value")).write.text(path)

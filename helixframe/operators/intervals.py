@@ -6,7 +6,9 @@ the bin where the later of both starts lies, so no distinct is needed. Empty int
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from helixframe.operators import ranges
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -33,11 +35,10 @@ def points_in(points: DataFrame, regions: DataFrame, by: str, pos: str, width: i
 def collapse(df: DataFrame, by: str, gap: int = 0, start: str = "start", end: str = "end") -> DataFrame:
     """Union of touching or overlapping intervals (up to ``gap`` apart): gaps and islands on a running maximum of ends."""
     # a union per (group, start) first: repeated intervals cost one row
-    df = df.groupBy(by, start).agg(F.max(end).alias(end))
-    before = Window.partitionBy(by).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(by).orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce((F.col(start) > F.max(end).over(before) + gap).cast("int"), F.lit(1))
-    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(upto))
+    rows = ranges.dealt(df.groupBy(by, start).agg(F.max(end).alias(end)), [by, start])
+    rows = ranges.running(rows, [by], [start], {"_reach": ("max", F.col(end))}, own=False)
+    new = F.coalesce((F.col(start) > F.col("_reach") + gap).cast("int"), F.lit(1))
+    island = ranges.running(rows.withColumn("_new", new), [by], [start], {"_island": ("sum", F.col("_new"))})
     return island.groupBy(by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
@@ -49,9 +50,9 @@ def _segments(a: DataFrame, b: DataFrame, by: str, start: str, end: str) -> Data
         return opens.unionByName(df.select(by, F.col(end).alias("pos"), F.lit(-1).alias(side), F.lit(0).alias(other)))
 
     moves = ends(a, "in_a", "in_b").unionByName(ends(b, "in_b", "in_a")).groupBy(by, "pos").agg(F.sum("in_a").alias("da"), F.sum("in_b").alias("db"))
-    w = Window.partitionBy(by).orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return moves.select(by, F.col("pos").alias(start), F.lead("pos").over(w).alias(end), F.sum("da").over(run).alias("a"), F.sum("db").over(run).alias("b")).where(F.col(end).isNotNull())
+    moves = ranges.dealt(moves, [by, "pos"])
+    swept = ranges.running(ranges.following(moves, [by], "pos", "_to"), [by], ["pos"], {"a": ("sum", F.col("da")), "b": ("sum", F.col("db"))})
+    return swept.select(by, F.col("pos").alias(start), F.col("_to").alias(end), "a", "b").where(F.col(end).isNotNull())
 
 
 def subtract(a: DataFrame, b: DataFrame, by: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -96,7 +97,7 @@ def coordinate_windows(df: DataFrame, by: str, size: int, step: int, start: str
 
 def row_windows(df: DataFrame, by: str, order: str, size: int, step: int) -> DataFrame:
     """Each row in every window of ``size`` consecutive rows that starts at a multiple of ``step``: (.., win). Windows that would run past the end are short."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     first = F.greatest(F.lit(0), F.ceil((F.col("_n") - size + 1) / step))
     wins = F.when(F.floor(F.col("_n") / step) >= first, F.sequence(first, F.floor(F.col("_n") / step)))
-    return df.withColumn("_n", n).withColumn("win", F.explode(wins)).drop("_n")
+    rows = ranges.running(ranges.dealt(df, [by, order]), [by], [order], {"_n": ("sum", F.lit(1))}).withColumn("_n", F.col("_n") - 1)
+    return rows.withColumn("win", F.explode(wins)).drop("_n", ranges.RANGE)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from helixframe.operators import ranges
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -62,31 +64,24 @@ def merge_maps(a: DataFrame, b: DataFrame, key: str, value: str, combine: Callab
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, out: str) -> DataFrame:
     """Add to every left row the ``value`` of the last right row of its ``by`` group at or before ``on``.
 
-    Both sides are unioned and swept once per group by a window, so nothing is paired up.
+    Both sides are unioned and swept once in ranges of their order, so nothing is paired up and no group is too long.
     """
     cols = left.columns
     l = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
     r = right.select(*by, on, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(F.col(on), F.col("_side"), F.col("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*cols, out)
+    swept = ranges.running(ranges.dealt(both, [*by, on]), by, [on, "_side", "_v"], {out: ("last", F.col("_v"))})
+    return swept.where("_side = 1").select(*cols, out)
 
 
-def insertion_interval(points: DataFrame, sorted_values: DataFrame, point: str, value: str, bin_width: float) -> DataFrame:
-    """For every point the greatest value <= it (``lo``) and the least value > it (``hi``), by a window over both, in ranges of ``bin_width`` whose neighbours are carried."""
-    p = points.select(F.col(point).alias("x"), F.lit(1).alias("is_point"), F.lit(None).cast("double").alias("v"))
+def insertion_interval(points: DataFrame, sorted_values: DataFrame, point: str, value: str) -> DataFrame:
+    """For every point the greatest value <= it (``lo``) and the least value > it (``hi``), by one sweep over both in ranges of their order."""
+    p = points.select(F.col(point).cast("double").alias("x"), F.lit(1).alias("is_point"), F.lit(None).cast("double").alias("v"))
     s = sorted_values.select(F.col(value).cast("double").alias("x"), F.lit(0).alias("is_point"), F.col(value).cast("double").alias("v")).distinct()
-    both = p.unionByName(s).withColumn("bin", F.floor(F.col("x") / bin_width))
-    # the last and first value of every bin reach the bins beside it: one row a bin
-    edge = both.where("is_point = 0").groupBy("bin").agg(F.min("v").alias("first"), F.max("v").alias("last"))
-    bins = both.select("bin").distinct().join(edge, "bin", "left")
-    back = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    bins = bins.select("bin", F.last("last", True).over(back).alias("below"), F.first("first", True).over(ahead).alias("above"))
-    before = Window.partitionBy("bin").orderBy("x", "is_point").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("bin").orderBy("x", "is_point").rowsBetween(1, Window.unboundedFollowing)
-    found = both.select("*", F.last("v", True).over(before).alias("lo"), F.first("v", True).over(after).alias("hi")).where("is_point = 1")
-    return found.join(bins, "bin").select(F.col("x").alias(point), F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
+    both = ranges.dealt(p.unionByName(s), ["x"])
+    below = ranges.running(both, [], ["x", "is_point"], {"lo": ("last", F.col("v"))})
+    found = ranges.running(below, [], ["x", "is_point"], {"hi": ("last", F.col("v"))}, own=False, backwards=True)
+    return found.where("is_point = 1").select(F.col("x").alias(point), "lo", "hi")
 
 
 def nearby(left: DataFrame, right: DataFrame, by: Sequence[str], pos: str, width: int) -> DataFrame:

@@ -1,45 +1,34 @@
 """Multiple-testing correction over a whole column of p-values.
 
 A global rank is the only thing Benjamini-Hochberg needs from the full data.
-Ranks come from counts of *distinct p-values* per range of the p axis, so no
-task ever holds more than one range and equal p-values cost one row.
+Ranks come from counts of *distinct p-values* per range of their order, so no
+task ever holds more than one range, however p-values crowd near 0, and equal ones cost one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-#: Ranges of [0, 1] into which p-values are dealt for ranking.
-RANGES = 4096
+from helixframe.operators import ranges
 
 
-def _bucketed(df: DataFrame, p: str) -> DataFrame:
-    """Distinct p with its count, range number and the count of p at or below it."""
+def _ranked(df: DataFrame, p: str) -> DataFrame:
+    """Distinct p (``_p``) with the count of p at or below it (``_rank``) and of all (``_m``), dealt out by ranges."""
     by_p = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    by_p = by_p.withColumn("_b", F.least(F.lit(RANGES - 1), F.floor(F.col("_p") * RANGES)).cast("int"))
-    inside = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    before = by_p.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    # at most RANGES rows, so a single-partition running sum is bounded
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("_b", F.coalesce(F.sum("_t").over(running), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_m"))
-    return by_p.withColumn("_in", F.sum("_n").over(inside)).join(F.broadcast(before), "_b").withColumn("_rank", F.col("_before") + F.col("_in"))
+    rows = ranges.running(ranges.dealt(by_p, ["_p"]), [], ["_p"], {"_rank": ("sum", F.col("_n"))})
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("_n").alias("_m"))))  # one row
 
 
 def bh_threshold(df: DataFrame, p: str, q: float) -> DataFrame:
     """Largest p with p <= q * rank / m as one row ``threshold`` (0.0 when none passes); null and NaN p are ignored."""
-    passed = _bucketed(df, p).where(F.col("_p") <= F.lit(q) * F.col("_rank") / F.col("_m"))
+    passed = _ranked(df, p).where(F.col("_p") <= F.lit(q) * F.col("_rank") / F.col("_m"))
     return passed.agg(F.coalesce(F.max("_p"), F.lit(0.0)).alias("threshold"))
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "p_adj") -> DataFrame:
     """Add the step-up adjusted p: min over larger p of m * p / rank, at most 1. Null and NaN p give null."""
-    ranked = _bucketed(df, p).withColumn("_raw", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank")))
-    after = Window.partitionBy("_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    mins = ranked.groupBy("_b").agg(F.min("_raw").alias("_lo"))
-    later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    mins = mins.select("_b", F.coalesce(F.min("_lo").over(later), F.lit(1.0)).alias("_later"))
-    adjusted = ranked.withColumn("_here", F.min("_raw").over(after)).join(F.broadcast(mins), "_b")
-    adjusted = adjusted.select("_p", F.least("_here", "_later").alias(out))
+    ranked = _ranked(df, p).withColumn("_raw", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank")))
+    adjusted = ranges.running(ranked, [], ["_p"], {out: ("min", F.col("_raw"))}, backwards=True).select("_p", out)
     return df.join(adjusted, df[p] == adjusted["_p"], "left").drop("_p")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from helixframe.operators import ranges
+
 
 def percentile_legacy(values: Column, q: float) -> Column:
     """Percentile at position q (n + 1) of a sorted array, linear between neighbours, clamped to the ends."""
@@ -20,17 +22,20 @@ def percentile_legacy(values: Column, q: float) -> Column:
 def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, sample sd, min, max and the five percentiles (R-7) per group, NaN and null left out."""
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    qs = {"p025": 0.025, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p975": 0.975}
-    return v.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(value, q).alias(k) for k, q in qs.items()]
-    )
+    shares = {"p025": 0.025, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p975": 0.975}
+    moments = v.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return _beside(moments, ranges.percentiles(v, by, value, shares), by)
+
+
+def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two results of the same groups side by side; null keys meet."""
+    keyed = b.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    return a.join(keyed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).drop(*[f"_k_{k}" for k in by]) if by else a.crossJoin(b)
 
 
 def _count_ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Distinct values of each group with count ``n`` and mid-rank: ties cost one row."""
-    by_value = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return by_value.withColumn("_upto", F.sum("n").over(w)).withColumn("midrank", F.col("_upto") - (F.col("n") - 1) / 2.0).drop("_upto")
+    return ranges.counted(df, by, value).withColumn("midrank", F.col("upto") - (F.col("n") - 1) / 2.0).drop("upto", "total")
 
 
 def mann_whitney(df: DataFrame, value: str, is_left: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -39,9 +44,7 @@ def mann_whitney(df: DataFrame, value: str, is_left: Column, by: Sequence[str] =
     by = list(by) or ["_all"]
     if by == ["_all"]:
         sides = sides.withColumn("_all", F.lit(1))
-    counts = sides.groupBy(*by, value).agg(F.count("*").alias("n"), F.sum("_left").alias("l"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("mid", F.sum("n").over(w) - (F.col("n") - 1) / 2.0)
+    ranked = ranges.counted(sides, by, value, {"l": F.sum("_left")}).withColumn("mid", F.col("upto") - (F.col("n") - 1) / 2.0)
     u = ranked.groupBy(*by).agg(F.sum(F.col("l") * F.col("mid")).alias("rank_sum"), F.sum("l").alias("n1"), F.sum(F.col("n") - F.col("l")).alias("n2"))
     u = u.withColumn("u", F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     sigma = F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0)
@@ -58,18 +61,10 @@ def blom_argument(df: DataFrame, value: str, c: float = 3 / 8, out: str = "blom_
     return df.join(ranked, df[value] == ranked["_v"], "left").drop("_v")
 
 
-def _rank_everything(df: DataFrame, value: str, ranges: int = 1024) -> DataFrame:
-    """Mid-ranks over a whole column without a single-task sort: ranges of the value axis, each ranked by itself, plus what lies below."""
-    by_value = df.groupBy(value).agg(F.count("*").alias("n"))
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    by_value = by_value.crossJoin(F.broadcast(ends)).withColumn("_b", F.least(F.lit(ranges - 1), F.floor((F.col(value) - F.col("lo")) / span * ranges)).cast("int"))
-    sizes = by_value.groupBy("_b").agg(F.sum("n").alias("_t"))  # at most ``ranges`` rows
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_b", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_below"), F.sum("_t").over(Window.partitionBy()).alias("_total"))
-    upto = F.sum("n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = by_value.withColumn("_upto", upto).join(F.broadcast(sizes), "_b")
-    return ranked.withColumn("midrank", F.col("_below") + F.col("_upto") - (F.col("n") - 1) / 2.0).select(value, "n", "midrank", "_total")
+def _rank_everything(df: DataFrame, value: str) -> DataFrame:
+    """Mid-ranks over a whole column without a single-task sort: value, n, midrank, _total."""
+    ranked = ranges.counted(df, [], value)
+    return ranked.select(value, "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("midrank"), F.col("total").alias("_total"))
 
 
 def contingency(df: DataFrame, rows: str, cols: str) -> DataFrame:
@@ -150,7 +145,10 @@ def histogram_breaks(df: DataFrame, value: str, breaks: Sequence[float]) -> Data
 
 def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Box-plot numbers per group: min, quartiles, max."""
-    return df.groupBy(*by).agg(F.min(value).alias("lo"), *[F.percentile(value, q).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.max(value).alias("hi"))
+    v = df.where(F.col(value).isNotNull())
+    ends = v.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    got = _beside(ends, ranges.percentiles(v, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
+    return got.select(*by, "lo", "q1", "median", "q3", "hi")
 
 
 def qq_points(df: DataFrame, p: str) -> DataFrame:
@@ -161,7 +159,7 @@ def qq_points(df: DataFrame, p: str) -> DataFrame:
 
 def qq_lambda(df: DataFrame, p: str) -> DataFrame:
     """0.5 / median(p)."""
-    return df.agg((F.lit(0.5) / F.percentile(p, 0.5)).alias("lambda"))
+    return ranges.percentiles(df.where(F.col(p).isNotNull()), [], p, {"m": 0.5}).select((F.lit(0.5) / F.col("m")).alias("lambda"))
 
 
 def manhattan(df: DataFrame, chromosome: str, pos: str) -> DataFrame:
@@ -174,11 +172,13 @@ def manhattan(df: DataFrame, chromosome: str, pos: str) -> DataFrame:
 
 def gsea(df: DataFrame, by: Sequence[str], order: str, weight: str, member: Column) -> DataFrame:
     """Running-sum enrichment score per group: weighted hits up, misses down; the extreme deviation; null where all or none are members."""
-    w = Window.partitionBy(*by).orderBy(F.col(weight).desc(), order).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
     hit = F.when(member, F.abs(weight)).otherwise(0.0)
-    miss = F.when(member, 0.0).otherwise(1.0)
-    run = df.select(*by, (F.try_divide(F.sum(hit).over(w), F.sum(hit).over(every)) - F.try_divide(F.sum(miss).over(w), F.sum(miss).over(every))).alias("_s"))
+    rows = df.select(*by, order, weight, hit.alias("_hit"), F.when(member, 0.0).otherwise(1.0).alias("_miss"))
+    totals = rows.groupBy(*by).agg(F.sum("_hit").alias("_hits"), F.sum("_miss").alias("_misses"))
+    # by falling weight: ranges of its negative
+    rows = ranges.dealt(rows.withColumn("_down", -F.col(weight)), [*by, "_down", order])
+    rows = _beside(ranges.running(rows, by, ["_down", order], {"_h": ("sum", F.col("_hit")), "_m": ("sum", F.col("_miss"))}), totals, by)
+    run = rows.select(*by, (F.try_divide("_h", "_hits") - F.try_divide("_m", "_misses")).alias("_s"))
     got = run.groupBy(*by).agg(F.max("_s").alias("_hi"), F.min("_s").alias("_lo"))
     return got.select(*by, F.when(F.col("_hi") >= -F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("es"))
 

@@ -48,7 +48,7 @@ def lag_asof(spark, d):
 def insertion_interval(spark, d):
     p = table(spark, d, "part").select(F.col("p_retailprice").alias("x"))
     s = table(spark, d, "customer").where("c_acctbal > 0").select("c_acctbal")
-    got = joins.insertion_interval(p, s, "x", "c_acctbal", 50.0)
+    got = joins.insertion_interval(p, s, "x", "c_acctbal")
     return got.select(F.round("x", 2).alias("x"), F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
 
 

@@ -164,3 +164,47 @@ def _lcs(a: str, b: str) -> str:
 def lcs_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     """A longest common subsequence of two strings."""
     return pd.Series([_lcs(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)])
+
+
+def index_map(df: DataFrame, key: str, seq: str, gap: str = "-") -> DataFrame:
+    """(key, column, residue): the column of every residue of a gapped sequence, both from 0."""
+    kept = df.select(key, F.filter(F.transform(F.split(seq, ""), lambda x, i: F.when((x != gap) & (x != ""), i)), lambda i: i.isNotNull()).alias("_at"))
+    return kept.select(key, F.posexplode("_at").alias("residue", "column")).select(key, "column", "residue")
+
+
+def back_aligned(protein: Column, dna: Column, gap: str = "-") -> Column:
+    """A gapped protein's codons: three gaps for each gap, the next codon of ``dna`` for each residue; in the reading frame
+    (shifts of -2 to 2 letters) whose translation agrees with the residues at most places, the least shift at ties. Residues beyond the letters become ``NNN``."""
+    residues = F.replace(protein, F.lit(gap), F.lit(""))
+
+    def framed(shift: int) -> Column:
+        return dna.substr(F.lit(1 + shift), F.length(dna)) if shift >= 0 else F.concat(F.lit("N" * -shift), dna)
+
+    def agree(shift: int) -> Column:
+        from helixframe.functions import sequence
+
+        return F.size(F.filter(F.arrays_zip(F.split(residues, "").alias("a"), F.split(sequence.translate(framed(shift)), "").alias("b")), lambda p: p["a"] == p["b"]))
+
+    shifts = (0, 1, -1, 2, -2)
+    best = F.greatest(*[agree(s) for s in shifts])
+    chosen = F.coalesce(*[F.when(agree(s) == best, framed(s)) for s in shifts])
+    number = lambda i: F.length(F.replace(protein.substr(F.lit(1), i), F.lit(gap), F.lit("")))
+    codon = lambda i: F.rpad(chosen.substr(3 * number(i) + 1, F.lit(3)), 3, "N")
+    return F.array_join(F.transform(F.split(protein, ""), lambda x, i: F.when(x == gap, F.lit(gap * 3)).when(x == "", "").otherwise(codon(i))), "")
+
+
+def reference_sites(df: DataFrame, key: str, seq: str, reference: Column, least: int) -> DataFrame:
+    """(pos, key, differs) of the columns where at least ``least`` sequences differ from the reference and as many agree; of columns with the same or the opposite pattern the first stays."""
+    rows = df.select(key, F.posexplode(F.split(seq, "")).alias("pos", "_l"), F.split(reference, "").alias("_r")).where("_l <> ''")
+    rows = rows.where(F.col("pos") < F.size("_r")).select(key, "pos", (F.col("_l") != F.get("_r", F.col("pos"))).alias("differs"))
+    sites = rows.groupBy("pos").agg(F.count_if("differs").alias("_n"), F.count("*").alias("_all"), F.sum(F.xxhash64(F.col(key), "differs").cast("decimal(38,0)")).alias("_h"), F.sum(F.xxhash64(F.col(key), ~F.col("differs")).cast("decimal(38,0)")).alias("_g"))
+    sites = sites.where((F.col("_n") >= least) & (F.col("_all") - F.col("_n") >= least))
+    firsts = sites.groupBy(F.least("_h", "_g").alias("_k")).agg(F.min("pos").alias("pos"))
+    return rows.join(firsts.select("pos"), "pos", "left_semi").select("pos", key, "differs")
+
+
+def variant_calls(counts: DataFrame, by: Sequence[str], letter: str, n: str, least_share: float, least_depth: int) -> DataFrame:
+    """Letter counts of each place to calls: share of the depth, ``major`` (the most frequent, ties to the lesser letter) and ``minority`` (another letter of ``least_share`` or more); places under ``least_depth`` are left out."""
+    depth = counts.groupBy(*by).agg(F.sum(n).alias("depth"), F.min(F.struct((-F.col(n)).alias("m"), F.col(letter).alias("l"))).alias("_top")).where(F.col("depth") >= least_depth)
+    got = counts.join(depth, list(by)).withColumn("share", F.col(n) / F.col("depth")).withColumn("major", F.col(letter) == F.col("_top.l"))
+    return got.select(*by, letter, n, "depth", "share", "major", (~F.col("major") & (F.col("share") >= least_share)).alias("minority"))

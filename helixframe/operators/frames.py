@@ -128,6 +128,11 @@ def mahalanobis2(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumn("d2", d2).drop("_mx", "_my", "_vx", "_vy", "_c")
 
 
+def in_ellipsoid(df: DataFrame, x: str, y: str, level: float, out: str = "inside") -> DataFrame:
+    """Whether each row lies in the confidence ellipse of two columns at a level: squared distance at most -2 ln(1 - level), the quantile of two degrees."""
+    return mahalanobis2(df, x, y).withColumn(out, F.col("d2") <= F.lit(-2.0) * F.log(F.lit(1 - level)))
+
+
 def against(queries: DataFrame, rows: DataFrame, key: str, value: str, blocks: int = 16) -> DataFrame:
     """(a, x, b, y): every row of a stated query set with every other row, by key and value. Queries go once to each of ``blocks`` blocks of rows."""
     q = queries.select(F.col(key).alias("a"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))

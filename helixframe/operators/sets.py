@@ -133,3 +133,8 @@ def multinomial(df: DataFrame, name: str, weight: str, draws: int, seed: int = 0
     steps = df.where(F.col(weight) > 0).crossJoin(F.broadcast(total)).select(F.lit(1).alias("_g"), F.coalesce(F.sum(F.col(weight) / F.col("_t")).over(w), F.lit(0.0)).alias("x"), name)  # one row a category
     u = spark.range(draws).select(F.lit(1).alias("_g"), hash_uniform(F.col("id") * 40503, seed).alias("x"))
     return as_of(u, steps, ["_g"], "x", name, "_d").groupBy(F.col("_d").alias(name)).agg(F.count("*").alias("n"))
+
+
+def jump(df: DataFrame, by: Sequence[str], order: str, predicate: Column) -> DataFrame:
+    """Where a predicate that holds from some row on begins: (by.., last_false, first_true), null where it holds for all or none."""
+    return df.groupBy(*by).agg(F.max(F.when(~predicate, F.col(order))).alias("last_false"), F.min(F.when(predicate, F.col(order))).alias("first_true"))

@@ -280,3 +280,17 @@ def association(spark: SparkSession, path: str) -> DataFrame:
 def row_range(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
     """Rows of numbers [start, end) in a column of row numbers."""
     return df.where((F.col(order) >= start) & (F.col(order) < end))
+
+
+def heritability(spark: SparkSession, path: str) -> DataFrame:
+    """Heritability estimates (source, value, se) of a variance-component run: tab-separated lines under a header; lines of one value have no se."""
+    f = F.split("value", "\t")
+    got = lines(spark, path).where(~F.col("value").startswith("Source"))
+    return got.select(f[0].alias("source"), f[1].try_cast("double").alias("value"), F.get(f, F.lit(2)).try_cast("double").alias("se"))
+
+
+def principal_component_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of a principal-component run in long form (individual, component, score): a first line of eigenvalues begins with ``#``; the last field is the population."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines(spark, path).where(~F.trim("value").startswith("#"))
+    return rows.select(f[0].alias("individual"), F.element_at(f, -1).alias("population"), F.posexplode(F.slice(f, 2, F.size(f) - 2)).alias("component", "_s")).select("individual", "population", "component", F.col("_s").cast("double").alias("score"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A-Z to a-z and nothing else, for str.translate and F.translate.
@@ -19,7 +21,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, since texts may be long; a tighter setting of the caller's stays."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):
         try:
             now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         except Exception as e:  # the setting is unknown to this version
@@ -75,6 +77,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a batch has freed back to the system: Python workers serve many stages, and what one leaves behind counts against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

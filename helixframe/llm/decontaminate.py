@@ -202,7 +202,9 @@ def _leaked(index):
 
     @arrow_udf(LEAKS)
     def leaked(texts: pa.Array) -> pa.Array:
-        return pa.array(index.value.leaks([t.as_py() for t in texts]), kind)
+        out = pa.array(index.value.leaks([t.as_py() for t in texts]), kind)
+        common.release()
+        return out
 
     return leaked
 

@@ -55,7 +55,10 @@ def _chunks(texts: pa.Array) -> pa.Array:
     for t in texts:
         lines = (t.as_py() or "").split("\n")
         out.append([(k, b - a, "\n".join(lines[a:b])) for k, (a, b) in enumerate(chunk_spans(lines)) if b - a >= MIN_LINES])
-    return pa.array([[{"no": k, "lines": n, "body": s} for k, n, s in row] for row in out], kind)
+    found = pa.array([[{"no": k, "lines": n, "body": s} for k, n, s in row] for row in out], kind)
+    del out
+    common.release()
+    return found
 
 
 @arrow_udf(T.StringType())

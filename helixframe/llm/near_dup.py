@@ -121,7 +121,10 @@ def _sketcher(bands: int):
         keys = band_keys(s, bands) if len(s) else s
         short = (s & np.uint64(255)).astype(np.uint8)
         kind = pa.struct([("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-        return pa.array([{"n": len(x), "bands": k if len(x) else [], "sketch": b.tobytes() if len(x) else b""} for x, k, b in zip(sets, keys, short)], kind)
+        out = pa.array([{"n": len(x), "bands": k if len(x) else [], "sketch": b.tobytes() if len(x) else b""} for x, k, b in zip(sets, keys, short)], kind)
+        del sets, s, keys, short
+        common.release()
+        return out
 
     return sketched
 
@@ -145,6 +148,8 @@ def _verifier(percent: int):
             x, y = of(x.as_py()), of(y.as_py())
             both = len(x & y)
             out.append(100 * both >= percent * (len(x) + len(y) - both))
+        lately.clear()
+        common.release()
         return pa.array(out, pa.bool_())
 
     return linked

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 #: Words whose token ids a worker remembers, at most.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 #: Texts of these characters only are cut into words by ``SPLIT``; all others go to the tokenizer whole.
 PLAIN = re.compile("[\\n\\r\\t\x20-~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's published word pattern, for texts of PLAIN's characters.
@@ -102,6 +102,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                     at, k = at + size, k + 1
             types = pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

@@ -197,6 +197,8 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "tox
 
     @arrow_udf(T.ArrayType(T.DoubleType()))
     def predicted(texts: pa.Array) -> pa.Array:
-        return pa.array(list(sent.value.predict([t.as_py() for t in texts])), pa.list_(pa.float64()))
+        out = pa.array(list(sent.value.predict([t.as_py() for t in texts])), pa.list_(pa.float64()))
+        common.release()
+        return out
 
     return docs.withColumn(out, predicted(F.col(text_col)))

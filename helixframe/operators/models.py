@@ -55,6 +55,9 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, yty: float, sy: float, n: int, ridg
                 kept.append(c)
         use = kept
     beta, se = np.full(k, np.nan), np.full(k, np.nan)
+    scale = np.sqrt(np.diag(a)[use])
+    if not (scale > 0).all() or np.linalg.matrix_rank(a[np.ix_(use, use)] / np.outer(scale, scale), tol=1e-9) < len(use):
+        return {"beta": beta, "se": se, "r2": np.nan, "loglik": np.nan}
     try:
         inv = np.linalg.inv(a[np.ix_(use, use)])
     except np.linalg.LinAlgError:

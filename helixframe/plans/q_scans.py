@@ -22,7 +22,7 @@ def _people(spark, d):
 def marker_scan_interactions(spark, d):
     """Two phenotypes under two recodings on every marker, with a covariate and its product."""
     got = scans.marker_scan(_people(spark, d), "marker", "dosage", ["y1", "y2"], ["ADD", "DOM"], interaction="c")
-    return got.select("phenotype", "model", "marker", "term", F.round("beta", 5).alias("beta"), "n")
+    return got.select("phenotype", "model", "marker", "term", (F.round("beta", 5) + 0.0).alias("beta"), "n")
 
 
 def region_set_scan(spark, d):
@@ -157,11 +157,11 @@ def component_scores(spark, d):
 QUERIES = {f.__name__: f for f in (marker_scan_interactions, region_set_scan, recoded_genotypes, spike_dose_response, spike_fold_changes, regression_by_scale, confidence_ellipse, gene_lengths, longest_transcripts, numeric_columns, formatted_numbers, two_level_coding, jump_bounds, gapped_index_map, back_alignment, reference_sites, variant_calls, distribution_tails, normal_round_trip, global_alignment_scores, heritability_rows, component_scores)}
 
 _PEOPLE = _G + ", h AS (SELECT marker, ind, dosage, ind % 2 AS c, 'y1' AS phenotype, CAST((ind * 37 % 101) / 10.0 AS DOUBLE) AS y FROM g UNION ALL SELECT marker, ind, dosage, ind % 2, 'y2', CASE WHEN ind % 7 <> 0 THEN CAST((ind * 53 % 97) / 10.0 AS DOUBLE) END FROM g)"
-_SCAN = _PEOPLE + ", x AS (SELECT phenotype, 'ADD' AS model, marker, c, y, dosage AS x FROM h UNION ALL SELECT phenotype, 'DOM', marker, c, y, CASE WHEN dosage IS NOT NULL THEN CASE WHEN floor(dosage + 0.5) >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END FROM h), r AS (SELECT phenotype, model, marker, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, regr_slope(y, x) FILTER (c = 0) AS s0, regr_slope(y, x) FILTER (c = 1) AS s1, regr_intercept(y, x) FILTER (c = 0) AS i0, regr_intercept(y, x) FILTER (c = 1) AS i1 FROM x GROUP BY 1, 2, 3)"
+_SCAN = _PEOPLE + ", x AS (SELECT phenotype, 'ADD' AS model, marker, c, y, dosage AS x FROM h UNION ALL SELECT phenotype, 'DOM', marker, c, y, CASE WHEN dosage IS NOT NULL THEN CASE WHEN floor(dosage + 0.5) >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END FROM h), r AS (SELECT phenotype, model, marker, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, regr_slope(y, x) FILTER (c = 0) AS s0, regr_slope(y, x) FILTER (c = 1) AS s1, regr_intercept(y, x) FILTER (c = 0) AS i0, regr_intercept(y, x) FILTER (c = 1) AS i1, coalesce(least(var_pop(CASE WHEN y IS NOT NULL THEN x END) FILTER (c = 0), var_pop(CASE WHEN y IS NOT NULL THEN x END) FILTER (c = 1)), 0) > 1e-12 AND count(*) FILTER (c = 0 AND x IS NOT NULL AND y IS NOT NULL) > 0 AND count(*) FILTER (c = 1 AND x IS NOT NULL AND y IS NOT NULL) > 0 AS sound FROM x GROUP BY 1, 2, 3)"
 _EX = "SELECT 'g' || l_partkey AS gene, 't' || l_suppkey AS transcript, l_orderkey * 3 AS s, l_orderkey * 3 + CAST(l_quantity AS BIGINT) AS e FROM lineitem"
 _PP = "SELECT o_orderkey, CAST((o_orderkey * 48271 % 2147483647) / 2147483647.0 AS DOUBLE) AS p FROM orders"
 ORACLES = {
-    "marker_scan_interactions": _SCAN + " " + " UNION ALL ".join(f"SELECT phenotype, model, marker, '{t}' AS term, round({b}, 5) AS beta, n FROM r" for t, b in (("intercept", "i0"), ("dosage", "s0"), ("c", "i1 - i0"), ("interaction", "s1 - s0"))),
+    "marker_scan_interactions": _SCAN + " " + " UNION ALL ".join(f"SELECT phenotype, model, marker, '{t}' AS term, CASE WHEN sound THEN round({b}, 5) + 0.0::DOUBLE END AS beta, n FROM r WHERE n > 0" for t, b in (("intercept", "i0"), ("dosage", "s0"), ("c", "i1 - i0"), ("interaction", "s1 - s0"))),
     "region_set_scan": _PEOPLE + """, kk AS (SELECT 'set' || i AS "set", i % 2 AS chr, i * 400 AS a, i * 400 + 900 AS b FROM range(10) t(i)), z AS (SELECT kk."set", h.phenotype, h.marker, h.ind, h.dosage AS x, h.y FROM h JOIN kk ON h.marker % 2 = kk.chr AND h.marker * 100 >= a AND h.marker * 100 < b WHERE dosage IS NOT NULL AND y IS NOT NULL),
       p AS (SELECT "set", phenotype, ind, max(y) AS y, sum(x) AS b FROM z GROUP BY 1, 2, 3), s AS (SELECT "set", phenotype, count(*) AS n, var_pop(y) AS v, avg(y) AS m, regr_slope(y, b) AS burden_slope, regr_r2(y, b) AS burden_r2 FROM p GROUP BY 1, 2),
       u AS (SELECT "set", phenotype, marker, sum(x * y) AS xy, sum(x) AS sx FROM z GROUP BY 1, 2, 3) SELECT "set", phenotype, count(*) AS n_markers, any_value(n) AS n, round(sum(pow(xy - sx * m, 2) / v), 5) AS q, round(any_value(burden_slope), 5) AS burden_slope, round(any_value(burden_r2), 5) AS burden_r2 FROM u JOIN s USING ("set", phenotype) GROUP BY 1, 2""",

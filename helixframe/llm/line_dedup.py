@@ -162,7 +162,9 @@ def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         windows = F.zip_with(windows, F.slice(lines, k + 1, F.size(lines) - (MIN_LINES - 1)), lambda a, b: F.concat(a, F.lit("\n"), b))
     spread = chunks.select("h", "first", "n", F.posexplode(windows).alias("k", "window")).withColumn("w", common.text_key(F.col("window")))
     earliest = F.min(F.struct(F.col("first.doc").alias("doc"), (F.col("first.no") + F.col("k")).alias("no")))
-    repeated = spread.groupBy("w", "window").agg(earliest.alias("first"), F.sum("n").alias("n")).where("n > 1").select("w", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    # digests first: the bytes of windows that stand alone are not shuffled
+    twice = common.materialize(spread.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "repeated-digests")
+    repeated = spread.join(twice, "w", "left_semi").groupBy("w", "window").agg(earliest.alias("first"), F.sum("n").alias("n")).where("n > 1").select("w", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
     repeated = common.materialize(repeated, "repeated-windows")  # joined as tables, so that Spark can split a hot window's and a hot chunk's rows
     marked = spread.select("h", "k", "w").join(repeated, "w").groupBy("h").agg(F.collect_list(F.struct("k", "doc", "first_no")).alias("marks"))  # of one chunk
     marked = common.materialize(marked, "marked-chunks")

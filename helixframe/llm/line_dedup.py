@@ -154,19 +154,25 @@ def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = rows.select("id", "key", F.explode(_long_chunks("text")).alias("c")).select("id", "key", "c.no", common.text_key(F.col("c.body")).alias("h"), F.col("c.body").alias("body"))
     # grouping by the body compares bytes; of all occurrences the first place stays
     first = F.min(F.struct(_place(F.col("id"), F.col("key")).alias("doc"), F.col("no")))
-    chunks = common.materialize(found.groupBy("h", "body").agg(first.alias("first"), F.count("*").alias("n")), "chunks")
-
     lines = F.split("body", "\n", -1)
     windows = F.slice(lines, 1, F.size(lines) - (MIN_LINES - 1))
     for k in range(1, MIN_LINES):
         windows = F.zip_with(windows, F.slice(lines, k + 1, F.size(lines) - (MIN_LINES - 1)), lambda a, b: F.concat(a, F.lit("\n"), b))
-    spread = chunks.select("h", "first", "n", F.posexplode(windows).alias("k", "window")).withColumn("w", common.text_key(F.col("window")))
-    earliest = F.min(F.struct(F.col("first.doc").alias("doc"), (F.col("first.no") + F.col("k")).alias("no")))
-    # digests first: the bytes of windows that stand alone are not shuffled
-    twice = common.materialize(spread.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "repeated-digests")
-    repeated = spread.join(twice, "w", "left_semi").groupBy("w", "window").agg(earliest.alias("first"), F.sum("n").alias("n")).where("n > 1").select("w", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
+    chunks = found.groupBy("h", "body").agg(first.alias("first"), F.count("*").alias("n"))
+    chunks = common.materialize(chunks.withColumn("digests", F.transform(windows, common.text_key)), "chunks")
+
+    spread = chunks.select("h", "first", "n", F.posexplode("digests").alias("k", "w"))
+    earliest = F.min(F.struct(F.col("first.doc").alias("doc"), (F.col("first.no") + F.col("k")).alias("no"))).alias("first")
+    # digests first: where one row has a window its bytes have been compared within its chunk; where several have it, only their chunks' bytes are read
+    counted = spread.groupBy("w").agg(earliest, F.sum("n").alias("n"), F.count("*").alias("holders")).where("n > 1")
+    counted = common.materialize(counted, "repeated-digests")
+    sharing = spread.select("h", "w").join(counted.where("holders > 1").select("w"), "w", "left_semi").select("h").distinct()
+    sharing = common.materialize(sharing, "sharing-chunks")
+    shared = chunks.join(sharing, "h", "left_semi").select("first", "n", F.posexplode(windows).alias("k", "window"))
+    shared = shared.groupBy(common.text_key(F.col("window")).alias("w"), "window").agg(earliest, F.sum("n").alias("n")).where("n > 1")
+    repeated = counted.where("holders = 1").select("w", "first").unionByName(shared.select("w", "first")).select("w", F.col("first.doc").alias("doc"), F.col("first.no").alias("first_no"))
     repeated = common.materialize(repeated, "repeated-windows")  # joined as tables, so that Spark can split a hot window's and a hot chunk's rows
-    marked = spread.select("h", "k", "w").join(repeated, "w").groupBy("h").agg(F.collect_list(F.struct("k", "doc", "first_no")).alias("marks"))  # of one chunk
+    marked = spread.select("h", "k", "w").join(repeated, "w").groupBy("h").agg(F.collect_set(F.struct("k", "doc", "first_no")).alias("marks"))  # of one chunk; both parts may name a window
     marked = common.materialize(marked, "marked-chunks")
 
     again = found.select("id", "key", "no", "h").join(marked, "h").withColumn("place", _place(F.col("id"), F.col("key")))

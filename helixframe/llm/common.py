@@ -77,6 +77,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder bucketed by ``key``, reread: joins on the key move the other side only."""
+    spark = df.sparkSession
+    table = f"helixframe_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/helixframe/{table}"
+    written("table", table)
+    written("folder", path)
+    df.write.bucketBy(partitions(spark), key).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def release() -> None:
     """Give memory that a batch has freed back to the system: Python workers serve many stages, and what one leaves behind counts against the next."""
     pa.default_memory_pool().release_unused()

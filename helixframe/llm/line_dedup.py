@@ -158,8 +158,10 @@ def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = F.slice(lines, 1, F.size(lines) - (MIN_LINES - 1))
     for k in range(1, MIN_LINES):
         windows = F.zip_with(windows, F.slice(lines, k + 1, F.size(lines) - (MIN_LINES - 1)), lambda a, b: F.concat(a, F.lit("\n"), b))
-    chunks = found.groupBy("h", "body").agg(first.alias("first"), F.count("*").alias("n"))
-    chunks = common.materialize(chunks.withColumn("digests", F.transform(windows, common.text_key)), "chunks")
+    # a set of bodies under each digest compares bytes, and rows stay dealt out by digest: the bucketed table is joined below without moving bodies
+    chunks = found.groupBy("h").agg(first.alias("first"), F.count("*").alias("n"), F.collect_set("body").alias("bodies"))
+    chunks = chunks.select("h", "first", "n", F.explode("bodies").alias("body")).withColumn("digests", F.transform(windows, common.text_key))
+    chunks = common.bucketed(chunks, "chunks", "h")
 
     spread = chunks.select("h", "first", "n", F.posexplode("digests").alias("k", "w"))
     earliest = F.min(F.struct(F.col("first.doc").alias("doc"), (F.col("first.no") + F.col("k")).alias("no"))).alias("first")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_line_dedup", "q_decontaminate", "q_url_filter", "q_near_dup", "q_toxicity", "q_suffix_dedup", "q_vector_search", "q_warc_audit", "q_packing", "q_html_extract")
+MODULES = ("q_line_dedup", "q_decontaminate", "q_url_filter", "q_near_dup", "q_toxicity", "q_suffix_dedup", "q_vector_search", "q_warc_audit", "q_packing", "q_html_extract", "q_lm_scoring", "q_filter_audit", "q_fill_in_middle")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,7 +78,7 @@ def mean_impute(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def pairwise_r2(df: DataFrame, marker: str, individual: str, dosage: str, pairs: DataFrame | None = None) -> DataFrame:
-    """Squared correlation of markers (a < b) over the individuals that both know; ``pairs`` (a, b) limits them."""
+    """Squared correlation of markers (a < b) over the individuals that both know, null where one does not vary; ``pairs`` (a, b) limits them."""
     rows = df.where(F.col(dosage).isNotNull()).select(marker, individual, dosage)
     a = rows.select(F.col(marker).alias("a"), individual, F.col(dosage).alias("_x"))
     b = rows.select(F.col(marker).alias("b"), individual, F.col(dosage).alias("_y"))
@@ -87,7 +87,8 @@ def pairwise_r2(df: DataFrame, marker: str, individual: str, dosage: str, pairs:
         j = a.join(b, ["b", individual])
     else:
         j = a.join(b, individual).where("a < b")
-    return j.groupBy("a", "b").agg(F.pow(F.corr("_x", "_y"), 2).alias("r2"), F.count("*").alias("n"))
+    varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    return j.groupBy("a", "b").agg(F.when(varied, F.try_divide(F.pow(F.covar_pop("_x", "_y"), 2), F.var_pop("_x") * F.var_pop("_y"))).alias("r2"), F.count("*").alias("n"))
 
 
 def gram(df: DataFrame, marker: str, individual: str, dosage: str) -> DataFrame:

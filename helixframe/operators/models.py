@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.functions import dist
 
@@ -288,6 +288,64 @@ def pca(df: DataFrame, row: str, values: Sequence[str], k: int) -> DataFrame:
     return df.dropna(subset=list(values)).select(row, *scores)
 
 
+def gram_components(gram: DataFrame, k: int, rounds: int = 6, spare: int = 6, seed: int = 1) -> tuple[DataFrame, list[float]]:
+    """Leading eigenvectors of a symmetric matrix of rows (i, j, value), given as its lower triangle: (i, component, score), scores scaled by the root of
+    the eigenvalue; and the k greatest eigenvalues.
+
+    Block Krylov: ``rounds`` times the matrix, a table, is multiplied with the last k + spare columns by a join and sums; the eigenvectors are the best ones
+    within the span of all columns so far. Rows of the columns stay on the cluster; only products of columns with each other come to the driver,
+    ((k + spare) (rounds + 1)) squared numbers. A component's largest score is positive.
+    """
+    from helixframe.session import stored
+
+    m = k + spare
+    both = stored(gram.select("i", "j", "value").unionByName(gram.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value")), "gram")
+
+    def product(columns: DataFrame, name: str, n: int) -> DataFrame:
+        """(j, out): the matrix times an array column of n columns."""
+        got = both.join(columns.select("j", F.col(name).alias("_v")), "j").groupBy("i").agg(*[F.sum(F.col("value") * F.col("_v")[c]).alias(f"c{c}") for c in range(n)])
+        return got.select(F.col("i").alias("j"), F.array(*[f"c{c}" for c in range(n)]).alias("out"))
+
+    def crossed(rows: DataFrame, left: str, right: str, n: int) -> np.ndarray:
+        at = [(a, b) for a in range(n) for b in range(a, n)]
+        sums = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in at]), lambda p: F.element_at(left, p["a"] + 1) * F.element_at(right, p["b"] + 1))
+        got = rows.select(F.posexplode(sums).alias("n", "v")).groupBy("n").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros((n, n))
+        for r in got:
+            a, b = at[r["n"]]
+            out[a, b] = out[b, a] = r["v"] or 0.0
+        return out
+
+    def mixed(column: str, weights: np.ndarray) -> Column:
+        turned = [F.aggregate(F.zip_with(column, F.array(*[F.lit(float(x)) for x in weights[:, c]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in range(weights.shape[1])]
+        return F.array(*turned)
+
+    def whitener(square: np.ndarray) -> np.ndarray:
+        scale, turn = np.linalg.eigh(square)
+        good = scale > max(scale.max(initial=0), 1e-300) * 1e-12
+        return turn[:, good] / np.sqrt(scale[good])
+
+    start = F.array(*[F.randn(seed + c) for c in range(m)])
+    basis = stored(both.select(F.col("i").alias("j")).distinct().orderBy("j").select("j", start.alias("last")).withColumn("all", F.col("last")), "columns")
+    n = width = m
+    for _ in range(rounds):
+        step = stored(basis.join(product(basis, "last", width), "j"), "columns")
+        turn = whitener(crossed(step, "out", "out", width))
+        if not turn.shape[1]:
+            break
+        basis = step.select("j", mixed("out", turn).alias("last"), "all").withColumn("all", F.concat("all", "last"))
+        width, n = turn.shape[1], n + turn.shape[1]
+    last = stored(basis.join(product(basis, "all", n), "j"), "columns")
+    span = whitener(crossed(last, "all", "all", n))
+    value, turn = np.linalg.eigh(span.T @ crossed(last, "all", "out", n) @ span)
+    at = np.argsort(-value)[:k]
+    found = len(at)
+    scores = stored(last.select("j", mixed("all", span @ turn[:, at] * np.sqrt(np.maximum(value[at], 0))).alias("v")), "scores")
+    sign = scores.agg(*[F.max_by(F.col("v")[c], F.struct(F.abs(F.col("v")[c]), -F.col("j"))).alias(f"s{c}") for c in range(found)]).first() if found else []
+    flipped = F.array(*[F.col("v")[c] * F.lit(-1.0 if (sign[c] or 0) < 0 else 1.0) for c in range(found)])
+    return scores.select(F.col("j").alias("i"), F.posexplode(flipped).alias("component", "score")), [float(x) for x in value[at]]
+
+
 def global_test_statistic(df: DataFrame, by: Sequence[str], y: str, marker: str, x: str, weight: str | None = None) -> DataFrame:
     """Sum over markers of weight * (sum of x times centred y) squared, over the residual variance, per group: two aggregations."""
     d = df.dropna(subset=[y, x])

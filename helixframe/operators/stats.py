@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixframe.operators import ranges
+from helixframe.session import stored
 
 
 def percentile_legacy(values: Column, q: float) -> Column:
@@ -183,6 +184,53 @@ def gsea(df: DataFrame, by: Sequence[str], order: str, weight: str, member: Colu
     return got.select(*by, F.when(F.col("_hi") >= -F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("es"))
 
 
+def shuffled(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """A number below 2^31 - 1 from two integers, the same in any engine: ranks by it are one permutation a replicate."""
+    m = F.lit(2147483647)
+    h = F.pmod(F.pmod(key.cast("long"), m) * 48271 + replicate.cast("long") * 69621 + seed, m)
+    return F.pmod(F.pmod(h * h, m) * 16807 + h, m)
+
+
+#: Scores closer than this count as equal, since sums depend on their order in the last digits.
+_SAME = 1e-9
+
+
+def _hit_extremes(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, es) from members alone: rows (by, position from 1, |weight|, total, hits in all): a running sum is extreme just before or at a member."""
+    totals = hits.groupBy(*by).agg(F.sum("_w").alias("_hits"))
+    rows = ranges.running(ranges.dealt(hits, [*by, "position"]), by, ["position"], {"_h": ("sum", F.col("_w")), "_j": ("sum", F.lit(1))})
+    rows = _beside(rows, totals, by)
+    miss = F.try_divide((F.col("position") - F.col("_j")).cast("double"), (F.col("total") - F.col("members")).cast("double"))
+    got = rows.groupBy(*by).agg(F.max(F.try_divide("_h", "_hits") - miss).alias("_hi"), F.min(F.try_divide(F.col("_h") - F.col("_w"), F.col("_hits")) - miss).alias("_lo"))
+    hi, lo = F.greatest("_hi", F.lit(0.0)), F.least("_lo", F.lit(0.0))
+    return got.select(*by, F.when(hi >= -lo - _SAME, hi).otherwise(lo).alias("es"))
+
+
+def gsea_permutations(df: DataFrame, by: Sequence[str], order: str, weight: str, member: Column, rounds: int, seed: int = 0) -> DataFrame:
+    """Enrichment score per group with its permutation p: (by, es, permuted, beyond, p).
+
+    In each of ``rounds`` replicates as many rows as are members are drawn among the group's, by ranks of seeded hash numbers of ``order`` (an integer); all groups
+    and replicates go through one sweep. p is the share of replicates of the score's own sign (``permuted``) that lie beyond it; null without any. Groups of members alone, or none, are left out.
+    """
+    rows = df.select(*by, order, F.abs(weight).cast("double").alias("_w"), (-F.col(weight)).alias("_down"), F.when(member, 1).otherwise(0).alias("_m"))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("total"), F.sum("_m").alias("members")).where((F.col("members") > 0) & (F.col("members") < F.col("total")))
+    placed = ranges.running(ranges.dealt(rows, [*by, "_down", order]), by, ["_down", order], {"position": ("sum", F.lit(1))})
+    match = [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(by)]
+    placed = stored(placed.join(totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(by)], "total", "members"), match).select(*by, order, "_w", "_m", "position", "total", "members"), "placed")
+    drawn = placed.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_u", shuffled(F.col(order), F.col("replicate"), seed))
+    keys = [*by, "replicate"]
+    drawn = ranges.running(ranges.dealt(drawn, [*keys, "_u", order]), keys, ["_u", order], {"_rank": ("sum", F.lit(1))}).where(F.col("_rank") <= F.col("members"))
+    cols = [*keys, "position", "_w", "total", "members"]
+    hits = drawn.select(*cols).unionByName(placed.where("_m = 1").withColumn("replicate", F.lit(0)).select(*cols))
+    es = stored(_hit_extremes(hits, keys), "scores")
+    own = es.where("replicate = 0").select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(by)], F.col("es").alias("own"))
+    met = es.where("replicate > 0").join(own, match)
+    same = F.when(F.col("own") > 0, F.col("es") > 0).otherwise(F.col("es") <= 0)
+    beyond = F.when(F.col("own") > 0, F.col("es") > F.col("own") + _SAME).otherwise(F.col("es") < F.col("own") - _SAME)
+    got = met.groupBy(*by).agg(F.max("own").alias("es"), F.count_if(same).alias("permuted"), F.count_if(same & beyond).alias("beyond"))
+    return got.withColumn("p", F.try_divide(F.col("beyond").cast("double"), F.col("permuted").cast("double")))
+
+
 def overlap_counts(query: DataFrame, sets: DataFrame, background: DataFrame, item: str, name: str) -> DataFrame:
     """Hypergeometric counts per set: background total, set size within it, query size within it, overlap."""
     bg = background.select(item).distinct()

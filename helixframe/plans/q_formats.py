@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
 from helixframe.operators import genotype, joins, sets
-from helixframe.plans.q_genotype import _G, dosages
+from helixframe.plans.q_genotype import _G, _N, dosages, nation_dosages
 from helixframe.plans.q_multitest import pseudo_p
 from helixframe.session import new_path
 from helixframe.sources import annotations, formats, sinks
 from helixframe.sources.tables import table
 
-INDIVIDUALS = [str(i) for i in range(60)]
+#: A column an individual: the nations.
+INDIVIDUALS = [str(i) for i in range(25)]
 
 
 def _written(df, name, header=None):
@@ -124,7 +125,7 @@ def covariate_rows(spark, d):
 
 
 def _marked(spark, d):
-    return dosages(spark, d).select(F.concat(F.lit("m"), "marker").alias("snp"), F.lit("A").alias("a1"), F.lit("C").alias("a2"), "ind", "dosage", (F.col("marker") % 22 + 1).alias("chr"), (F.col("marker") * 100).alias("bp"))
+    return nation_dosages(spark, d).select(F.concat(F.lit("m"), "marker").alias("snp"), F.lit("A").alias("a1"), F.lit("C").alias("a2"), "ind", "dosage", (F.col("marker") % 22 + 1).alias("chr"), (F.col("marker") * 100).alias("bp"))
 
 
 def _dosage_file(spark, d):
@@ -142,7 +143,8 @@ def dosage_lines(spark, d):
 def dosages_with_places(spark, d):
     """Dosage text with its map and its individuals."""
     sites = _marked(spark, d).select("chr", "snp", "bp").distinct().select(_line(" ", _text("chr"), F.col("snp"), "0", _text("bp")))
-    people = spark.range(60).select(_line(" ", F.concat(F.lit("f"), _text("id")), _text("id"), "0", "0", (F.col("id") % 3).cast("string"), "-9"))
+    n = F.col("n_nationkey")
+    people = table(spark, d, "nation").select(_line(" ", F.concat(F.lit("f"), n), n.cast("string"), "0", "0", (n % 3).cast("string"), "-9"))
     return formats.plink_dosage(spark, _dosage_file(spark, d), _written(sites, "map"), _written(people, "fam"))
 
 
@@ -261,7 +263,7 @@ def relatedness_rows(spark, d):
     g = genotype.gram(dosages(spark, d), "marker", "ind", "dosage").select("i", "j", "n", F.round("value", 4).alias("value"))
     path = new_path(spark, "grm")
     sinks.grm_text(g, path)
-    return formats.grm_text(spark, path).select("i", "j", F.col("n").cast("long").alias("n"), F.round("value", 4).alias("value"))
+    return formats.grm_text(spark, path).select("i", "j", F.col("n").cast("long").alias("n"), (F.round("value", 4) + 0.0).alias("value"))
 
 
 def imputed_allele_rows(spark, d):
@@ -323,9 +325,9 @@ def row_subset(spark, d):
 
 
 def genotype_file_sets(spark, d):
-    """The same dosages from three kinds of files, one after the other."""
+    """The same dosages from two kinds of files, one after the other."""
     d1 = formats.dosages(spark, _dosage_file(spark, d)).select("snp", _text("iid").alias("individual"), "dosage")
-    return d1.where("dosage IS NOT NULL").unionByName(stored_genotypes(spark, d).where("dosage IS NOT NULL")).groupBy("snp", "individual").agg(F.count("*").alias("n"), F.round(F.max("dosage") - F.min("dosage"), 6).alias("spread"))
+    return d1.where("dosage IS NOT NULL").unionByName(stored_genotypes(spark, d).where("dosage IS NOT NULL")).groupBy("snp", "individual").agg(F.count("*").alias("n"), F.round(F.min("dosage"), 4).alias("low"), F.round(F.max("dosage"), 4).alias("high"))
 
 
 def chromosome_numbers(spark, d):
@@ -367,7 +369,7 @@ QUERIES = {
     for f in (delimited_rows, keyed_rows, whitespace_rows, split_fields, fasta_records, fastq_records, gene_sets, bed_regions, marker_sites, marker_map, individuals, allele_frequencies, covariate_rows, dosage_lines, dosages_with_places, probability_lines, hard_call_lines, pedigree_matrix, stored_genotypes, stored_markers, vcf_sites, vcf_dosage_rows, vcf_genotype_counts, vcf_region, vcf_pass_sites, vcf_minimal_alleles, aligned_reads, transcript_features, block_differences, association_rows, relatedness_rows, imputed_allele_rows, variant_effects, loss_of_function_variants, allele_count_dialects, files_by_key, concatenated_files, compressed_lines, row_subset, genotype_file_sets, chromosome_numbers, primer_removed, oriented, iupac_bases, splice_junctions, multinomial_draws)
 }
 
-_FULL = _G + ", f AS (SELECT 'm' || m.marker AS snp, m.marker AS marker, i.i AS ind, dosage FROM (SELECT DISTINCT marker FROM g) m CROSS JOIN (SELECT unnest(range(60)) AS i) i LEFT JOIN g ON g.marker = m.marker AND g.ind = i.i)"
+_FULL = _N + ", f AS (SELECT 'm' || m.marker AS snp, m.marker AS marker, i.i AS ind, dosage FROM (SELECT DISTINCT marker FROM g) m CROSS JOIN (SELECT unnest(range(25)) AS i) i LEFT JOIN g ON g.marker = m.marker AND g.ind = i.i)"
 _K = "p_partkey"
 _GT = "CASE WHEN k % {m} = 0 THEN 1 WHEN k % {m} = 1 THEN 2 WHEN k % {m} <> 2 THEN 0 END"
 _CALLS = f"SELECT k, 0 AS sample, {_GT.format(m=4)} AS x FROM v UNION ALL SELECT k, 1, {_GT.format(m=5)} FROM v UNION ALL SELECT k, 2, {_GT.format(m=3)} FROM v"
@@ -394,8 +396,8 @@ ORACLES = {
     "probability_lines": _FULL + " SELECT CAST(marker % 22 + 1 AS VARCHAR) AS chr, snp, CAST(marker * 100 AS BIGINT) AS bp, CAST(ind AS INTEGER) AS ind, round(coalesce(dosage, 0.0), 4) AS dosage FROM f",
     "hard_call_lines": _FULL + ", h AS (SELECT marker, snp, ind, CASE WHEN greatest(0.0, dosage - 1) >= 0.9 THEN 2.0 WHEN CASE WHEN dosage <= 1 THEN dosage ELSE 2 - dosage END >= 0.9 THEN 1.0 WHEN greatest(0.0, 1 - dosage) >= 0.9 THEN 0.0 END AS call FROM f) SELECT snp, CAST(ind AS INTEGER) AS ind, CAST(call AS DOUBLE) AS dosage FROM h",
     "pedigree_matrix": "WITH x AS (" + " UNION ALL ".join(f"SELECT 's{m}' AS snp, c_nationkey, c_custkey, {_PED.format(m=m)} AS a FROM customer" for m in (5, 7, 4)) + "), n AS (SELECT snp, sum(a) AS a, sum(2 - a) AS c FROM x GROUP BY 1) SELECT x.snp, 'f' || c_nationkey AS fid, CAST(c_custkey AS VARCHAR) AS iid, CASE WHEN n.a <= n.c THEN 'A' ELSE 'C' END AS a1, CASE WHEN n.a <= n.c THEN 'C' ELSE 'A' END AS a2, CAST(CASE WHEN n.a <= n.c THEN x.a ELSE 2 - x.a END AS DOUBLE) AS dosage FROM x JOIN n USING (snp)",
-    "stored_genotypes": _G + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, dosage FROM g",
-    "stored_markers": _G + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, dosage FROM g WHERE marker IN (3, 17)",
+    "stored_genotypes": _N + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, dosage FROM g",
+    "stored_markers": _N + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, dosage FROM g WHERE marker IN (3, 17)",
     "vcf_sites": "SELECT 'chr' || (p_partkey % 22 + 1) AS chr, p_partkey * 10 AS pos, CASE WHEN p_partkey % 3 <> 0 THEN 'rs' || p_partkey END AS id, 'A' AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'G,T' ELSE 'G' END AS alt, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS qual, CASE WHEN p_partkey % 6 = 0 THEN 'q10' ELSE 'PASS' END AS filter, p_size AS depth, p_partkey % 2 = 0 AS known FROM part",
     "vcf_dosage_rows": f"WITH v AS (SELECT p_partkey AS k FROM part), c AS ({_CALLS}) SELECT a.k * 10 AS pos, a.alt, CAST(sample AS INTEGER) AS sample, CAST(CASE WHEN a.alt = 'T' AND x IS NOT NULL THEN 0 ELSE x END AS DOUBLE) AS dosage FROM c JOIN {_ALTS} a USING (k)",
     "vcf_genotype_counts": f"WITH v AS (SELECT p_partkey AS k FROM part), c AS ({_CALLS}) SELECT k * 10 AS pos, count(*) FILTER (WHERE x = 0) AS homref, count(*) FILTER (WHERE x = 1) AS het, count(*) FILTER (WHERE x = 2) AS homvar, count(*) FILTER (WHERE x IS NULL) AS nocall FROM c GROUP BY 1",
@@ -415,7 +417,7 @@ ORACLES = {
     "concatenated_files": "SELECT o_orderkey, o_orderstatus FROM orders",
     "compressed_lines": "SELECT doc_id || ' é' || length(text) AS value FROM documents",
     "row_subset": "SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 5000",
-    "genotype_file_sets": _G + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, CAST(2 AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS spread FROM g WHERE dosage IS NOT NULL",
+    "genotype_file_sets": _N + " SELECT 'm' || marker AS snp, CAST(ind AS VARCHAR) AS individual, CAST(2 AS BIGINT) AS n, round(dosage, 4) AS low, round(dosage, 4) AS high FROM g WHERE dosage IS NOT NULL",
     "chromosome_numbers": "SELECT p_partkey, CAST(CASE p_partkey % 6 WHEN 0 THEN 23 WHEN 1 THEN 24 WHEN 2 THEN 26 WHEN 3 THEN 25 WHEN 5 THEN p_partkey % 22 END AS INTEGER) AS number FROM part",
     "primer_removed": "SELECT p_partkey, CASE WHEN levenshtein(left(p_name, 4), 'red ') <= 1 THEN substr(p_name, 5) ELSE p_name END AS rest FROM part",
     "oriented": f"WITH s AS (SELECT id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM ({_NAMES})) SELECT id, CASE WHEN levenshtein(rc, 'ACGTTGCATTACGGTA') < levenshtein(seq, 'ACGTTGCATTACGGTA') THEN rc ELSE seq END AS seq FROM s",
@@ -424,4 +426,4 @@ ORACLES = {
     "multinomial_draws": "SELECT CAST(10000 AS BIGINT) AS draws",
 }
 _M = _G + ", m AS (SELECT marker, sum(dosage) / (2 * count(dosage)) AS freq FROM g GROUP BY 1), z AS (SELECT marker, ind, (dosage - 2 * freq) / sqrt(2 * freq * (1 - freq)) AS z FROM g JOIN m USING (marker) WHERE dosage IS NOT NULL AND least(freq, 1 - freq) > 0)"
-ORACLES["relatedness_rows"] = _M + " SELECT CAST(a.ind AS INTEGER) AS i, CAST(b.ind AS INTEGER) AS j, count(*) AS n, round(sum(a.z * b.z) / count(*), 4) AS value FROM z a JOIN z b USING (marker) GROUP BY 1, 2"
+ORACLES["relatedness_rows"] = _M + " SELECT CAST(a.ind AS INTEGER) AS i, CAST(b.ind AS INTEGER) AS j, count(*) AS n, round(sum(a.z * b.z) / count(*), 4) + 0.0 AS value FROM z a JOIN z b USING (marker) GROUP BY 1, 2"

@@ -25,10 +25,15 @@ def marker_scan_interactions(spark, d):
     return got.select("phenotype", "model", "marker", "term", (F.round("beta", 5) + 0.0).alias("beta"), "n")
 
 
+def _regions(spark, d):
+    """A region a supplier, in sets by nation."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select((k % 2).alias("chr"), (k * 2000).alias("start"), (k * 2000 + 1500 + F.col("s_nationkey") * 100).alias("end"), F.concat(F.lit("set"), "s_nationkey").alias("region"))
+
+
 def region_set_scan(spark, d):
-    """Ten overlapping region sets against two phenotypes."""
-    regions = spark.range(10).select((F.col("id") % 2).alias("chr"), (F.col("id") * 400).alias("start"), (F.col("id") * 400 + 900).alias("end"), F.concat(F.lit("set"), "id").alias("region"))
-    got = scans.region_set_tests(_people(spark, d), regions, "chr", "pos", "region", "marker", "ind", "dosage", ["y1", "y2"])
+    """Overlapping region sets against two phenotypes."""
+    got = scans.region_set_tests(_people(spark, d), _regions(spark, d), "chr", "pos", "region", "marker", "ind", "dosage", ["y1", "y2"])
     return got.select("set", "phenotype", "n_markers", "n", *[F.round(c, 5).alias(c) for c in ("q", "burden_slope", "burden_r2")])
 
 
@@ -37,7 +42,7 @@ def recoded_genotypes(spark, d):
     g = dosages(spark, d)
     markers = g.select("marker").distinct()
     people = g.select("ind").distinct().where("ind % 2 = 0")
-    return scans.recode_pipeline(g, "marker", "ind", "dosage", 0.4501, None, markers.where("marker % 3 <> 0"), 0.4953, 0.0712, markers.where("marker % 10 = 1"), people).select("marker", "ind", F.round("dosage", 4).alias("dosage"))
+    return scans.recode_pipeline(g, "marker", "ind", "dosage", 0.450003, None, markers.where("marker % 3 <> 0"), 0.495303, 0.071203, markers.where("marker % 10 = 1"), people).select("marker", "ind", F.round("dosage", 4).alias("dosage"))
 
 
 def _spikes(spark, d):
@@ -162,10 +167,10 @@ _EX = "SELECT 'g' || l_partkey AS gene, 't' || l_suppkey AS transcript, l_orderk
 _PP = "SELECT o_orderkey, CAST((o_orderkey * 48271 % 2147483647) / 2147483647.0 AS DOUBLE) AS p FROM orders"
 ORACLES = {
     "marker_scan_interactions": _SCAN + " " + " UNION ALL ".join(f"SELECT phenotype, model, marker, '{t}' AS term, CASE WHEN sound THEN round({b}, 5) + 0.0::DOUBLE END AS beta, n FROM r WHERE n > 0" for t, b in (("intercept", "i0"), ("dosage", "s0"), ("c", "i1 - i0"), ("interaction", "s1 - s0"))),
-    "region_set_scan": _PEOPLE + """, kk AS (SELECT 'set' || i AS "set", i % 2 AS chr, i * 400 AS a, i * 400 + 900 AS b FROM range(10) t(i)), z AS (SELECT kk."set", h.phenotype, h.marker, h.ind, h.dosage AS x, h.y FROM h JOIN kk ON h.marker % 2 = kk.chr AND h.marker * 100 >= a AND h.marker * 100 < b WHERE dosage IS NOT NULL AND y IS NOT NULL),
+    "region_set_scan": _PEOPLE + """, kk AS (SELECT 'set' || s_nationkey AS "set", s_suppkey % 2 AS chr, s_suppkey * 2000 AS a, s_suppkey * 2000 + 1500 + s_nationkey * 100 AS b FROM supplier), z AS (SELECT DISTINCT kk."set", h.phenotype, h.marker, h.ind, h.dosage AS x, h.y FROM h JOIN kk ON h.marker % 2 = kk.chr AND h.marker * 100 >= a AND h.marker * 100 < b WHERE dosage IS NOT NULL AND y IS NOT NULL),
       p AS (SELECT "set", phenotype, ind, max(y) AS y, sum(x) AS b FROM z GROUP BY 1, 2, 3), s AS (SELECT "set", phenotype, count(*) AS n, var_pop(y) AS v, avg(y) AS m, regr_slope(y, b) AS burden_slope, regr_r2(y, b) AS burden_r2 FROM p GROUP BY 1, 2),
       u AS (SELECT "set", phenotype, marker, sum(x * y) AS xy, sum(x) AS sx FROM z GROUP BY 1, 2, 3) SELECT "set", phenotype, count(*) AS n_markers, any_value(n) AS n, round(sum(pow(xy - sx * m, 2) / v), 5) AS q, round(any_value(burden_slope), 5) AS burden_slope, round(any_value(burden_r2), 5) AS burden_r2 FROM u JOIN s USING ("set", phenotype) GROUP BY 1, 2""",
-    "recoded_genotypes": _G + ", m AS (SELECT marker, least(avg(dosage) / 2, 1 - avg(dosage) / 2) AS maf, 1 - count(dosage) / CAST(count(*) AS DOUBLE) AS miss FROM g GROUP BY 1) SELECT marker, ind, round(dosage, 4) AS dosage FROM g JOIN m USING (marker) WHERE maf >= 0.4501 AND marker % 3 <> 0 AND ((maf <= 0.4953 AND miss <= 0.0712) OR marker % 10 = 1) AND ind % 2 = 0",
+    "recoded_genotypes": _G + ", m AS (SELECT marker, least(avg(dosage) / 2, 1 - avg(dosage) / 2) AS maf, 1 - count(dosage) / CAST(count(*) AS DOUBLE) AS miss FROM g GROUP BY 1) SELECT marker, ind, round(dosage, 4) AS dosage FROM g JOIN m USING (marker) WHERE maf >= 0.450003 AND marker % 3 <> 0 AND ((maf <= 0.495303 AND miss <= 0.071203) OR marker % 10 = 1) AND ind % 2 = 0",
     "spike_dose_response": "WITH c AS (SELECT l_returnflag AS sample, l_partkey % 50 AS spike, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT sample, count(*) AS n_spikes, round(regr_slope(log2(n), log2(spike + 1)), 6) AS slope, round(regr_intercept(log2(n), log2(spike + 1)), 6) AS intercept, round(regr_r2(log2(n), log2(spike + 1)), 6) AS r2 FROM c GROUP BY 1",
     "spike_fold_changes": "WITH c AS (SELECT l_returnflag AS sample, l_partkey % 50 AS spike, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT x.spike, x.sample AS a, y.sample AS b, round(log2(y.n / CAST(x.n AS DOUBLE)), 6) AS log2_ratio FROM c x JOIN c y ON x.spike = y.spike AND x.sample < y.sample",
     "regression_by_scale": "WITH r AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y, rank() OVER w + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS k FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice)), s AS (SELECT l_returnflag, count(*) AS n, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_slope(k, x) AS c, regr_intercept(k, x) AS d FROM r GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{k}' AS scale, l_returnflag, '{t}' AS term, round({v}, 4) AS beta, n FROM s" for k, t, v in (("linear", "l_quantity", "a"), ("linear", "intercept", "b"), ("rank", "l_quantity", "c"), ("rank", "intercept", "d"))),

@@ -13,14 +13,16 @@ def test_parts_from_1000_on_count(spark, tmp_path):
     run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
     top = {}
     for part, supp, order in items:
-        top[part % 40, supp % 60] = max(order, top.get((part % 40, supp % 60), 0))
+        top[part, supp] = max(order, top.get((part, supp), 0))
     dose = {k: x * 7919 % 201 / 100 if x % 17 else None for k, x in top.items()}
-    known = {m: [v for (k, _), v in dose.items() if k == m and v is not None] for m in range(40)}
+    known = {}
+    for (m, _), v in dose.items():
+        known.setdefault(m, []).extend([v] if v is not None else [])
     got = {x.marker: x for x in run("maf_summary")}
-    assert set(got) == set(range(40))
+    assert set(got) == set(known) and len(got) > 4000
     for m, x in got.items():
-        assert x.n == len(known[m]) and math.isclose(x.freq, sum(known[m]) / (2 * x.n), abs_tol=1e-6)
+        assert x.n == len(known[m]) and (not x.n or math.isclose(x.freq, sum(known[m]) / (2 * x.n), abs_tol=1e-6))
     gram = run("gram_matrix")
-    assert len(gram) == 60 * 61 // 2 and max(x.i for x in gram) == 59
-    for name in ("marker_scan", "ld_prune", "burden"):
+    assert max(x.i for x in gram) == 200 and all(x.i >= x.j for x in gram)
+    for name in ("marker_scan", "burden", "pairwise_r2"):
         assert run(name)

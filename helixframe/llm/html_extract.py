@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -20,7 +21,8 @@ from pyspark.sql.functions import arrow_udf
 from . import common
 
 #: A quote opens a value only behind ``=``; in names and bare values it is a character like others.
-_ATTRS = r"(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|=(?=\s*>)|[^=>])*)"
+#: What a value has taken is never given back, so a quote left open costs one pass.
+_ATTRS = r"(?P<attrs>(?>=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|=(?=\s*>)|[^=>])*+)"
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)" + _ATTRS + r">|</[^>]*>|(?P<text>[^<]+|<(?![a-zA-Z/!?]))", re.S)
 #: A tag with a quote that never closes, taken up to the next ``>``.
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>(?P<cdata>(?!))?(?P<text>(?!))?", re.S)
@@ -84,7 +86,7 @@ def main_text(page: str | None) -> str:
     blocks: list[tuple[int, str, int, int]] = []  # element, text, link characters, links
     pieces: list[str] = []
     linked = links = 0
-    raw = ""
+    running: Counter[str] = Counter()  # open elements by name: what is not open is not looked for
 
     def element() -> int:
         for node in reversed(stack):
@@ -104,6 +106,7 @@ def main_text(page: str | None) -> str:
         """Close the elements from place ``to`` of the stack on."""
         if any(tag_of[n] != "a" for n in stack[to:]):
             flush()
+        running.subtract(tag_of[n] for n in stack[to:])
         del stack[to:]
 
     at, size = 0, len(page)
@@ -122,6 +125,8 @@ def main_text(page: str | None) -> str:
             continue
         tag = m["tag"].lower()
         if m["end"]:
+            if not running[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if tag_of[stack[i]] == tag:
                     close(i)
@@ -141,6 +146,7 @@ def main_text(page: str | None) -> str:
         if tag == "a":
             if tag_of[stack[-1]] == "a":
                 stack.pop()
+                running["a"] -= 1
             links += 1
         elif tag not in _BLOCK:
             if tag == "hr":
@@ -154,7 +160,7 @@ def main_text(page: str | None) -> str:
                     close(i)
                     break
             ends = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "body": ("head", ("html",))}.get(tag)
-            if ends:
+            if ends and any(running[t] for t in ends[0].split()):
                 for i in range(len(stack) - 1, 0, -1):
                     if tag_of[stack[i]] in ends[1]:
                         break
@@ -166,10 +172,11 @@ def main_text(page: str | None) -> str:
         above = stack[-1]
         tag_of.append(tag)
         parent.append(above)
-        in_article = tag == "header" and any(tag_of[n] in ("article", "main") for n in stack)
+        in_article = tag == "header" and bool(running["article"] or running["main"])
         told.append(_KEEP if tag == "a" else _left_out(tag, m["attrs"], in_article))
         if not m["attrs"].endswith("/") or tag not in ("svg", "canvas", "object"):
             stack.append(node)
+            running[tag] += 1
     flush()
 
     count = len(tag_of)

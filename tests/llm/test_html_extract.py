@@ -162,3 +162,16 @@ def test_query_against_slow_extractor(spark):
 def test_long_and_deep_pages():
     assert main_text("<div>" * 100_000 + f"<p>{LONG}" + "</div>" * 100_000) == LONG
     assert main_text("".join(f"<p>{LONG}</p>" for _ in range(120_000))).count("\n\n") == 119_999
+
+
+def test_open_quotes_and_deep_stacks_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for n in (5, 8, 12, 50, 3000):
+        page = "<p>" + "Words of the page, enough of them, stand here. " * 3 + "</p><div " + "a=bbbbbbbb " * n + 'x="unclosed><p>' + "More words of the page, quite as many, follow. " * 3 + "</p>"
+        assert main_text(page).startswith("Words of the page")
+    for tag in ("span", "b", "li", "td"):
+        deep = "<div>" * 6000 + "<p>Some text.</p>" + f"</{tag}>" * 6000 + f"<{tag}>" * 2000
+        main_text(deep)
+    assert time.perf_counter() - began < 20

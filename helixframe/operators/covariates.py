@@ -50,8 +50,8 @@ def fixed_part(people: DataFrame, phenotypes: Sequence[str], covariates: Sequenc
     return spark.createDataFrame(out, "phenotype string, n long, inverse array<double>, zsum array<double>, zy array<double>, yy double, sy double, rss0 double")
 
 
-def marker_sums(df: DataFrame, people: DataFrame, marker: str, individual: str, dosage: str, phenotypes: Sequence[str], covariates: Sequence[str], fixed: DataFrame) -> DataFrame:
-    """A row a phenotype and marker: known dosages ``calls``, their mean, and over all individuals of the phenotype (unknown dosages at the mean) b = Z'x, x'x and x'y, with the row of ``fixed``."""
+def marker_sums(df: DataFrame, people: DataFrame, marker: str, individual: str, dosage: str, phenotypes: Sequence[str], covariates: Sequence[str], fixed: DataFrame, unknown: str = "mean") -> DataFrame:
+    """A row a phenotype and marker: known dosages ``calls``, their mean (0 where ``unknown`` is zero), and over all individuals of the phenotype (unknown dosages at that mean) b = Z'x, x'x and x'y, with the row of ``fixed``."""
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("phenotype"), F.col(p).cast("double").alias("_y")) for p in phenotypes])).alias("_p")
     who = people.dropna(subset=list(covariates)).select(individual, *[F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(covariates, 1)], pairs)
     who = who.select(individual, *[f"_z{i}" for i in range(1, 1 + len(covariates))], "_p.*").where(F.col("_y").isNotNull())
@@ -60,22 +60,28 @@ def marker_sums(df: DataFrame, people: DataFrame, marker: str, individual: str,
     x = F.col("_x")
     got = rows.groupBy("phenotype", marker).agg(F.count("*").alias("calls"), F.array(*[F.sum(c) for c in z]).alias("_zk"), F.array(*[F.sum(c * x) for c in z]).alias("_zx"), F.sum(x * x).alias("_xx"), F.sum(x * F.col("_y")).alias("_xy"), F.sum("_y").alias("_yk"))
     got = got.join(F.broadcast(fixed), "phenotype")  # a row a phenotype
-    mean = F.col("_zx")[0] / F.col("calls")
+    mean = F.col("_zx")[0] / F.col("calls") if unknown == "mean" else F.lit(0.0)
     got = got.withColumn("mean", mean)
     rest = F.zip_with("zsum", "_zk", lambda a, b: a - b)
     b = F.zip_with("_zx", rest, lambda v, r: v + r * F.col("mean"))
     return got.withColumns({"b": b, "xx": F.col("_xx") + (F.col("n") - F.col("calls")) * F.col("mean") * F.col("mean"), "xy": F.col("_xy") + (F.col("sy") - F.col("_yk")) * F.col("mean")}).drop("_zk", "_zx", "_xx", "_xy", "_yk")
 
 
-def covariate_scan(df: DataFrame, people: DataFrame, marker: str, individual: str, dosage: str, phenotypes: Sequence[str], covariates: Sequence[str] = ()) -> DataFrame:
+def long_people(people: DataFrame, individual: str, phenotypes: Sequence[str], covariates: Sequence[str]) -> DataFrame:
+    """(individual, phenotype) of those who know the phenotype and all covariates."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("phenotype"), F.col(p).isNotNull().alias("_in")) for p in phenotypes])).alias("_p")
+    return people.dropna(subset=list(covariates)).select(individual, pairs).where("_p._in").select(individual, "_p.phenotype")
+
+
+def covariate_scan(df: DataFrame, people: DataFrame, marker: str, individual: str, dosage: str, phenotypes: Sequence[str], covariates: Sequence[str] = (), unknown: str = "mean") -> DataFrame:
     """Every phenotype on every marker beside the covariates: (phenotype, marker, n, calls, beta, se, t, p, r2), df = n - 2 as in ``models.ols``.
 
     ``df``: a row a marker and individual; ``people``: a row an individual with phenotypes and covariates. Individuals without a
-    row, or with a null dosage, stand at the marker's mean. Nulls where a marker does not vary beside the covariates.
+    row, or with a null dosage, stand at the marker's mean (or, ``unknown`` zero, at 0). Nulls where a marker does not vary beside the covariates.
     """
     k = 1 + len(covariates)
     fixed = fixed_part(people, phenotypes, covariates)
-    got = marker_sums(df, people, marker, individual, dosage, phenotypes, covariates, fixed)
+    got = marker_sums(df, people, marker, individual, dosage, phenotypes, covariates, fixed, unknown)
     got = got.withColumn("_ab", _times(F.col("inverse"), F.col("b"), k))
     s = F.col("xx") - _dot(F.col("b"), F.col("_ab"))
     got = got.withColumn("_s", F.when(s > 1e-9 * F.col("xx"), s)).withColumn("beta", (F.col("xy") - _dot(F.col("_ab"), F.col("zy"))) / F.col("_s"))

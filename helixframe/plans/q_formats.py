@@ -11,8 +11,8 @@ from helixframe.functions import sequence
 from helixframe.operators import genotype, joins, sets
 from helixframe.plans.q_genotype import _G, _N, dosages, nation_dosages
 from helixframe.plans.q_multitest import pseudo_p
-from helixframe.session import new_path
-from helixframe.sources import annotations, formats, sinks
+from helixframe.session import new_path, stored
+from helixframe.sources import annotations, block_gzip, formats, sinks
 from helixframe.sources.tables import table
 
 #: A column an individual: the nations.
@@ -186,14 +186,20 @@ def stored_markers(spark, d):
     return formats.genotype_store(spark, path, ["m3", "m17"])
 
 
-def _vcf(spark, d):
+_VCF_HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3"
+
+
+def _vcf_lines(spark, d):
     """A site a part with three samples; every fifth has two alternatives."""
     k = F.col("p_partkey")
     sample = lambda m: F.when(k % m == 0, "0/1:7").when(k % m == 1, "1|1:8").when(k % m == 2, "./.:0").otherwise("0/0:9")
     alt = F.when(k % 5 == 0, "G,T").otherwise("G")
     info = F.concat(F.lit("DP="), _text("p_size"), F.when(k % 2 == 0, ";DB").otherwise(""))
-    rows = table(spark, d, "part").select(_line("\t", F.concat(F.lit("chr"), (k % 22 + 1).cast("string")), (k * 10).cast("string"), F.when(k % 3 == 0, ".").otherwise(F.concat(F.lit("rs"), k)), "A", alt, F.when(k % 4 == 0, ".").otherwise(_text("p_size")), F.when(k % 6 == 0, "q10").otherwise("PASS"), info, "GT:DP", sample(4), sample(5), sample(3)))
-    return formats.vcf(spark, _written(rows, "vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3"))
+    return table(spark, d, "part").select(F.concat(F.lit("chr"), k % 22 + 1).alias("chr"), (k * 10).alias("pos"), _line("\t", F.concat(F.lit("chr"), (k % 22 + 1).cast("string")), (k * 10).cast("string"), F.when(k % 3 == 0, ".").otherwise(F.concat(F.lit("rs"), k)), "A", alt, F.when(k % 4 == 0, ".").otherwise(_text("p_size")), F.when(k % 6 == 0, "q10").otherwise("PASS"), info, "GT:DP", sample(4), sample(5), sample(3)))
+
+
+def _vcf(spark, d):
+    return formats.vcf(spark, _written(_vcf_lines(spark, d), "vcf", _VCF_HEAD))
 
 
 def vcf_sites(spark, d):
@@ -210,8 +216,31 @@ def vcf_genotype_counts(spark, d):
     return formats.vcf_genotype_counts(_vcf(spark, d)).select("pos", "homref", "het", "homvar", "nocall")
 
 
+def _vcf_blocks(spark, d):
+    """The lines in block-gzip files, and their index of lines."""
+    files = block_gzip.write(_vcf_lines(spark, d), new_path(spark, "blocks"), ["chr", "pos"], _VCF_HEAD)
+    return block_gzip.line_index(spark, [r["file"] for r in files.select("file").collect()])  # a file a range
+
+
 def vcf_region(spark, d):
-    return formats.vcf_region(_vcf(spark, d), "chr3", 1000, 15000).select("chr", "pos")
+    """Sites of a region: the block index tells which members to read."""
+    index = stored(block_gzip.block_index(_vcf_blocks(spark, d)), "index")
+    return formats.vcf_region_of_blocks(index, "chr3", 1000, 15000).select("chr", "pos")
+
+
+def vcf_block_contents(spark, d):
+    """All lines through the block index, whole."""
+    return formats.vcf_rows(block_gzip.read_blocks(block_gzip.block_index(_vcf_blocks(spark, d)))).select("chr", "pos", "alt", F.size("samples").alias("samples"))
+
+
+def lines_by_key(spark, d):
+    """Customers' lines by the keys of large orders, out of block-gzip files by their places."""
+    c = table(spark, d, "customer").select("c_custkey", _line("\t", _text("c_custkey"), F.col("c_name"), F.col("c_mktsegment")))
+    files = block_gzip.write(c, new_path(spark, "blocks"), ["c_custkey"])
+    index = block_gzip.line_index(spark, [r["file"] for r in files.select("file").collect()], (0,))
+    keys = table(spark, d, "orders").where("o_totalprice > 400000").select("o_custkey")
+    f = F.split("value", "\t")
+    return block_gzip.lookup(index, keys, "o_custkey").select(f[0].cast("long").alias("c_custkey"), f[1].alias("c_name"), f[2].alias("c_mktsegment"))
 
 
 def vcf_pass_sites(spark, d):
@@ -366,7 +395,7 @@ def multinomial_draws(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (delimited_rows, keyed_rows, whitespace_rows, split_fields, fasta_records, fastq_records, gene_sets, bed_regions, marker_sites, marker_map, individuals, allele_frequencies, covariate_rows, dosage_lines, dosages_with_places, probability_lines, hard_call_lines, pedigree_matrix, stored_genotypes, stored_markers, vcf_sites, vcf_dosage_rows, vcf_genotype_counts, vcf_region, vcf_pass_sites, vcf_minimal_alleles, aligned_reads, transcript_features, block_differences, association_rows, relatedness_rows, imputed_allele_rows, variant_effects, loss_of_function_variants, allele_count_dialects, files_by_key, concatenated_files, compressed_lines, row_subset, genotype_file_sets, chromosome_numbers, primer_removed, oriented, iupac_bases, splice_junctions, multinomial_draws)
+    for f in (delimited_rows, keyed_rows, whitespace_rows, split_fields, fasta_records, fastq_records, gene_sets, bed_regions, marker_sites, marker_map, individuals, allele_frequencies, covariate_rows, dosage_lines, dosages_with_places, probability_lines, hard_call_lines, pedigree_matrix, stored_genotypes, stored_markers, vcf_sites, vcf_dosage_rows, vcf_genotype_counts, vcf_region, vcf_block_contents, lines_by_key, vcf_pass_sites, vcf_minimal_alleles, aligned_reads, transcript_features, block_differences, association_rows, relatedness_rows, imputed_allele_rows, variant_effects, loss_of_function_variants, allele_count_dialects, files_by_key, concatenated_files, compressed_lines, row_subset, genotype_file_sets, chromosome_numbers, primer_removed, oriented, iupac_bases, splice_junctions, multinomial_draws)
 }
 
 _FULL = _N + ", f AS (SELECT 'm' || m.marker AS snp, m.marker AS marker, i.i AS ind, dosage FROM (SELECT DISTINCT marker FROM g) m CROSS JOIN (SELECT unnest(range(25)) AS i) i LEFT JOIN g ON g.marker = m.marker AND g.ind = i.i)"
@@ -402,6 +431,8 @@ ORACLES = {
     "vcf_dosage_rows": f"WITH v AS (SELECT p_partkey AS k FROM part), c AS ({_CALLS}) SELECT a.k * 10 AS pos, a.alt, CAST(sample AS INTEGER) AS sample, CAST(CASE WHEN a.alt = 'T' AND x IS NOT NULL THEN 0 ELSE x END AS DOUBLE) AS dosage FROM c JOIN {_ALTS} a USING (k)",
     "vcf_genotype_counts": f"WITH v AS (SELECT p_partkey AS k FROM part), c AS ({_CALLS}) SELECT k * 10 AS pos, count(*) FILTER (WHERE x = 0) AS homref, count(*) FILTER (WHERE x = 1) AS het, count(*) FILTER (WHERE x = 2) AS homvar, count(*) FILTER (WHERE x IS NULL) AS nocall FROM c GROUP BY 1",
     "vcf_region": "SELECT 'chr3' AS chr, p_partkey * 10 AS pos FROM part WHERE p_partkey % 22 = 2 AND p_partkey * 10 >= 1000 AND p_partkey * 10 < 15000",
+    "vcf_block_contents": "SELECT 'chr' || (p_partkey % 22 + 1) AS chr, p_partkey * 10 AS pos, CASE WHEN p_partkey % 5 = 0 THEN 'G,T' ELSE 'G' END AS alt, 3 AS samples FROM part",
+    "lines_by_key": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "vcf_pass_sites": "SELECT CAST(p_partkey % 22 + 1 AS VARCHAR) AS chr, p_partkey * 10 AS pos, '.' AS id, 'A' AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'G,T' ELSE 'G' END AS alt FROM part WHERE p_partkey % 6 <> 0",
     "vcf_minimal_alleles": f"SELECT 'chr' || (k % 22 + 1) AS chr, k * 10 AS pos, 'A' AS ref, alt FROM {_ALTS}",
     "aligned_reads": "SELECT 'r' || event_id AS name, CAST(user_id AS VARCHAR) AS chr, event_id AS \"start\", event_id + CASE WHEN event_id % 2 = 0 THEN 10 ELSE 16 END AS \"end\", CASE WHEN event_id % 5 = 0 THEN '-' ELSE '+' END AS strand, CAST(event_id % 60 AS INTEGER) AS mapq, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS nh FROM events WHERE event_id % 11 <> 0 AND (event_id % 5 = 0 OR event_id % 7 <> 0)",

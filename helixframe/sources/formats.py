@@ -184,8 +184,12 @@ def tped(spark: SparkSession, path: str) -> DataFrame:
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """Site rows: chr, pos, id, ref, alt, qual, filter, info (map), format and samples as an array."""
-    f = F.split("value", "\t")
-    rows = lines(spark, path).where(~F.col("value").startswith("#")).select(f.alias("f"))
+    return vcf_rows(lines(spark, path))
+
+
+def vcf_rows(df: DataFrame) -> DataFrame:
+    """The site rows of lines in ``value``."""
+    rows = df.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
     info = F.map_from_entries(F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda x: x != "."), lambda x: F.struct(F.substring_index(x, "=", 1), F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).otherwise("true"))))
     dot = lambda i: F.when(F.col("f")[i] != ".", F.col("f")[i])
     return rows.select(F.col("f")[0].alias("chr"), F.col("f")[1].cast("long").alias("pos"), dot(2).alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), dot(5).cast("double").alias("qual"), F.col("f")[6].alias("filter"), info.alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", 10, F.greatest(F.lit(0), F.size("f") - 9)).alias("samples"))
@@ -221,6 +225,13 @@ def vcf_region(variants: DataFrame, chromosome: str, start: int, end: int) -> Da
     return variants.where((F.col("chr") == chromosome) & (F.col("pos") >= start) & (F.col("pos") < end))
 
 
+def vcf_region_of_blocks(index: DataFrame, chromosome: str, start: int, end: int) -> DataFrame:
+    """The same from block-gzip files by their block index: only members that hold such sites are read."""
+    from helixframe.sources import block_gzip
+
+    return vcf_region(vcf_rows(block_gzip.read_blocks(block_gzip.in_region(index, chromosome, start, end))), chromosome, start, end)
+
+
 def vcf_sites_only(variants: DataFrame) -> DataFrame:
     """PASS (or unfiltered) rows as chr without prefix, pos, ``.`` id, ref, alt."""
     return variants.where(F.col("filter").isin("PASS", ".")).select(F.regexp_replace("chr", "^chr", "").alias("chr"), "pos", F.lit(".").alias("id"), "ref", "alt")

@@ -1,8 +1,15 @@
-"""Sequence columns: complement, translation, k-mers, distances, variant normal forms, all as built-in expressions."""
+"""Sequence columns: complement, translation, k-mers, distances, variant normal forms.
+
+Built-in expressions, but for what looks at every letter of long sequences (translation, k-mer and pair counts): there Arrow
+batches go through numpy, in time in proportion to the letters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 #: The standard genetic code, amino acids of the codons in the order T, C, A, G of each place.
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -27,8 +34,61 @@ def codon_to_amino(codon: Column) -> Column:
     return F.when(c.rlike("^[ACGT]{3}$"), F.lit(AMINO_ACIDS).substr(code + 1, F.lit(1))).when(c == "---", F.lit("-")).otherwise(F.lit("X"))
 
 
-def translate(seq: Column) -> Column:
-    return F.array_join(F.transform(codons(seq), codon_to_amino), "")
+#: Per byte the digit of a base in the order T, C, A, G; 4 for a gap, 5 for anything else.
+_DIGIT = np.full(256, 5, np.uint8)
+for _letters, _d in (("TtUu", 0), ("Cc", 1), ("Aa", 2), ("Gg", 3), ("-", 4)):
+    _DIGIT[np.frombuffer(_letters.encode(), np.uint8)] = _d
+_ACIDS = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)
+
+
+def amino_letters(seq: str) -> str:
+    """``codon_to_amino`` of a sequence's whole triplets."""
+    digits = _DIGIT[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)[: len(seq) // 3 * 3]].reshape(-1, 3)
+    code = digits[:, 0].astype(np.intp) * 16 + digits[:, 1] * 4 + digits[:, 2]
+    bases = (digits < 4).all(axis=1)
+    out = np.where((digits == 4).all(axis=1), ord("-"), ord("X")).astype(np.uint8)
+    out[bases] = _ACIDS[code[bases]]
+    return out.tobytes().decode("ascii")
+
+
+@arrow_udf(T.StringType())
+def translate(seqs: pa.Array) -> pa.Array:
+    """Amino acids of the whole triplets from the first letter on; empty for null."""
+    return pa.array([amino_letters(s.as_py() or "") for s in seqs], pa.string())
+
+
+def kmer_counts(seq: Column, k: int) -> Column:
+    """array<struct(kmer, n)>: how often each substring of k letters stands in a sequence; empty below k letters or for null."""
+
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])))
+    def counted(seqs: pa.Array) -> pa.Array:
+        words, counts, ends = [], [], [0]
+        for s in seqs:
+            letters = np.frombuffer((s.as_py() or "").encode("utf-32-le"), "<u4")
+            if len(letters) >= k:
+                alphabet, code = np.unique(letters, return_inverse=True)
+                if len(alphabet) ** k < 1 << 62:  # a k-mer as one number
+                    number = np.zeros(len(letters) - k + 1, np.int64)
+                    for j in range(k):
+                        number = number * len(alphabet) + code[j : j + len(number)]
+                    size = len(alphabet) ** k
+                    if size <= 4 * len(number):
+                        n = np.bincount(number, minlength=size)
+                        found = np.flatnonzero(n)
+                        n = n[found]
+                    else:
+                        found, n = np.unique(number, return_counts=True)
+                    places = found[:, None] // len(alphabet) ** np.arange(k - 1, -1, -1, dtype=np.int64) % len(alphabet)
+                    rows = alphabet[places]
+                else:
+                    rows, n = np.unique(np.lib.stride_tricks.sliding_window_view(letters, k), axis=0, return_counts=True)
+                words += np.ascontiguousarray(rows, "<u4").view(f"<U{k}").ravel().tolist()
+                counts.append(n)
+            ends.append(len(words))
+        kinds = [pa.array(words, pa.string()), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(kinds, ["kmer", "n"]))
+
+    return counted(seq)
 
 
 def kmers(seq: Column, k: int) -> Column:
@@ -123,8 +183,9 @@ def splice_gaps(start: Column, cigar: Column) -> Column:
     ops = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1)
     size = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("long")
     moves = lambda o: F.when(F.right(o, F.lit(1)).isin("M", "D", "N", "=", "X"), size(o)).otherwise(F.lit(0).cast("long"))
-    before = lambda i: F.aggregate(F.slice(ops, 1, i), F.lit(0).cast("long"), lambda n, o: n + moves(o))
-    rows = F.transform(ops, lambda o, i: F.struct((start + before(i)).alias("start"), (start + before(i) + moves(o)).alias("end"), F.right(o, F.lit(1)).alias("op")))
+    empty = F.struct(start.cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,op:string>>").alias("rows"))
+    step = lambda n, o: F.struct((n["at"] + moves(o)).alias("at"), F.when(F.right(o, F.lit(1)) == "N", F.concat(n["rows"], F.array(F.struct(n["at"].alias("start"), (n["at"] + moves(o)).alias("end"), F.lit("N").alias("op"))))).otherwise(n["rows"]).alias("rows"))
+    rows = F.aggregate(ops, empty, step)["rows"]
     return F.transform(F.filter(rows, lambda r: r["op"] == "N"), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
+
+from helixframe.functions import sequence
 
 
 def letters(df: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
@@ -16,9 +19,33 @@ def letters(df: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
 
 
 def column_counts(df: DataFrame, by: Sequence[str], seq: str, upper: bool = True) -> DataFrame:
-    """Letter counts of every column, map-side combined."""
-    rows = letters(df, by, seq)
-    return rows.groupBy(*by, "pos", (F.upper("letter") if upper else F.col("letter")).alias("letter")).agg(F.count("*").alias("n"))
+    """Letter counts of every column: each Arrow batch is counted in numpy first, so what is shuffled is a row a place and letter and batch, not a letter."""
+    rows = df.select(*by, F.col(seq).alias("_seq"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_seq") + "pos int, letter string, n long"
+    names, last = list(rows.columns[:-1]), len(rows.columns) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, first = np.zeros(batch.num_rows, np.int64), np.zeros(min(1, batch.num_rows), np.int64)
+            if names and batch.num_rows:
+                seen: dict = {}
+                group = np.array([seen.setdefault(k, len(seen)) for k in zip(*[batch.column(i).to_pylist() for i in range(last)])])
+                first = np.unique(group, return_index=True)[1]
+            texts = [np.frombuffer((t.as_py() or "").encode("utf-32-le"), "<u4") for t in batch.column(last)]
+            size = np.array([len(t) for t in texts], np.int64)
+            if not size.sum():
+                continue
+            alphabet, code = np.unique(np.concatenate(texts), return_inverse=True)
+            width = int(size.max())
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            cell, n = np.unique((np.repeat(group, size) * width + place) * len(alphabet) + code, return_counts=True)
+            letter = alphabet[cell % len(alphabet)].astype("<u4").view("<U1")
+            cell //= len(alphabet)
+            keys = [batch.column(i).take(pa.array(first[cell // width])) for i in range(last)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array((cell % width).astype(np.int32)), pa.array(letter.tolist(), pa.string()), pa.array(n, pa.int64())], [*names, "pos", "letter", "n"])
+
+    counted = rows.mapInArrow(count, schema)
+    return counted.groupBy(*by, "pos", (F.upper("letter") if upper else F.col("letter")).alias("letter")).agg(F.sum("n").alias("n"))
 
 
 def consensus(df: DataFrame, by: Sequence[str], seq: str, missing: str = "-", least_share: float = 0.0, no_call: str = "N") -> DataFrame:
@@ -172,25 +199,36 @@ def index_map(df: DataFrame, key: str, seq: str, gap: str = "-") -> DataFrame:
     return kept.select(key, F.posexplode("_at").alias("residue", "column")).select(key, "column", "residue")
 
 
-def back_aligned(protein: Column, dna: Column, gap: str = "-") -> Column:
-    """A gapped protein's codons: three gaps for each gap, the next codon of ``dna`` for each residue; in the reading frame
-    (shifts of -2 to 2 letters) whose translation agrees with the residues at most places, the least shift at ties. Residues beyond the letters become ``NNN``."""
-    residues = F.replace(protein, F.lit(gap), F.lit(""))
+def _back_aligned(protein: str, dna: str, gap: str) -> str:
+    residues = protein.replace(gap, "")
+    frames = {s: dna[s:] if s >= 0 else "N" * -s + dna for s in (0, 1, -1, 2, -2)}
+    letters = np.frombuffer(residues.encode("utf-32-le"), "<u4")
 
-    def framed(shift: int) -> Column:
-        return dna.substr(F.lit(1 + shift), F.length(dna)) if shift >= 0 else F.concat(F.lit("N" * -shift), dna)
+    def agree(shift: int) -> int:
+        other = np.frombuffer(sequence.amino_letters(frames[shift]).encode("utf-32-le"), "<u4")
+        n = min(len(letters), len(other))
+        return int((letters[:n] == other[:n]).sum())
 
-    def agree(shift: int) -> Column:
-        from helixframe.functions import sequence
+    chosen = frames[max(frames, key=agree)]  # the first of equals
+    out, at = [], 0
+    for x in protein:
+        if x == gap:
+            out.append(gap * 3)
+        else:
+            out.append(chosen[at : at + 3].ljust(3, "N"))
+            at += 3
+    return "".join(out)
+
+
+def back_aligned(protein: Column, dna: Column, gap: str = "-") -> Column:
+    """A gapped protein's codons: three gaps for each gap, the next codon of ``dna`` for each residue; in the reading frame
+    (shifts of -2 to 2 letters) whose translation agrees with the residues at most places, the least shift at ties. Residues beyond the letters become ``NNN``; null for a null."""
 
-        return F.size(F.filter(F.arrays_zip(F.split(residues, "").alias("a"), F.split(sequence.translate(framed(shift)), "").alias("b")), lambda p: p["a"] == p["b"]))
+    @arrow_udf(T.StringType())
+    def aligned(proteins: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or t is None else _back_aligned(p, t, gap) for p, t in zip(proteins.to_pylist(), texts.to_pylist())], pa.string())
 
-    shifts = (0, 1, -1, 2, -2)
-    best = F.greatest(*[agree(s) for s in shifts])
-    chosen = F.coalesce(*[F.when(agree(s) == best, framed(s)) for s in shifts])
-    number = lambda i: F.length(F.replace(protein.substr(F.lit(1), i), F.lit(gap), F.lit("")))
-    codon = lambda i: F.rpad(chosen.substr(3 * number(i) + 1, F.lit(3)), 3, "N")
-    return F.array_join(F.transform(F.split(protein, ""), lambda x, i: F.when(x == gap, F.lit(gap * 3)).when(x == "", "").otherwise(codon(i))), "")
+    return aligned(protein, dna)
 
 
 def reference_sites(df: DataFrame, key: str, seq: str, reference: Column, least: int) -> DataFrame:

@@ -38,12 +38,12 @@ def translate_codons(spark, d):
 
 
 def kmer_counts(spark, d):
-    return dna(spark, d).select(F.explode(sequence.kmers(F.col("seq"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return dna(spark, d).select(F.explode(sequence.kmer_counts(F.col("seq"), 4)).alias("c")).groupBy("c.kmer").agg(F.sum("c.n").alias("n"))
 
 
 def kmer_similarity(spark, d):
     """Every twentieth document against all others."""
-    rows = dna(spark, d).select("doc_id", F.array_distinct(sequence.kmers(F.col("seq"), 4)).alias("k")).where(F.size("k") > 0)
+    rows = dna(spark, d).select("doc_id", sequence.kmer_counts(F.col("seq"), 4)["kmer"].alias("k")).where(F.size("k") > 0)
     got = frames.against(rows.where("doc_id % 20 = 0"), rows, "doc_id", "k")
     return got.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).where("shared > 0")
 

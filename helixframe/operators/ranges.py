@@ -8,10 +8,12 @@ row a range carries what came before it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from helixframe.session import stored
+from helixframe.session import stored_by
 
 RANGE = "_range"
 #: What a running aggregate does inside a range, and how it takes in what came before.
@@ -20,14 +22,15 @@ _KINDS: dict[str, tuple[Callable, Callable]] = {"sum": _SUM, "max": (F.max, F.gr
 
 
 def dealt(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
-    """``df`` with its range's number in RANGE, as a stored table: the numbers stay whatever is lost. Ranges are twice the shuffle partitions."""
+    """``df`` with its range's number in RANGE, as a stored table: the numbers stay whatever is lost, and sweeps of a range move no rows. Ranges are twice the shuffle partitions."""
     n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id()), "ranges")
+    return stored_by(df.repartitionByRange(n, *keys).withColumn(RANGE, F.spark_partition_id()), RANGE, n, "ranges")
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], aggregates: dict[str, tuple[str, Column]], own: bool = True, backwards: bool = False) -> DataFrame:
-    """Add running aggregates {name: (sum, max, min or last, column)} over each group in order to a dealt table.
+    """Add running aggregates {name: (sum, max, min or last, column)} over each group in order to a table dealt by group and order.
 
+    A range takes in what came before it for the group that runs on into it, one group at most: so what is carried is a row a range and is broadcast.
     ``own``: the row itself counts; ``backwards``: from the last row to the first. ``last`` is the last
     value that is not null.
     """
@@ -44,10 +47,11 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], aggregates:
     parts = df.groupBy(*by, RANGE).agg(*[whole(kind, column).alias(f"_carry_{name}") for name, (kind, column) in aggregates.items()])
     carried = parts.select(*by, RANGE, *[_KINDS[kind][0](f"_carry_{name}").over(earlier).alias(f"_carry_{name}") for name, (kind, _) in aggregates.items()])
     keys = [*by, RANGE]
-    right = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_carry_{name}" for name in aggregates])
+    some = reduce(or_, [F.col(f"_carry_{name}").isNotNull() for name in aggregates])
+    right = carried.where(some).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_carry_{name}" for name in aggregates])
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) if k != RANGE else F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     swept = df.select("*", *[_KINDS[kind][0](column).over(inside).alias(f"_here_{name}") for name, (kind, column) in aggregates.items()])
-    met = swept.join(right, match, "left")
+    met = swept.join(F.broadcast(right), match, "left")  # a row a range
     met = met.withColumns({name: _KINDS[kind][1](F.col(f"_here_{name}"), F.col(f"_carry_{name}")) for name, (kind, _) in aggregates.items()})
     return met.drop(*[f"_k{i}" for i in range(len(keys))], *[f"_carry_{name}" for name in aggregates], *[f"_here_{name}" for name in aggregates])
 
@@ -58,7 +62,7 @@ def following(df: DataFrame, by: Sequence[str], order: str, out: str) -> DataFra
     first = df.groupBy(*by, RANGE).agg(F.min(order).alias("_first"))
     after = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, RANGE])], F.lead("_first").over(Window.partitionBy(*by).orderBy(RANGE)).alias("_after"))
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*by, RANGE])]
-    return df.withColumn("_next", here).join(after, match, "left").withColumn(out, F.coalesce("_next", "_after")).drop("_next", "_after", *[f"_k{i}" for i in range(len(by) + 1)])
+    return df.withColumn("_next", here).join(F.broadcast(after.where("_after IS NOT NULL")), match, "left").withColumn(out, F.coalesce("_next", "_after")).drop("_next", "_after", *[f"_k{i}" for i in range(len(by) + 1)])
 
 
 def counted(df: DataFrame, by: Sequence[str], value: str, also: dict[str, Column] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +42,30 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_OPEN: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, note all tables and folders that operators write to the shared folder, and remove them at its end: for results that are written or collected before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for kind, name in _OPEN.pop():
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+    for names in _OPEN[-1:]:
+        names.append(("folder", path))
+    return path
 
 
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
@@ -50,3 +73,13 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, key: str, buckets: int, name: str = "rows") -> DataFrame:
+    """``df`` stored in buckets of a key: what groups by the key (and more) afterwards moves no rows."""
+    spark = df.sparkSession
+    table, path = f"helixframe_{name}_{uuid.uuid4().hex}", new_path(spark, name)
+    for names in _OPEN[-1:]:
+        names.append(("table", table))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)

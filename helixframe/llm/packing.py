@@ -16,6 +16,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 #: Words whose token ids a worker remembers, at most.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 30_000
 #: Texts of these characters only are cut into words by ``SPLIT``; all others go to the tokenizer whole.
 PLAIN = re.compile("[\\n\\r\\t\x20-~À-ÖØ-öø-ÿ]*")
 #: The vocabulary's published word pattern, for texts of PLAIN's characters.
@@ -58,28 +59,47 @@ class _Words(dict):
 
 
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
-_LOADED: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _LOADED:
+class _Tokens:
+    """What a worker keeps of a tokenizer file. The tokenizer itself is loaded when a text first needs it."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.words = path, _Words(path)
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    @cached_property
+    def whole(self):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        found = Tokenizer.from_file(path)
-        special = [t.content for t in found.get_added_tokens_decoder().values()]
-        _LOADED[path] = found, _Words(path), special
+        return Tokenizer.from_file(self.path)
+
+
+_LOADED: dict[str, _Tokens] = {}
+
+
+def _known(path: str) -> _Tokens:
+    if path not in _LOADED:
+        _LOADED[path] = _Tokens(path)
+        common.release()  # what reading the file has taken
     return _LOADED[path]
 
 
+def _tokenizer(path: str) -> tuple:
+    known = _known(path)
+    return known.whole, known.words, known.special
+
+
 def token_bytes(text: str, path: str) -> bytes:
     """Token ids of a text as little-endian unsigned 32-bit numbers, exactly those of the tokenizer file."""
-    tokenizer, words, special = _tokenizer(path)
-    if PLAIN.fullmatch(text) and not any(s in text for s in special):
-        return b"".join(map(words.__getitem__, SPLIT.findall(text)))
+    known = _known(path)
+    if PLAIN.fullmatch(text) and not any(s in text for s in known.special):
+        return b"".join(map(known.words.__getitem__, SPLIT.findall(text)))
     import numpy as np
 
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return np.array(known.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.operators import intervals
+from helixframe.session import stored
 
 
 def count_reads(reads: DataFrame, features: DataFrame, width: int = 10_000, min_quality: int = 10, stranded: str = "no") -> DataFrame:
@@ -74,3 +75,32 @@ def filter_low(counts: DataFrame, gene: str, sample: str, n: str, least: float,
     samples = counts.agg(F.countDistinct(sample).alias("_s"))
     keep = counts.groupBy(gene).agg(F.count_if(F.col(n) >= least).alias("_k")).crossJoin(F.broadcast(samples)).where(F.col("_k") >= share * F.col("_s")).select(gene)
     return counts.join(keep, gene, "left_semi")
+
+
+def batch_axes(df: DataFrame, gene: str, sample: str, n: str, controls: DataFrame, k: int) -> DataFrame:
+    """(sample, component, score): the first k components of the samples' log(count + 1) over control genes, each gene less its mean. The samples' products are one aggregation over genes; every gene has a row in every sample."""
+    from helixframe.operators.models import gram_components
+
+    rows = df.join(controls.select(gene).distinct(), gene, "left_semi").select(gene, sample, F.log1p(F.col(n).cast("double")).alias("_v"))
+    mean = rows.groupBy(gene).agg(F.avg("_v").alias("_m"))
+    rows = rows.join(mean, gene).select(gene, sample, (F.col("_v") - F.col("_m")).alias("_v"))
+    a, b = rows.select(gene, F.col(sample).alias("i"), F.col("_v").alias("_x")), rows.select(gene, F.col(sample).alias("j"), F.col("_v").alias("_y"))
+    gram = a.join(b, gene).where("i >= j").groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("value"))
+    return gram_components(gram, k)[0].select(F.col("i").alias(sample), "component", "score")
+
+
+def without_unwanted(df: DataFrame, gene: str, sample: str, n: str, controls: DataFrame, k: int) -> DataFrame:
+    """(gene, sample, residual): counts less what a Poisson regression on the control genes' k components explains, a gene whose least residual is negative lifted to 0.
+
+    Genes whose regression fails are left out.
+    """
+    from helixframe.operators.models import glm
+
+    axes = batch_axes(df, gene, sample, n, controls, k).groupBy(sample).agg(*[F.max(F.when(F.col("component") == c, F.col("score"))).alias(f"_c{c}") for c in range(k)])
+    rows = stored(df.join(axes, sample), "counts")
+    names = [f"_c{c}" for c in range(k)]
+    fits = glm(rows, [gene], n, names, "poisson").groupBy(gene).agg(*[F.max(F.when(F.col("term") == t, F.col("beta"))).alias(f"_b{i}") for i, t in enumerate(["intercept", *names])])
+    eta = sum((F.col(f"_b{i + 1}") * F.col(c) for i, c in enumerate(names)), F.col("_b0"))
+    left = rows.join(fits.where("_b0 IS NOT NULL"), gene).select(gene, sample, (F.col(n) - F.exp(eta)).alias("_r"))
+    least = left.groupBy(gene).agg(F.least(F.min("_r"), F.lit(0.0)).alias("_least"))
+    return left.join(least, gene).select(gene, sample, (F.col("_r") - F.col("_least")).alias("residual"))

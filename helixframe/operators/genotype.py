@@ -108,3 +108,24 @@ def phenotype_summary(df: DataFrame, phenotype: str) -> DataFrame:
     """Controls (1), cases (2) and missing (null or anything else)."""
     p = F.col(phenotype)
     return df.agg(F.count_if(p == 1).alias("controls"), F.count_if(p == 2).alias("cases"), F.count_if(p.isNull() | ~p.isin(1, 2)).alias("missing"))
+
+
+def resampled_gram(gram: DataFrame, replica: DataFrame, drawn: str, original: str) -> DataFrame:
+    """(replicate.., i, j, n, value) for i >= j: the relatedness among drawn individuals, rows (drawn number, original individual) of ``replica`` and any further columns that tell replicates apart."""
+    by = [c for c in replica.columns if c not in (drawn, original)]
+    both = gram.select("i", "j", "n", "value").unionByName(gram.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "value")).withColumnsRenamed({"i": "_oi", "j": "_oj"})
+    a = replica.select(*by, F.col(drawn).alias("i"), F.col(original).alias("_oi"))
+    b = replica.select(*by, F.col(drawn).alias("j"), F.col(original).alias("_oj"))
+    met = both.join(a, "_oi")
+    return met.join(b, [*by, "_oj"]).where("i >= j").select(*by, "i", "j", "n", "value")
+
+
+def summarised_replicates(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by.., n, median, iqr, mean, sd) of repeated estimates: exact percentiles by ranges of the values."""
+    from helixframe.operators import ranges
+
+    d = df.where(F.col(value).isNotNull())
+    shares = ranges.percentiles(d, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    sums = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    keyed = shares.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "median", (F.col("q3") - F.col("q1")).alias("iqr"))
+    return sums.join(keyed, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]).select(*by, "n", "median", "iqr", "mean", "sd")

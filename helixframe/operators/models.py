@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from helixframe.functions import dist
+from helixframe.session import stored
 
 
 def ols_simple(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -121,26 +123,94 @@ def irls(x: np.ndarray, y: np.ndarray, weights: np.ndarray, family: str, steps:
     return np.full_like(beta, np.nan), np.full_like(beta, np.nan), np.nan
 
 
-def glm(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], family: str = "logistic") -> DataFrame:
+def _glm_step(counted: DataFrame, keys: Sequence[str], beta: DataFrame, family: str, k: int) -> DataFrame:
+    """(keys, beta, info, score, ll, n): the sums of a Newton step at ``beta`` (keys, beta), a row a group."""
+    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    at = beta.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("beta").alias("_beta"))
+    rows = counted.join(at, match)
+    x = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(k - 1)]]
+    eta = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), sum((F.col("_beta")[i] * c for i, c in enumerate(x)), F.lit(0.0))))
+    rows = rows.withColumn("_eta", eta)
+    y, w = F.col("_y"), F.col("_w").cast("double")
+    if family == "logistic":
+        rows = rows.withColumn("_mu", 1 / (1 + F.exp(-F.col("_eta")))).withColumn("_var", F.col("_mu") * (1 - F.col("_mu")))
+        ll = y * F.log(F.col("_mu")) + (1 - y) * F.log(1 - F.col("_mu"))
+    else:
+        rows = rows.withColumn("_mu", F.exp("_eta")).withColumn("_var", F.col("_mu"))
+        ll = y * F.col("_eta") - F.col("_mu") - F.col("_lf")
+    info = F.array(*[F.sum(w * F.col("_var") * x[i] * x[j]) for i in range(k) for j in range(i, k)])
+    score = F.array(*[F.sum(w * (y - F.col("_mu")) * c) for c in x])
+    return rows.groupBy(*keys).agg(F.first("_beta").alias("beta"), info.alias("info"), score.alias("score"), F.sum(w * ll).alias("ll"), F.sum("_w").alias("n"))
+
+
+@pandas_udf(T.DoubleType())
+def _log_factorial(y: pd.Series) -> pd.Series:
+    import math
+
+    return pd.Series([math.lgamma(v + 1) if v > -1 else np.nan for v in y])
+
+
+def glm(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], family: str = "logistic", steps: int = 40, tolerance: float = 1e-8) -> DataFrame:
     """Logistic (y in 0/1) or Poisson regression per group: term, beta, se, z, p, loglik, n.
 
-    Identical (y, x) rows are counted first, by a map-side combined aggregation,
-    so what a group's task gets is its distinct rows.
+    Iteratively reweighted least squares by sums: a step is one aggregation of weighted products that combines map-side, whatever the number of rows of
+    a group, and a solution of (terms x terms) systems, a row a group. Identical (y, x) rows are counted first. Groups that have converged drop out;
+    those that do not within ``steps``, or are singular, have nulls. Rows with a null are left out.
     """
     counted = df.dropna(subset=[y, *xs]).groupBy(*by, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(xs)]).agg(F.count("*").alias("_w"))
-    names = ["intercept", *xs]
+    names, k = ["intercept", *xs], 1 + len(xs)
+    keys = list(by) or ["_all"]
     if not by:
         counted = counted.withColumn("_all", F.lit(1))
-    keys = list(by) or ["_all"]
+    if family != "logistic":
+        counted = counted.withColumn("_lf", _log_factorial("_y"))
+    counted = stored(counted, "counted")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counted.schema if f.name in keys)
+    now = counted.select(*keys).distinct().select(*keys, F.array_repeat(F.lit(0.0), k).alias("beta"), F.lit(None).cast("double").alias("last"))
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), *[pdf[f"_x{i}"] for i in range(len(xs))]])
-        b, s, ll = irls(x, pdf["_y"].to_numpy(), pdf["_w"].to_numpy(float), family)
-        z = b / s
-        return pd.DataFrame([[*key, t, b[i], s[i], z[i], float(2 * dist.norm_sf(abs(z[i]))), ll, int(pdf["_w"].sum())] for i, t in enumerate(names)], columns=[*keys, "term", "beta", "se", "z", "p", "loglik", "n"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in counted.schema if f.name in keys)
-    return counted.groupBy(*keys).applyInPandas(fit, schema + "term string, beta double, se double, z double, p double, loglik double, n long").drop("_all")
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                a = np.zeros((k, k))
+                a[np.triu_indices(k)] = r["info"]
+                a += np.triu(a, 1).T
+                beta, se, state = np.asarray(r["beta"], float), [], "on"
+                try:
+                    inverse = np.linalg.inv(a)
+                    if not np.isfinite(inverse).all():
+                        raise np.linalg.LinAlgError
+                except np.linalg.LinAlgError:
+                    state = "failed"
+                else:
+                    if r["last"] is not None and abs(r["ll"] - r["last"]) < tolerance * (abs(r["ll"]) + 1e-8):
+                        state, se = "done", [float(v) for v in np.sqrt(np.maximum(np.diag(inverse), 0))]
+                    else:
+                        beta = beta + inverse @ np.asarray(r["score"], float)
+                out.append([*[r[c] for c in keys], [float(v) for v in beta], se, float(r["ll"]), int(r["n"]), state])
+            yield pd.DataFrame(out, columns=[*keys, "beta", "se", "last", "n", "state"])
+
+    ended = []
+    for step in range(steps):
+        sums = _glm_step(counted, keys, now, family, k)
+        match = [F.col(c).eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(keys)]
+        before = now.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(keys)], "last")
+        met = sums.join(before, match).select(*keys, "beta", "info", "score", "ll", "n", "last")
+        got = stored(met.mapInPandas(solve, kinds + "beta array<double>, se array<double>, last double, n long, state string"), "step")
+        ended.append(got.where("state <> 'on'"))
+        now = got.where("state = 'on'").select(*keys, "beta", "last")
+        if now.isEmpty():
+            break
+    else:
+        ended.append(got.where("state = 'on'").withColumn("state", F.lit("failed")))
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    fine = F.col("state") == "done"
+    terms = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.when(fine, F.col("beta")[i]).alias("beta"), F.when(fine, F.get("se", F.lit(i))).alias("se")) for i, t in enumerate(names)])).alias("t")
+    rows = every.select(*keys, terms, F.when(fine, F.col("last")).alias("loglik"), "n").select(*keys, "t.*", "loglik", "n")
+    rows = rows.withColumn("z", F.try_divide("beta", "se"))
+    return rows.select(*by, "term", "beta", "se", "z", (2 * dist.normal_upper(F.abs("z"))).alias("p"), "loglik", "n")
 
 
 def score_test(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
@@ -296,8 +366,6 @@ def gram_components(gram: DataFrame, k: int, rounds: int = 6, spare: int = 6, se
     within the span of all columns so far. Rows of the columns stay on the cluster; only products of columns with each other come to the driver,
     ((k + spare) (rounds + 1)) squared numbers. A component's largest score is positive.
     """
-    from helixframe.session import stored
-
     m = k + spare
     both = stored(gram.select("i", "j", "value").unionByName(gram.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value")), "gram")
 
@@ -341,7 +409,7 @@ def gram_components(gram: DataFrame, k: int, rounds: int = 6, spare: int = 6, se
     at = np.argsort(-value)[:k]
     found = len(at)
     scores = stored(last.select("j", mixed("all", span @ turn[:, at] * np.sqrt(np.maximum(value[at], 0))).alias("v")), "scores")
-    sign = scores.agg(*[F.max_by(F.col("v")[c], F.struct(F.abs(F.col("v")[c]), -F.col("j"))).alias(f"s{c}") for c in range(found)]).first() if found else []
+    sign = scores.agg(*[F.max_by(F.col("v")[c], F.struct(F.abs(F.col("v")[c]), F.col("j"))).alias(f"s{c}") for c in range(found)]).first() if found else []
     flipped = F.array(*[F.col("v")[c] * F.lit(-1.0 if (sign[c] or 0) < 0 else 1.0) for c in range(found)])
     return scores.select(F.col("j").alias("i"), F.posexplode(flipped).alias("component", "score")), [float(x) for x in value[at]]
 

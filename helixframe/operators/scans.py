@@ -6,14 +6,18 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from helixframe.operators import genotype, intervals, models
+from helixframe.operators import genotype, intervals, models, ranges
 
 #: Scales of phenotypes and the model that each asks for.
 SCALES = {"linear": "ols", "rank": "ols", "logistic": "logistic", "count": "poisson"}
 
 
 def fit(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], scale: str) -> DataFrame:
-    """Regression by the phenotype's scale: linear (and rank, on values ranked before), logistic or count. (by.., term, beta, se, p, n)."""
+    """Regression by the phenotype's scale: linear, rank (on the middle ranks of y within each group), logistic or count. (by.., term, beta, se, p, n)."""
+    if scale == "rank":
+        df = df.dropna(subset=[y, *xs])
+        ranked = ranges.counted(df, by, y).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(y).alias("_v"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias("_rank"))
+        df = df.join(ranked, [*[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.col(y) == F.col("_v")]).withColumn(y, F.col("_rank"))
     if SCALES[scale] == "ols":
         got = models.ols(df, by, y, xs)
     else:

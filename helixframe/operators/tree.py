@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.session import stored
+
 
 @dataclass
 class Node:
@@ -137,13 +139,13 @@ def leaf_distance(root: Node, a: str, b: str) -> float:
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, ancestor, steps) of a forest of (child, parent) rows by doubling: log2(depth) joins. Rounds for ``max_depth`` come first; where chains are longer, more follow until all are whole. Raises on a cycle."""
+    """(node, ancestor, steps) of a forest of (child, parent) rows by doubling: log2(depth) joins, each to a stored table. Rounds for ``max_depth`` come first; where chains are longer, more follow until all are whole. Raises on a cycle."""
     reach = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
 
     def doubled(reach: DataFrame) -> DataFrame:
         step = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("steps").alias("_more"))
         further = reach.join(step, "ancestor").select("node", F.col("_far").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
-        return reach.unionByName(further).distinct()
+        return stored(reach.unionByName(further).distinct(), "ancestors")  # a round uses what it has twice
 
     for _ in range(max(1, (max_depth - 1).bit_length())):
         reach = doubled(reach)

@@ -34,12 +34,12 @@ def _case(spark, d):
 
 def logistic(spark, d):
     got = models.glm(_case(spark, d), ["l_linestatus"], "y", ["l_quantity"], "logistic")
-    return got.select("l_linestatus", "term", "n", *_r("beta", "se", "z", "p"))
+    return got.select("l_linestatus", "term", "n", *_r("beta", "se"), F.round("z", 5).alias("z"))
 
 
 def poisson(spark, d):
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), (F.max("l_suppkey") % 5).alias("x"))
-    return models.glm(o, [], "n_lines", ["x"], "poisson").select("term", "n", *_r("beta", "se", "z", "p"))
+    return models.glm(o, [], "n_lines", ["x"], "poisson").select("term", "n", *_r("beta", "se"), F.round("z", 5).alias("z"))
 
 
 def score_test(spark, d):
@@ -119,7 +119,16 @@ _REGR = "{k}, regr_count({y}, {x}) AS n, round(regr_slope({y}, {x}), {r}) AS slo
 _SE = "round(sqrt((regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x})) / (regr_count({y}, {x}) - 2) / regr_sxx({y}, {x})), {r}) AS slope_se, round(regr_r2({y}, {x}), 6) AS r2"
 _X = {"y": "l_extendedprice", "x": "l_quantity", "r": 4}
 _EXPR = "WITH e AS (SELECT l_partkey % 50 AS gene, s_nationkey AS sample, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
+#: Newton steps in SQL: {r} has a row a group and distinct (x, y) with its count w; mu and v are the mean and variance at b0 + b1 x.
+_NEWTON = """, s(k, g, b0, b1) AS (SELECT 0, g, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM r GROUP BY g UNION ALL
+      SELECT k + 1, g, b0 + (sxx * u0 - sx * u1) / (sw * sxx - sx * sx), b1 + (sw * u1 - sx * u0) / (sw * sxx - sx * sx) FROM
+      (SELECT k, s.g, any_value(b0) AS b0, any_value(b1) AS b1, sum(w * ({v})) AS sw, sum(w * ({v}) * x) AS sx, sum(w * ({v}) * x * x) AS sxx, sum(w * (y - ({mu}))) AS u0, sum(w * (y - ({mu})) * x) AS u1 FROM s JOIN r ON s.g = r.g WHERE k < 12 GROUP BY k, s.g)),
+      e AS (SELECT s.g, any_value(b0) AS b0, any_value(b1) AS b1, sum(w * ({v})) AS sw, sum(w * ({v}) * x) AS sx, sum(w * ({v}) * x * x) AS sxx, CAST(sum(w) AS BIGINT) AS n FROM s JOIN r ON s.g = r.g WHERE k = 12 GROUP BY s.g),
+      t AS (SELECT g, n, 'intercept' AS term, b0 AS beta, sqrt(sxx / (sw * sxx - sx * sx)) AS se FROM e UNION ALL SELECT g, n, '{x}', b1, sqrt(sw / (sw * sxx - sx * sx)) FROM e)"""
+_LOGIT = {"mu": "1 / (1 + exp(-b0 - b1 * x))", "v": "exp(-b0 - b1 * x) / pow(1 + exp(-b0 - b1 * x), 2)"}
 ORACLES = {
+    "logistic": "WITH RECURSIVE r AS (SELECT l_linestatus AS g, l_quantity AS x, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, count(*) AS w FROM lineitem GROUP BY ALL)" + _NEWTON.format(x="l_quantity", **_LOGIT) + " SELECT g AS l_linestatus, term, n, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 5) AS z FROM t",
+    "poisson": "WITH RECURSIVE o AS (SELECT l_orderkey, count(*) AS y, max(l_suppkey) % 5 AS x FROM lineitem GROUP BY 1), r AS (SELECT 1 AS g, x, y, count(*) AS w FROM o GROUP BY ALL)" + _NEWTON.format(x="x", mu="exp(b0 + b1 * x)", v="exp(b0 + b1 * x)") + " SELECT term, n, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 5) AS z FROM t",
     "ols_simple": "SELECT " + _REGR.format(k="l_returnflag", **_X) + ", round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, " + _SE.format(**_X) + ", round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) * (1.0 / count(*) + pow(avg(l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity))), 4) AS intercept_se FROM lineitem GROUP BY 1",
     "through_origin_3sigma": "WITH b AS (SELECT sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS b FROM lineitem), e AS (SELECT l_quantity AS x, l_extendedprice AS y, l_extendedprice - b * l_quantity AS e FROM lineitem, b), s AS (SELECT stddev_samp(e) AS s FROM e) SELECT round(sum(x * y) / sum(x * x), 6) AS slope, count(*) AS n FROM e, s WHERE abs(e) <= 3 * s",
     "score_test": "WITH s AS (SELECT l_linestatus, count(*) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS p, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS xy, sum(l_quantity) AS sx, sum(l_quantity * l_quantity) AS sxx FROM lineitem GROUP BY 1) SELECT l_linestatus, n, round(pow(xy - p * sx, 2) / (p * (1 - p) * (sxx - sx * sx / n)), 6) AS score_chisq FROM s",

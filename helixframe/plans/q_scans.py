@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import columns, dist, sequence
-from helixframe.operators import alignment, counts, frames, ranges, scans, sets
+from helixframe.operators import alignment, counts, frames, scans, sets
 from helixframe.plans.q_formats import _line, _text, _written
 from helixframe.plans.q_genotype import _G, dosages
 from helixframe.plans.q_sequence import _NAMES, names
@@ -63,8 +63,7 @@ def regression_by_scale(spark, d):
     """The linear scale and the rank scale of one phenotype."""
     li = table(spark, d, "lineitem")
     linear = scans.fit(li, ["l_returnflag"], "l_extendedprice", ["l_quantity"], "linear").withColumn("scale", F.lit("linear"))
-    ranked = ranges.counted(li, ["l_returnflag"], "l_extendedprice").select(F.col("l_returnflag").alias("f"), F.col("l_extendedprice").alias("v"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
-    rank = scans.fit(li.join(ranked, (F.col("f") == F.col("l_returnflag")) & (F.col("v") == F.col("l_extendedprice"))), ["l_returnflag"], "rank", ["l_quantity"], "rank").withColumn("scale", F.lit("rank"))
+    rank = scans.fit(li, ["l_returnflag"], "l_extendedprice", ["l_quantity"], "rank").withColumn("scale", F.lit("rank"))
     return linear.unionByName(rank).select("scale", "l_returnflag", "term", F.round("beta", 4).alias("beta"), "n")
 
 

@@ -232,6 +232,16 @@ def likelihood_ratio(loglik_small, loglik_large, df: float) -> tuple[float, floa
     return stat, float(dist.chi2_sf(stat, df))
 
 
+def nested_models(small: DataFrame, large: DataFrame, by: Sequence[str], terms_small: int, terms_large: int) -> DataFrame:
+    """(by.., statistic, p, bic_small, bic_large) of two fits of the same rows, tables with ``loglik`` and ``n`` a group (as ``ols`` and ``glm`` give them): the likelihood-ratio test and both BIC."""
+    one = lambda df, tag: df.groupBy(*by).agg(F.max("loglik").alias(f"_l{tag}"), F.max("n").alias(f"_n{tag}"))
+    a, b = one(small, "0"), one(large, "1").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_l1", "_n1")
+    met = a.join(b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    stat = F.greatest(F.lit(0.0), 2 * (F.col("_l1") - F.col("_l0")))
+    bic = lambda tag, k: k * F.log(F.col(f"_n{tag}")) - 2 * F.col(f"_l{tag}")
+    return met.select(*by, stat.alias("statistic"), dist.chisq_upper(stat, F.lit(float(terms_large - terms_small))).alias("p"), bic("0", terms_small).alias("bic_small"), bic("1", terms_large).alias("bic_large"))
+
+
 def proximal_gradient(x: np.ndarray, y: np.ndarray, penalty: str, lam: float, alpha: float = 0.5, a: float = 3.7, steps: int = 5000, tolerance: float = 1e-10) -> np.ndarray:
     """Penalised least squares, mean squared error / 2 + penalty: l1, l2, elastic (alpha on l1) or scad; no intercept."""
     n = len(y)

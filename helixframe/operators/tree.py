@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.session import stored
@@ -157,3 +158,46 @@ def ancestors(edges: DataFrame, child: str, parent: str, max_depth: int = 64) ->
         if (reach.agg(F.max("steps")).first()[0] or 0) < done:
             return reach
         reach, done = doubled(reach), done * 2
+
+
+def newick_edges(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, child, parent, length, support, leaf) of every edge of Newick texts, one tree a row. Inner nodes without a name are numbered in the order of ``walk``, ``#0`` the root; a null text gives none."""
+
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                if not isinstance(t, str) or not t.strip():
+                    continue
+                names, root = {}, parse_newick(t)
+                for n in walk(root):
+                    names[id(n)] = n.name or f"#{len(names)}"
+                out += [(k, names[id(c)], names[id(n)], c.length, c.support, not c.children) for n in walk(root) for c in n.children]
+            yield pd.DataFrame(out, columns=[key, "child", "parent", "length", "support", "leaf"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInPandas(rows, f"`{key}` {kind}, child string, parent string, length double, support double, leaf boolean")
+
+
+def newick_splits(df: DataFrame, key: str, text: str, least_support: float = 0.0) -> DataFrame:
+    """(key, side, support): the splits of each Newick text's leaves by its inner edges, as the sorted side without the first leaf by name, in the greatest support; weakly supported ones are left out."""
+
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                if not isinstance(t, str) or not t.strip():
+                    continue
+                root = parse_newick(t)
+                support: dict[frozenset, float] = {}
+                every = frozenset(root.leaves())
+                for n in walk(root):
+                    side = frozenset(n.leaves())
+                    side = every - side if min(every) in side else side
+                    if n.support is not None:
+                        support[side] = max(support.get(side, 0.0), n.support)
+                out += [(k, sorted(s), support.get(s)) for s in bipartitions(root, least_support)]
+            yield pd.DataFrame(out, columns=[key, "side", "support"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInPandas(rows, f"`{key}` {kind}, side array<string>, support double")

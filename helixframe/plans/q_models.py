@@ -127,6 +127,9 @@ _NEWTON = """, s(k, g, b0, b1) AS (SELECT 0, g, CAST(0 AS DOUBLE), CAST(0 AS DOU
       t AS (SELECT g, n, 'intercept' AS term, b0 AS beta, sqrt(sxx / (sw * sxx - sx * sx)) AS se FROM e UNION ALL SELECT g, n, '{x}', b1, sqrt(sw / (sw * sxx - sx * sx)) FROM e)"""
 _LOGIT = {"mu": "1 / (1 + exp(-b0 - b1 * x))", "v": "exp(-b0 - b1 * x) / pow(1 + exp(-b0 - b1 * x), 2)"}
 ORACLES = {
+    # Cramer's rule on the covariances of three columns
+    "ols_multiple": "WITH s AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb, var_pop(l_tax) AS cc, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac, covar_pop(l_discount, l_tax) AS bc, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS yb, covar_pop(l_tax, l_extendedprice) AS cy FROM lineitem GROUP BY 1), d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s), b AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * cy) + ac * (yb * bc - bb * cy)) / det AS b1, (aa * (yb * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - yb * ac)) / det AS b2, (aa * (bb * cy - yb * bc) - ab * (ab * cy - yb * ac) + ay * (ab * bc - bb * ac)) / det AS b3 FROM d), t AS (SELECT l_returnflag, n, unnest(['intercept', 'l_quantity', 'l_discount', 'l_tax']) AS term, unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS beta FROM b) SELECT l_returnflag, term, n, round(beta, 4) AS beta FROM t",
+    "poisson_bootstrap": "WITH p AS (SELECT exp(-1) AS e), r AS (SELECT s_suppkey, CAST(k AS INTEGER) AS round, ((s_suppkey * 31 + k * 7919) % 2147483648 * 1103515245 + 12345) % 2147483648 / 2147483648.0 AS u FROM supplier, range(0, 3) t(k)), c AS (SELECT s_suppkey, round, CAST((u >= e)::INT + (u >= 2 * e)::INT + (u >= 2.5 * e)::INT + (u >= e * (2.5 + 1 / 6))::INT + (u >= e * (2.5 + 1 / 6 + 1 / 24))::INT + (u >= e * (2.5 + 1 / 6 + 1 / 24 + 1 / 120))::INT + (u >= e * (2.5 + 1 / 6 + 1 / 24 + 1 / 120 + 1 / 720))::INT AS INTEGER) AS times FROM r, p) SELECT * FROM c WHERE times > 0",
     "logistic": "WITH RECURSIVE r AS (SELECT l_linestatus AS g, l_quantity AS x, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, count(*) AS w FROM lineitem GROUP BY ALL)" + _NEWTON.format(x="l_quantity", **_LOGIT) + " SELECT g AS l_linestatus, term, n, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 5) AS z FROM t",
     "poisson": "WITH RECURSIVE o AS (SELECT l_orderkey, count(*) AS y, max(l_suppkey) % 5 AS x FROM lineitem GROUP BY 1), r AS (SELECT 1 AS g, x, y, count(*) AS w FROM o GROUP BY ALL)" + _NEWTON.format(x="x", mu="exp(b0 + b1 * x)", v="exp(b0 + b1 * x)") + " SELECT term, n, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 5) AS z FROM t",
     "ols_simple": "SELECT " + _REGR.format(k="l_returnflag", **_X) + ", round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, " + _SE.format(**_X) + ", round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) * (1.0 / count(*) + pow(avg(l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity))), 4) AS intercept_se FROM lineitem GROUP BY 1",

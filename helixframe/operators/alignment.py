@@ -246,3 +246,37 @@ def variant_calls(counts: DataFrame, by: Sequence[str], letter: str, n: str, lea
     depth = counts.groupBy(*by).agg(F.sum(n).alias("depth"), F.min(F.struct((-F.col(n)).alias("m"), F.col(letter).alias("l"))).alias("_top")).where(F.col("depth") >= least_depth)
     got = counts.join(depth, list(by)).withColumn("share", F.col(n) / F.col("depth")).withColumn("major", F.col(letter) == F.col("_top.l"))
     return got.select(*by, letter, n, "depth", "share", "major", (~F.col("major") & (F.col("share") >= least_share)).alias("minority"))
+
+
+def hypermutation(reference: Column, seq: Column, a_only: bool = False) -> Column:
+    """struct(mutated, possible, control_mutated, control_possible) of aligned sequences of one length: places of G in the reference before A or G (or, ``a_only``, A alone) and then anything but C, and, as controls, before the
+    other pairs of bases; possible where the sequence repeats the reference's three letters or has A for the G before the same two. Null for null or for unequal lengths."""
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in ("mutated", "possible", "control_mutated", "control_possible")])
+
+    @arrow_udf(kind)
+    def counted(refs: pa.Array, seqs: pa.Array) -> pa.Array:
+        out = []
+        for r, s in zip(refs.to_pylist(), seqs.to_pylist()):
+            if r is None or s is None or len(r) != len(s):
+                out.append(None)
+                continue
+            x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (r, s))
+            g, one, two = (x[k : len(x) - 2 + k] for k in range(3)) if len(x) > 2 else (x[:0],) * 3
+            is_ = lambda v, letters: np.isin(v, [ord(c) for c in letters])
+            context = (g == ord("G")) & is_(one, "A" if a_only else "AG") & (two != ord("C"))
+            control = (g == ord("G")) & ((is_(one, "CT") & is_(two, "ACGT")) | (is_(one, "AG") & (two == ord("C"))))
+            n = len(g)
+            follow = (y[1 : n + 1] == one) & (y[2 : n + 2] == two)
+            hit, same = follow & (y[:n] == ord("A")), follow & (y[:n] == g)
+            out.append({"mutated": int((context & hit).sum()), "possible": int((context & (hit | same)).sum()), "control_mutated": int((control & hit).sum()), "control_possible": int((control & (hit | same)).sum())})
+        return pa.array(out, pa.struct([(f.name, pa.int64()) for f in kind]))
+
+    return counted(reference, seq)
+
+
+def hypermutation_ratios(counts: Column) -> list[Column]:
+    """odds_ratio, rate_ratio and phi of such counts; null where one is not defined."""
+    a, b = counts["mutated"].cast("double"), counts["control_mutated"].cast("double")
+    c, d = counts["possible"] - a, counts["control_possible"] - b
+    phi = F.try_divide(a * d - b * c, F.sqrt((a + b) * (c + d) * (a + c) * (b + d)))
+    return [F.try_divide(F.try_divide(a, c), F.try_divide(b, d)).alias("odds_ratio"), F.try_divide(F.try_divide(a, a + c), F.try_divide(b, b + d)).alias("rate_ratio"), phi.alias("phi")]

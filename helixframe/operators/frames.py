@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from helixframe.operators import ranges
 
 
 def include_exclude(df: DataFrame, key: str, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -98,8 +100,9 @@ def ordered_pairs(df: DataFrame, name: str, block: Column, blocks: int) -> DataF
 def chunk_by_arm(df: DataFrame, by: str, pos: str, centromere: Column, size: int, overlap: int) -> DataFrame:
     """Loci of each arm in chunks of ``size`` by order, each with the ``overlap`` loci before it; a last chunk of less than half the size joins the one before."""
     arm = F.when(F.col(pos) < centromere, "p").otherwise("q")
-    w = Window.partitionBy(by, "arm")
-    d = df.withColumn("arm", arm).withColumn("_n", F.row_number().over(w.orderBy(pos)) - 1).withColumn("_m", F.count("*").over(w))
+    d = ranges.running(ranges.dealt(df.withColumn("arm", arm), [by, "arm", pos]), [by, "arm"], [pos], {"_n": ("sum", F.lit(1))}).withColumn("_n", F.col("_n") - 1)
+    total = df.groupBy(F.col(by).alias("_by"), arm.alias("_arm")).agg(F.count("*").alias("_m"))
+    d = d.join(total, F.col(by).eqNullSafe(F.col("_by")) & F.col("arm").eqNullSafe(F.col("_arm"))).drop("_by", "_arm", ranges.RANGE)
     last = F.greatest(F.lit(0), F.floor(F.col("_m") / size) - F.when((F.col("_m") % size < size / 2) | (F.col("_m") % size == 0), 1).otherwise(0))
     own = F.least(F.floor(F.col("_n") / size), last)
     also = F.when((own < last) & ((own + 1) * size - F.col("_n") <= overlap), own + 1)
@@ -108,8 +111,8 @@ def chunk_by_arm(df: DataFrame, by: str, pos: str, centromere: Column, size: int
 
 def phase_blocks(df: DataFrame, by: Sequence[str], order: str, phased: Column) -> DataFrame:
     """Block ids that grow by 2 at every unphased row, from 0, per individual."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("block", 2 * F.sum((~phased).cast("long")).over(w))
+    rows = ranges.running(ranges.dealt(df.withColumn("_cut", (~phased).cast("long")), [*by, order]), by, [order], {"block": ("sum", F.col("_cut"))})
+    return rows.withColumn("block", 2 * F.col("block")).drop("_cut", ranges.RANGE)
 
 
 def covariance(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -133,8 +136,9 @@ def in_ellipsoid(df: DataFrame, x: str, y: str, level: float, out: str = "inside
     return mahalanobis2(df, x, y).withColumn(out, F.col("d2") <= F.lit(-2.0) * F.log(F.lit(1 - level)))
 
 
-def against(queries: DataFrame, rows: DataFrame, key: str, value: str, blocks: int = 16) -> DataFrame:
-    """(a, x, b, y): every row of a stated query set with every other row, by key and value. Queries go once to each of ``blocks`` blocks of rows."""
+def against(queries: DataFrame, rows: DataFrame, key: str, value: str, blocks: int | None = None) -> DataFrame:
+    """(a, x, b, y): every row of a stated query set with every other row, by key and value. Queries go once to each of ``blocks`` blocks of rows, twice the shuffle partitions unless given."""
+    blocks = blocks or 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(F.col(key).alias("a"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     r = rows.select(F.col(key).alias("b"), F.col(value).alias("y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
     return q.join(r, "_b").where("a <> b").drop("_b")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from helixframe.operators import ranges
 from helixframe.session import stored
 
 
@@ -85,12 +86,12 @@ def downsample_counts(df: DataFrame, count: str, total: int, order: Sequence[str
     return rows.join(ranked, list(order)).crossJoin(F.broadcast(left)).withColumn("sampled", F.col("_base") + (F.col("_n") <= F.col("_left")).cast("long")).drop("_base", "_rest", "_n", "_left", "_sum")
 
 
-def components(edges: DataFrame, u: str, v: str, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root): least node of each connected component, by min-label hooking and pointer jumping; each round ends in a table in the shared folder."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = stored(e.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("_m"))
         hooked = labels.join(near, "node").select("node", "root", F.least("root", "_m").alias("_h"))
         jump = labels.select(F.col("node").alias("_h"), F.col("root").alias("_j"))
@@ -99,21 +100,20 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 50) -> DataFr
         labels = new.select("node", "root")
         if not changed:
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def verify_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Rows whose ``value`` is below its predecessor's in the given order: none where the order holds."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_before", F.lag(value).over(w)).where(F.col(value) < F.col("_before")).drop("_before")
+    """Rows whose ``value`` is below its predecessor's in the given order: none where the order holds. Groups are swept by ranges."""
+    before = ranges.running(ranges.dealt(df, [*by, *order]), by, order, {"_before": ("last", F.struct(F.col(value).alias("v")))}, own=False)
+    return before.where(F.col(value) < F.col("_before.v")).drop("_before", ranges.RANGE)
 
 
 def span_groups(df: DataFrame, by: Sequence[str], order: str, predicate: Column, out: str = "span") -> DataFrame:
-    """Number the runs of equal predicate within each group, from 0."""
-    w = Window.partitionBy(*by).orderBy(order)
-    change = (predicate != F.lag(predicate).over(w)).cast("int")
-    d = df.withColumn("_c", F.coalesce(change, F.lit(0)))
-    return d.withColumn(out, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    """Number the runs of equal predicate within each group, from 0. Groups are swept by ranges."""
+    rows = ranges.dealt(df.withColumn("_p", predicate), [*by, order])
+    rows = ranges.running(rows, by, [order], {"_before": ("last", F.struct(F.col("_p").alias("v")))}, own=False)
+    change = F.coalesce((F.col("_p") != F.col("_before.v")).cast("long"), F.lit(0))
+    return ranges.running(rows.withColumn("_c", change), by, [order], {out: ("sum", F.col("_c"))}).drop("_p", "_before", "_c", ranges.RANGE)
 
 
 def representative_sets(df: DataFrame, name: str, item: str, most: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import alignment, frames, genotype, models, pruning, tree
 from helixframe.plans.q_genotype import dosages
+from helixframe.plans.q_sequence import _DNA, dna
 from helixframe.sources import annotations
 from helixframe.sources.tables import table
 
@@ -108,7 +109,15 @@ def unrelated_individuals(spark, d):
     return pruning.drop_related(g, "i", "j", "value", -0.25).select(F.col("name").alias("ind"))
 
 
-QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals)}
+def hypermutation_ratios(spark, d):
+    """Texts' letters against the same with some G as A."""
+    s = dna(spark, d).where("seq IS NOT NULL")
+    changed = F.regexp_replace(F.regexp_replace("seq", "GGT", "AGT"), "GCA", "ACA")
+    got = s.select("doc_id", alignment.hypermutation(F.col("seq"), changed).alias("c"))
+    return got.select("doc_id", "c.*", *[F.round(x, 6).alias(n) for x, n in zip(alignment.hypermutation_ratios(F.col("c")), ("odds_ratio", "rate_ratio", "phi"))])
+
+
+QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals, hypermutation_ratios)}
 
 _T = "SELECT p_partkey, p_name AS a, lower(p_type) AS t FROM part"
 _SUB = "SELECT DISTINCT p_partkey, t, a, substr(t, CAST(i AS INT), CAST(n AS INT)) AS s FROM x, range(1, 40) r(i), range(0, 40) q(n) WHERE i <= length(t) AND i + n - 1 <= length(t)"
@@ -126,4 +135,10 @@ ORACLES = {
     "essentiality_classes": "SELECT o_orderkey, CASE WHEN o_orderkey % 13 / 13 < 0.1 THEN 'underpowered' WHEN o_orderkey % 1000 >= 990 THEN 'essential' WHEN o_orderkey % 1000 <= 10 THEN 'dispensable' ELSE 'undecided' END AS class FROM orders",
     "renamed_distinct_columns": "SELECT c_custkey, c_acctbal AS balance, c_nationkey FROM customer",
     "likelihood_ratios": "WITH s AS (SELECT l_returnflag, count(*) AS n, var_pop(l_extendedprice) AS v, corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_discount) AS b, corr(l_quantity, l_discount) AS c FROM lineitem GROUP BY 1), r AS (SELECT *, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2 FROM s), l AS (SELECT *, -n / 2 * (ln(2 * pi() * v) + 1) AS l0, -n / 2 * (ln(2 * pi() * v * (1 - r2)) + 1) AS l1 FROM r) SELECT l_returnflag, round(2 * (l1 - l0), 4) AS statistic, round(exp(l0 - l1), 9) AS p, round(ln(n) - 2 * l0, 3) AS bic_small, round(3 * ln(n) - 2 * l1, 3) AS bic_large FROM l",
+    "hypermutation_ratios": f"""WITH t AS (SELECT doc_id, seq AS r, regexp_replace(regexp_replace(seq, 'GGT', 'AGT', 'g'), 'GCA', 'ACA', 'g') AS s FROM ({_DNA}) WHERE seq IS NOT NULL), p AS (SELECT doc_id, r, s, unnest(range(1, length(r) - 1)) AS i FROM t),
+      x AS (SELECT doc_id, substr(r, i, 3) AS a, substr(s, i, 3) AS b FROM p WHERE substr(r, i, 1) = 'G'), y AS (SELECT doc_id, regexp_matches(a, 'G[AG][^C]') AS k, b = 'A' || substr(a, 2) AS h, b = a AS e FROM x),
+      c AS (SELECT t.doc_id, coalesce(count_if(k AND h), 0)::BIGINT AS mutated, coalesce(count_if(k AND (h OR e)), 0)::BIGINT AS possible, coalesce(count_if(NOT k AND h), 0)::BIGINT AS control_mutated, coalesce(count_if(NOT k AND (h OR e)), 0)::BIGINT AS control_possible FROM t LEFT JOIN y USING (doc_id) GROUP BY 1),
+      z AS (SELECT *, mutated::DOUBLE AS a, control_mutated::DOUBLE AS b, (possible - mutated)::DOUBLE AS c, (control_possible - control_mutated)::DOUBLE AS d FROM c)
+      SELECT doc_id, mutated, possible, control_mutated, control_possible, CASE WHEN c > 0 AND d > 0 AND b > 0 THEN round(a / c / (b / d), 6) END AS odds_ratio, CASE WHEN a + c > 0 AND b > 0 THEN round(a / (a + c) / (b / (b + d)), 6) END AS rate_ratio,
+        CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN round((a * d - b * c) / sqrt((a + b) * (c + d) * (a + c) * (b + d)), 6) END AS phi FROM z""",
 }

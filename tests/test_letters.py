@@ -45,3 +45,22 @@ def test_long_back_alignment(spark):
     df = spark.createDataFrame([(protein[:50] + "-" + protein[50:], dna), (None, "ACG"), ("MK-", "ATG"), ("", "ACG")], "p string, d string")
     got = [x[0] for x in df.select(alignment.back_aligned(F.col("p"), F.col("d"))).collect()]
     assert got[0] == dna[1:151] + "---" + dna[151 : 1 + 3 * len(protein)] and got[1:] == [None, "ATGNNN---", ""]
+
+
+def test_hypermutation(spark):
+    rows = [("GGTGATGCAGCC", "AGTAATACAGCC"), ("GAC", "AAC"), ("GA", "AA"), ("", ""), (None, "A"), ("GGG", "AG")]
+    got = [x[0] for x in spark.createDataFrame(rows, "r string, s string").select(alignment.hypermutation(F.col("r"), F.col("s"))).collect()]
+    import re
+
+    for (r, s), x in zip(rows, got):
+        if r is None or len(r) != len(s):
+            assert x is None
+            continue
+        want = [0, 0, 0, 0]
+        for i in range(len(r) - 2):
+            a, b = r[i : i + 3], s[i : i + 3]
+            for k, pattern in ((0, "G[AG][^C]"), (2, "G(([CT][ACGT])|([AG]C))")):
+                if re.fullmatch(pattern, a):
+                    want[k] += b == "A" + a[1:]
+                    want[k + 1] += b in (a, "A" + a[1:])
+        assert list(x) == want

@@ -131,8 +131,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     candidates. Ids are whole numbers; null and other ids, and vectors that are null, empty or hold null or
     non-finite components, take no part on either side. A shorter vector counts
     as padded by zeros. Repeated candidate rows count each; a repeated query row
-    is answered once. Query ids are taken to be unique otherwise: rows of one id
-    with different vectors are answered together. Other columns are ignored. An empty side gives no rows.
+    is answered once. Rows of one id with different vectors are candidates of their own; as queries they
+    are answered together. Other columns are ignored. An empty side gives no rows.
     """
     spark = vectors.sparkSession
     common.tune(spark)
@@ -142,8 +142,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
         return df.select(F.col(id_col).try_cast("long").alias("_id"), v.cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & fine)
 
-    # repeated rows become one with a count, so that none can fill a shard
-    rows, asked = sound(vectors).groupBy("_id", "_v").count(), sound(queries).distinct()
+    # of a row that repeats more than k copies cannot be among any k: so no row can fill a shard
+    copies = F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)).cast("int")))
+    rows, asked = sound(vectors).groupBy("_id", "_v").count().select("_id", "_v", copies.alias("_copy")), sound(queries).distinct()
     n, width = sound(vectors).agg(F.count("*"), F.max(F.size("_v"))).first()
     m, wide = sound(queries).agg(F.count("*"), F.max(F.size("_v"))).first()
     width = max(width or 1, wide or 1)
@@ -154,13 +155,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         x = _matrix(pdf["_v"], width)
         t = ball_tree(x)
         order = t["order"]
-        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64)[order].tobytes(), pdf["count"].to_numpy(np.int64)[order].tobytes(), _bytes(x[order]), t["spans"].astype(np.int64).tobytes(), t["parent"].astype(np.int64).tobytes(), t["leaf"].tobytes(), _bytes(t["centres"]), t["radii"].tobytes(), t["centres"][0].tolist(), float(t["radii"][0])]])
+        return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64)[order].tobytes(), _bytes(x[order]), t["spans"].astype(np.int64).tobytes(), t["parent"].astype(np.int64).tobytes(), t["leaf"].tobytes(), _bytes(t["centres"]), t["radii"].tobytes(), t["centres"][0].tolist(), float(t["radii"][0])]])
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[key[0], pdf["_id"].to_numpy(np.int64).tobytes(), _bytes(q := _matrix(pdf["_v"], width)), q.mean(axis=0).tolist()]])
 
     place = lambda parts: F.pmod(F.xxhash64("_id", "_v"), F.lit(parts)).cast("int")
-    shards = rows.groupBy(place(n_shards).alias("_shard")).applyInPandas(shard, "_shard int, _ids binary, _counts binary, _x binary, _spans binary, _parent binary, _leaf binary, _centres binary, _radii binary, _root array<double>, _reach double")
+    shards = rows.groupBy(place(n_shards).alias("_shard")).applyInPandas(shard, "_shard int, _ids binary, _x binary, _spans binary, _parent binary, _leaf binary, _centres binary, _radii binary, _root array<double>, _reach double")
     shards = common.materialize(shards, "ball-trees")
     blocks = common.materialize(asked.groupBy(place(n_blocks).alias("_block")).applyInPandas(block, "_block int, _qids binary, _q binary, _mid array<double>"), "query-blocks")
     # a stated query set, in blocks, against all rows
@@ -169,16 +170,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     def fold(b: dict, parts: pd.DataFrame, floor: np.ndarray | None) -> tuple:
         q_ids, q = np.frombuffer(b["_qids"], np.int64), _array(b["_q"], width)
         top = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        counts: dict[int, int] = {}
         floor = np.full(len(q), -np.inf) if floor is None else floor
         mid = q.mean(axis=0)
         roots = [float(mid @ np.array(c)) + float(np.sqrt(mid @ mid)) * r for c, r in zip(parts["_root"], parts["_reach"])]
         for s in parts.iloc[np.argsort(-np.array(roots), kind="stable")].to_dict("records"):
             tree, x, ids = _unpacked(s, width)
-            many = np.frombuffer(s["_counts"], np.int64)
-            counts.update((int(ids[i]), int(many[i])) for i in np.flatnonzero(many > 1))
             top = search(tree, x, ids, q, q_ids, floor, top, k)
-        return q_ids, *top, counts
+        return q_ids, *top
 
     def seed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -199,14 +197,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         b = left.iloc[0].to_dict()
-        q_ids, score, best, counts = fold(b, right, np.frombuffer(b["_kth"]))
+        q_ids, score, best = fold(b, right, np.frombuffer(b["_kth"]))
         there = np.isfinite(score)
-        found = best[there]
-        return pd.DataFrame({"query_id": np.repeat(q_ids, there.sum(axis=1)), "vec_id": found, "score": score[there], "copies": np.array([counts.get(int(i), 1) for i in found], np.int64)})
+        return pd.DataFrame({"query_id": np.repeat(q_ids, there.sum(axis=1)), "vec_id": best[there], "score": score[there]})
 
-    got = seeded.groupBy("_block", "_group").cogroup(grouped.groupBy("_block", "_group")).applyInPandas(answer, "query_id long, vec_id long, score double, copies long")
-    got = got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "copy")
+    got = seeded.groupBy("_block", "_group").cogroup(grouped.groupBy("_block", "_group")).applyInPandas(answer, "query_id long, vec_id long, score double")
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return got.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

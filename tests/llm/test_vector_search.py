@@ -53,3 +53,12 @@ def test_descent_prunes():
     want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :5]
     assert np.allclose(score, np.take_along_axis(q @ x.T, want, 1))
     assert sum(opened) < 20 * tree["leaf"].sum() / 4
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(5, [2.0, 0.0])] + [(5, [1.0, 0.0])] * 3 + [(6, [1.0, 0.0]), (7, [1.5, 0.0]), (10, [1.0, 0.0])] + [(8, [0.5, 0.0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (3, 6, 12, 60):
+        got = vector_search.top_k(df, df.where("vec_id = 10"), k=k).orderBy("rank").collect()
+        want = sorted([(-v[0], i) for i, v in rows if i != 10])[:k]
+        assert [(-x.score, x.vec_id) for x in got] == want

@@ -5,7 +5,7 @@ domain and its path is a prefix of the URL's path. Written as
 ``reversed.host/path`` a rule is the interval of all keys with that prefix,
 and a URL is one key for each of its parent domains. Intervals nest or are
 apart. Every rule gives an event that opens its interval and one that closes it;
-events and keys are dealt out by ranges of the key and sorted. The sweep keeps the stack
+events and keys are dealt out by ranges of the key and sorted, distinct keys once. The sweep keeps the stack
 of active rules as running aggregates: the sum of openings and closings is its height,
 and the place at each height holds the rule opened there last. A range starts from one carried row, the stack at
 its lower border. The rule on top of the stack is the longest that fits.
@@ -101,9 +101,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[
     nothing = F.lit(None).cast(worded.schema["entry"].dataType).alias("entry")
     raw = F.col("key").cast("binary")
 
-    def event(range_: Column, at: Column, turn: int, step: int, entry: Column, host: Column | None = None, path: Column | None = None) -> list[Column]:
-        host, path = (F.lit("") if c is None else c for c in (host, path))
-        return [range_.alias("range"), at.alias("at"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), entry, host.alias("host"), path.alias("path")]
+    def event(range_: Column, at: Column, turn: int, step: int, entry: Column, key: Column | None = None) -> list[Column]:
+        return [range_.alias("range"), at.alias("at"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), entry, (F.lit("") if key is None else key).alias("key")]
 
     low, high = _range_of(runs, below).alias("low"), _range_of(runs, lambda b: below(b) | F.startswith(b, F.col("key"))).alias("high")
     rules_at = worded.select("key", "entry", low, high)
@@ -113,12 +112,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[
     carried = rules_at.where("high > low").select(F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("range"), "entry")
     carried = carried.groupBy("range").agg(F.sort_array(F.collect_list("entry")).alias("stack")).select("range", F.explode("stack").alias("entry"))
     carried = carried.select(*event(F.col("range"), F.lit(b""), 0, 1, F.col("entry")))
-    asked = keys.select(*event(_range_of(runs, below), raw, 2, 0, nothing, F.col("host"), F.col("path")))
+    # each key is swept once, however many URLs have it: the home pages of all hosts below one rule share theirs
+    asked = keys.select("key").distinct().select(*event(_range_of(runs, below), raw, 2, 0, nothing, F.col("key")))
 
     order = ("at", "turn", F.col("entry.long"))
     height = F.sum("step").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     swept = asked.unionByName(opens).unionByName(closes).unionByName(carried).withColumn("height", height).where("step >= 0")
     top = F.last("entry", ignorenulls=True).over(Window.partitionBy("range", "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     met = swept.withColumn("top", top).where("turn = 2 AND top IS NOT NULL")
-    best = common.materialize(met.groupBy("host", "path").agg(F.max("top").alias("best")), "url-verdicts")  # joined as a table, so that Spark can split a hot URL's rows
+    tops = common.materialize(met.select("key", "top"), "key-verdicts")  # joined as tables, so that Spark can split a hot key's rows and a hot URL's
+    best = common.materialize(keys.join(tops, "key").groupBy("host", "path").agg(F.max("top").alias("best")), "url-verdicts")
     return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -34,3 +34,14 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [tuple(r) for r in url_filter.judge_urls(df, rules, keep=("page_id",)).collect()] == [(1, "a.com", "/", None, "allow")]
     assert url_filter.judge_urls(df.limit(0), rules, keep=("page_id",)).count() == 0
+
+
+def test_home_pages_of_many_hosts_share_no_task(spark):
+    """Half of 4,000 hosts have the path ``/``: their keys below ``com/`` are one, which is swept as one row."""
+    from pyspark.sql import functions as F
+
+    urls = spark.range(4000).select(F.concat(F.lit("http://h"), "id", F.lit(".com/"), F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("p"), "id"))).alias("url"))
+    rules = spark.createDataFrame([("com", "/", "allow"), ("h8.com", "/", "block"), ("com", "/p1", "block")], "host string, path string, verdict string")
+    got = {(x.host, x.path): (x.rule, x.verdict) for x in url_filter.judge_urls(urls, rules).collect()}
+    assert len(got) == 4000 and got["h8.com", "/"] == ("h8.com/", "block") and got["h4.com", "/"] == ("com/", "allow")
+    assert all(v == (("com/p1", "block") if p.startswith("/p1") else ("h8.com/", "block") if h == "h8.com" else ("com/", "allow")) for (h, p), v in got.items())

@@ -57,6 +57,34 @@ def translate(seqs: pa.Array) -> pa.Array:
     return pa.array([amino_letters(s.as_py() or "") for s in seqs], pa.string())
 
 
+def _possible(codon: str) -> tuple[str, ...]:
+    """Amino acids that a triplet of IUPAC letters may stand for, sorted; X alone for fewer than three letters, nothing for a letter that is none."""
+    if len(codon) < 3:
+        return ("X",)
+    sets = [IUPAC.get("T" if c == "U" else c, "") for c in codon.upper()[:3]]
+    return tuple(sorted({AMINO_ACIDS[16 * "TCAG".index(a) + 4 * "TCAG".index(b) + "TCAG".index(c)] for a in sets[0] for b in sets[1] for c in sets[2]}))
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def possible_amino_acids(codons: pa.Array) -> pa.Array:
+    """The amino acids that each triplet of IUPAC nucleotide letters may stand for, in order; null for null or for letters that are no nucleotide codes."""
+    known: dict[str, list[str] | None] = {}
+    for c in codons.unique():
+        if (text := c.as_py()) is not None:
+            known[text] = list(_possible(text)) or None
+    return pa.array([known.get(c.as_py()) for c in codons], pa.list_(pa.string()))
+
+
+def ambiguous_amino_acid(possible: Column) -> Column:
+    """The one amino acid of a list of possible ones, X where there are several; null for null."""
+    return F.when(F.size(possible) == 1, possible[0]).when(possible.isNotNull(), F.lit("X"))
+
+
+def codon_matches(codon: Column, possible: Column, amino: Column) -> Column:
+    """Whether a codon, with its possible amino acids, agrees with one: it is among them, or is X and the codon holds a letter other than A, C, G and T."""
+    return F.array_contains(possible, amino) | ((amino == "X") & codon.rlike("[^ACGT]"))
+
+
 def kmer_counts(seq: Column, k: int) -> Column:
     """array<struct(kmer, n)>: how often each substring of k letters stands in a sequence; empty below k letters or for null."""
 

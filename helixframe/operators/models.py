@@ -368,6 +368,24 @@ def pca(df: DataFrame, row: str, values: Sequence[str], k: int) -> DataFrame:
     return df.dropna(subset=list(values)).select(row, *scores)
 
 
+def explained(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(component, eigenvalue, expected, useful) of the correlation matrix of numeric columns, from one aggregation: by the broken stick, a component is useful whose eigenvalue exceeds 1/k + 1/(k+1) + .. + 1/p.
+
+    Rows with a null are left out; a column that does not vary correlates with none.
+    """
+    cols, p = [F.col(c).cast("double") for c in values], len(values)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    got = df.dropna(subset=list(values)).agg(*[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((p, p))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"] or 0.0
+    sd = np.sqrt(np.diag(cov))
+    corr = np.divide(cov, np.outer(sd, sd), out=np.eye(p), where=np.outer(sd, sd) > 0)
+    eigen = np.linalg.eigvalsh(corr)[::-1]
+    expected = [sum(1 / i for i in range(k, p + 1)) for k in range(1, p + 1)]
+    return df.sparkSession.createDataFrame([(k, float(e), x, bool(e > x)) for k, (e, x) in enumerate(zip(eigen, expected))], "component int, eigenvalue double, expected double, useful boolean")
+
+
 def gram_components(gram: DataFrame, k: int, rounds: int = 6, spare: int = 6, seed: int = 1) -> tuple[DataFrame, list[float]]:
     """Leading eigenvectors of a symmetric matrix of rows (i, j, value), given as its lower triangle: (i, component, score), scores scaled by the root of
     the eigenvalue; and the k greatest eigenvalues.

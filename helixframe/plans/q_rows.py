@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import sequence
 from helixframe.operators import alignment, frames, genotype, models, pruning, tree
 from helixframe.plans.q_genotype import dosages
 from helixframe.plans.q_sequence import _DNA, dna
@@ -117,7 +118,18 @@ def hypermutation_ratios(spark, d):
     return got.select("doc_id", "c.*", *[F.round(x, 6).alias(n) for x, n in zip(alignment.hypermutation_ratios(F.col("c")), ("odds_ratio", "rate_ratio", "phi"))])
 
 
-QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals, hypermutation_ratios)}
+def ambiguous_codons(spark, d):
+    """The first three letters of parts' names, as IUPAC codes."""
+    p = table(spark, d, "part").select("p_partkey", F.upper(F.substring("p_name", 1, 3)).alias("codon"))
+    p = p.where(p.codon.rlike("^[ACGTRYSWKMBDHVN]{3}$")).withColumn("possible", sequence.possible_amino_acids("codon"))
+    return p.select("p_partkey", F.array_join("possible", "").alias("possible"), sequence.ambiguous_amino_acid(F.col("possible")).alias("amino"), sequence.codon_matches(F.col("codon"), F.col("possible"), F.lit("X")).alias("x"))
+
+
+def broken_stick(spark, d):
+    return models.explained(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("component", F.round("eigenvalue", 8).alias("eigenvalue"), F.round("expected", 8).alias("expected"), "useful")
+
+
+QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals, hypermutation_ratios, ambiguous_codons, broken_stick)}
 
 _T = "SELECT p_partkey, p_name AS a, lower(p_type) AS t FROM part"
 _SUB = "SELECT DISTINCT p_partkey, t, a, substr(t, CAST(i AS INT), CAST(n AS INT)) AS s FROM x, range(1, 40) r(i), range(0, 40) q(n) WHERE i <= length(t) AND i + n - 1 <= length(t)"
@@ -141,4 +153,7 @@ ORACLES = {
       z AS (SELECT *, mutated::DOUBLE AS a, control_mutated::DOUBLE AS b, (possible - mutated)::DOUBLE AS c, (control_possible - control_mutated)::DOUBLE AS d FROM c)
       SELECT doc_id, mutated, possible, control_mutated, control_possible, CASE WHEN c > 0 AND d > 0 AND b > 0 THEN round(a / c / (b / d), 6) END AS odds_ratio, CASE WHEN a + c > 0 AND b > 0 THEN round(a / (a + c) / (b / (b + d)), 6) END AS rate_ratio,
         CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN round((a * d - b * c) / sqrt((a + b) * (c + d) * (a + c) * (b + d)), 6) END AS phi FROM z""",
+    "ambiguous_codons": "WITH m(l, bs) AS (VALUES ('A', 'A'), ('C', 'C'), ('G', 'G'), ('T', 'T'), ('R', 'AG'), ('Y', 'CT'), ('S', 'CG'), ('W', 'AT'), ('K', 'GT'), ('M', 'AC'), ('B', 'CGT'), ('D', 'AGT'), ('H', 'ACT'), ('V', 'ACG'), ('N', 'ACGT')), b AS (SELECT l, strpos('TCAG', unnest(string_split(bs, ''))) - 1 AS n FROM m), p AS (SELECT p_partkey, upper(left(p_name, 3)) AS c FROM part WHERE regexp_full_match(upper(left(p_name, 3)), '[ACGTRYSWKMBDHVN]{3}')),"
+    " a AS (SELECT DISTINCT p_partkey, c, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * x.n + 4 * y.n + z.n + 1 AS INT), 1) AS a FROM p JOIN b x ON x.l = c[1] JOIN b y ON y.l = c[2] JOIN b z ON z.l = c[3]) SELECT p_partkey, string_agg(a, '' ORDER BY a) AS possible, CASE WHEN count(*) = 1 THEN min(a) ELSE 'X' END AS amino, regexp_matches(any_value(c), '[^ACGT]') AS x FROM a GROUP BY 1",
+    "broken_stick": "WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT CAST(k AS INTEGER) AS component, round(CASE WHEN k = 0 THEN 1 + r ELSE 1 - r END, 8) AS eigenvalue, CAST(1.5 - k AS DOUBLE) AS expected, CASE WHEN k = 0 THEN 1 + r ELSE 1 - r END > 1.5 - k AS useful FROM r, range(2) t(k)",
 }

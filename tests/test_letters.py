@@ -64,3 +64,11 @@ def test_hypermutation(spark):
                     want[k] += b == "A" + a[1:]
                     want[k + 1] += b in (a, "A" + a[1:])
         assert list(x) == want
+
+
+def test_ambiguous_codons(spark):
+    rows = [("ATG",), ("TTY",), ("ATN",), ("ata",), ("AUG",), ("NNN",), ("TA",), ("A?G",), (None,), ("MGR",)]
+    df = spark.createDataFrame(rows, "c string").withColumn("p", sequence.possible_amino_acids("c"))
+    got = {x.c: (x.p, x.a) for x in df.select("c", "p", sequence.ambiguous_amino_acid(F.col("p")).alias("a")).collect()}
+    assert got["ATG"] == (["M"], "M") and got["TTY"] == (["F"], "F") and got["ATN"] == (["I", "M"], "X") and got["ata"] == (["I"], "I") and got["AUG"] == (["M"], "M")
+    assert got["TA"] == (["X"], "X") and got["A?G"] == (None, None) and got[None] == (None, None) and got["MGR"] == (["R"], "R") and len(got["NNN"][0]) == 21

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import multitest
 
+# A published example of p-values whose threshold at 0.2 is known.
 P = [0.01, 0.032, 0.07, 0.07, 0.2, 0.38, 0.48, 0.49, 0.6, 0.68, 0.74, 0.97]
 
 

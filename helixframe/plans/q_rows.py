@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence
-from helixframe.operators import alignment, frames, genotype, models, pruning, tree
+from helixframe.operators import alignment, frames, genotype, models, progressive, pruning, tree
 from helixframe.plans.q_genotype import dosages
-from helixframe.plans.q_sequence import _DNA, dna
+from helixframe.plans.q_sequence import _DNA, _NAMES, dna, names
 from helixframe.sources import annotations
 from helixframe.sources.tables import table
 
@@ -129,7 +129,15 @@ def broken_stick(spark, d):
     return models.explained(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("component", F.round("eigenvalue", 8).alias("eigenvalue"), F.round("expected", 8).alias("expected"), "useful")
 
 
-QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals, hypermutation_ratios, ambiguous_codons, broken_stick)}
+def family_alignments(spark, d):
+    """Parts' letters in 150 families aligned: residues as they were, one width a family."""
+    s = names(spark, d).withColumn("family", F.col("id") % 150)
+    got = progressive.align_families(s, "family", "id", "seq")
+    width = got.groupBy(F.col("family").alias("f")).agg((F.countDistinct(F.length("aligned")) == 1).alias("even"))
+    return got.join(width, F.col("family") == F.col("f")).select("id", F.replace("aligned", F.lit("-"), F.lit("")).alias("residues"), "even")
+
+
+QUERIES = {f.__name__: f for f in (local_alignment_scores, fitting_alignment_scores, overlap_alignment_scores, common_subsequences, newick_leaves, newick_supports, alleles_in_key_set, annotated_counts, imputed_markers, essentiality_classes, renamed_distinct_columns, likelihood_ratios, unrelated_individuals, hypermutation_ratios, ambiguous_codons, broken_stick, family_alignments)}
 
 _T = "SELECT p_partkey, p_name AS a, lower(p_type) AS t FROM part"
 _SUB = "SELECT DISTINCT p_partkey, t, a, substr(t, CAST(i AS INT), CAST(n AS INT)) AS s FROM x, range(1, 40) r(i), range(0, 40) q(n) WHERE i <= length(t) AND i + n - 1 <= length(t)"
@@ -140,7 +148,7 @@ ORACLES = {
     "fitting_alignment_scores": f"WITH x AS ({_T}) SELECT p_partkey, CAST(-min(levenshtein(s, left(a, 4))) AS DOUBLE) AS score FROM ({_SUB}) GROUP BY 1",
     "overlap_alignment_scores": "WITH x AS (SELECT p_partkey, p_name AS a, substr(p_name, CAST(length(p_name) // 2 AS INT)) AS b FROM part) SELECT p_partkey, CAST(max(CASE WHEN right(a, CAST(n AS INT)) = left(b, CAST(n AS INT)) AND n <= length(b) THEN n ELSE 0 END) AS DOUBLE) AS score FROM x, range(0, 40) r(n) WHERE n <= length(a) GROUP BY 1",
     "newick_leaves": "SELECT c_nationkey, 'c' || c_custkey AS leaf, CAST(0.5 AS DOUBLE) AS length FROM customer",
-    "newick_supports": f"WITH m AS ({_MID}), t AS (SELECT c_nationkey, sum(n) AS total, min(first) AS first FROM m GROUP BY 1), s AS (SELECT m.c_nationkey, m, CASE WHEN m.first = t.first THEN total - n ELSE n END AS leaves, total FROM m JOIN t USING (c_nationkey)) SELECT c_nationkey, CAST(leaves AS INTEGER) AS leaves, round((m * 10 + 35) / 95.0, 4)::DOUBLE AS support FROM s WHERE leaves > 1 AND leaves < total - 1 AND (m * 10 + 35) / 95.0 >= 0.6",
+    "newick_supports": f"WITH m AS ({_MID}), t AS (SELECT c_nationkey, sum(n) AS total, min(first) AS first, max(m * 10 + 35) AS most FROM m GROUP BY 1), s AS (SELECT m.c_nationkey, (m * 10 + 35) / CAST(most AS DOUBLE) AS support, CASE WHEN m.first = t.first THEN total - n ELSE n END AS leaves, total FROM m JOIN t USING (c_nationkey)) SELECT c_nationkey, CAST(leaves AS INTEGER) AS leaves, round(support, 4) AS support FROM s WHERE leaves > 1 AND leaves < total - 1 AND support >= 0.6",
     "alleles_in_key_set": f"WITH v AS ({_V}) SELECT chr, pos, alt, allele FROM v WHERE (pos % 30 = 0 OR pos % 50 = 0) AND pos % 20 <> 0",
     "annotated_counts": f"WITH v AS ({_V}), n AS (SELECT l_partkey * 10 AS pos, count(*) AS n FROM lineitem GROUP BY 1) SELECT chr, pos, alt, n FROM v JOIN n USING (pos) WHERE alt = 'G'",
     "imputed_markers": "SELECT 'rs' || p_partkey AS snp, p_partkey * 10 AS pos FROM part WHERE p_size / 64 > 0.4 AND p_partkey % 8 <> 0",
@@ -156,4 +164,5 @@ ORACLES = {
     "ambiguous_codons": "WITH m(l, bs) AS (VALUES ('A', 'A'), ('C', 'C'), ('G', 'G'), ('T', 'T'), ('R', 'AG'), ('Y', 'CT'), ('S', 'CG'), ('W', 'AT'), ('K', 'GT'), ('M', 'AC'), ('B', 'CGT'), ('D', 'AGT'), ('H', 'ACT'), ('V', 'ACG'), ('N', 'ACGT')), b AS (SELECT l, strpos('TCAG', unnest(string_split(bs, ''))) - 1 AS n FROM m), p AS (SELECT p_partkey, upper(left(p_name, 3)) AS c FROM part WHERE regexp_full_match(upper(left(p_name, 3)), '[ACGTRYSWKMBDHVN]{3}')),"
     " a AS (SELECT DISTINCT p_partkey, c, substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * x.n + 4 * y.n + z.n + 1 AS INT), 1) AS a FROM p JOIN b x ON x.l = c[1] JOIN b y ON y.l = c[2] JOIN b z ON z.l = c[3]) SELECT p_partkey, string_agg(a, '' ORDER BY a) AS possible, CASE WHEN count(*) = 1 THEN min(a) ELSE 'X' END AS amino, regexp_matches(any_value(c), '[^ACGT]') AS x FROM a GROUP BY 1",
     "broken_stick": "WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT CAST(k AS INTEGER) AS component, round(CASE WHEN k = 0 THEN 1 + r ELSE 1 - r END, 8) AS eigenvalue, CAST(1.5 - k AS DOUBLE) AS expected, CASE WHEN k = 0 THEN 1 + r ELSE 1 - r END > 1.5 - k AS useful FROM r, range(2) t(k)",
+    "family_alignments": f"SELECT id, seq AS residues, true AS even FROM ({_NAMES})",
 }

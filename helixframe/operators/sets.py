@@ -86,12 +86,14 @@ def downsample_counts(df: DataFrame, count: str, total: int, order: Sequence[str
     return rows.join(ranked, list(order)).crossJoin(F.broadcast(left)).withColumn("sampled", F.col("_base") + (F.col("_n") <= F.col("_left")).cast("long")).drop("_base", "_rest", "_n", "_left", "_sum")
 
 
-def components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root): least node of each connected component, by min-label hooking and pointer jumping; each round ends in a table in the shared folder."""
+def components(edges: DataFrame, u: str, v: str, max_rounds: int | None = None) -> DataFrame:
+    """(node, root): least node of each connected component, by min-label hooking and pointer jumping; each round ends in a table in the shared folder. Rounds go on until nothing changes; where ``max_rounds`` are stated and do not suffice, an error says so."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = stored(e.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
-    while True:
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         near = e.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("_m"))
         hooked = labels.join(near, "node").select("node", "root", F.least("root", "_m").alias("_h"))
         jump = labels.select(F.col("node").alias("_h"), F.col("root").alias("_j"))
@@ -100,6 +102,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         labels = new.select("node", "root")
         if not changed:
             return labels
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
 def verify_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
@@ -30,8 +30,10 @@ from .recurrent_net import END, Adam, Net, Shape
 LOOKUP_WORDS = 100_000
 #: Passes of averaging, of a part of the documents each; the rate of descent in each.
 RATES = (0.02, 0.015, 0.01, 0.005)
-#: Tokens that a task lays out on lanes at a time, and distinct words that it counts before it hands them on.
-BUFFER_TOKENS, BUFFER_WORDS = 3_000_000, 200_000
+#: Tokens that a task lays out on lanes at a time, and words that it counts before it hands the counts on.
+BUFFER_TOKENS, BUFFER_WORDS = 3_000_000, 2_000_000
+#: Tokens that a training task sees in a round, about, where partitions are smaller: each task pays for its longest document, whose steps nothing shares.
+TASK_TOKENS = 1_000_000
 LETTERS = 2
 
 
@@ -53,9 +55,13 @@ class Corpus:
         return math.log10(self.tokens + self.distinct + 1)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """The words of UTF-8 bytes, A-Z lower-cased: bytes know no other letters and no other white space than space and \\t to \\r."""
-    return text.lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of UTF-8 texts (binary; null: empty) end to end, A-Z lower-cased, and how many each text has: Arrow's ASCII functions know no other letters and no other white space than space and \\t to \\r."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    words, ends = found.flatten(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
+    kept = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text has nothing beside it
+    number = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])[ends]
+    return words.filter(kept).view(pa.binary()), np.diff(number)
 
 
 def tail_class(word: bytes, tails: int) -> int:
@@ -65,16 +71,22 @@ def tail_class(word: bytes, tails: int) -> int:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over the column ``text`` (binary): counted in each task first, a bounded number of words at a time."""
 
+    def counted(held: list[pa.Array]) -> pa.RecordBatch:
+        words, counts = pa.chunked_array(held, pa.binary()).value_counts().flatten()
+        return pa.RecordBatch.from_arrays([words, counts], ["word", "c"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > BUFFER_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-                seen.clear()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
+            held.append(words_of(batch.column(0))[0])
+            size += len(held[-1])
+            if size >= BUFFER_WORDS:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+        del held
+        common.release()
 
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -103,34 +115,45 @@ def symbols(docs: DataFrame, corpus: Corpus) -> DataFrame:
     """Rows (row, held_out and what else there is, without ``text``) with ``ids`` (symbols as 16-bit numbers, the end last), ``n_tokens``, ``n_known`` and
     ``known_log`` (over words of the lookup list and the end: how many, and the sum of log10(count + 1)), ``tail_log`` (its part from words of tail classes, less the classes' norms) and ``rare`` (words off the list with how often each stands)."""
     s = corpus.shape
-    sent = docs.sparkSession.sparkContext.broadcast((corpus.frequent, corpus.documents, [math.log10(n + w + 1) for n, w in zip(corpus.tail_tokens, corpus.tail_words)]))
+    listed = [w for w, _ in corpus.frequent]
+    symbol = np.array([i + 1 if i < s.words - 1 else s.words + tail_class(w, s.tails) for i, w in enumerate(listed)] + [END], np.uint16)
+    logs = np.log10(np.array([c for _, c in corpus.frequent] + [0], float) + 1)  # a place more, for words off the list
+    norm = np.concatenate([np.zeros(s.words), [math.log10(n + w + 1) for n, w in zip(corpus.tail_tokens, corpus.tail_words)]])
+    sent = docs.sparkSession.sparkContext.broadcast((listed, symbol, logs, norm, corpus.documents))
     others = [f.name for f in docs.schema if f.name != "text"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "ids binary, n_tokens long, n_known long, known_log double, tail_log double, rare array<struct<word: binary, k: long>>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, documents, norms = sent.value
-        number = {w: i for i, (w, _) in enumerate(frequent)}
-        logs = np.log10(np.array([c + 1 for _, c in frequent] or [1], float))
-        symbol = np.array([i + 1 if i < s.words - 1 else s.words + tail_class(w, s.tails) for i, (w, _) in enumerate(frequent)] or [0], np.uint16)
-        norm = np.concatenate([np.zeros(s.words), norms])
+        listed, symbol, logs, norm, documents = sent.value
+        listed = pa.array(listed, pa.binary())
         end_log, end_known = math.log10(documents + 1), int(documents > 0)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                words = words_of(text)
-                at = np.fromiter(map(number.get, words, [-1] * len(words)), np.int64, len(words))
-                ids = np.full(len(words) + 1, END, np.uint16)
-                ids[:-1] = symbol[at]
-                off = np.flatnonzero(at < 0)
-                rare = [words[i] for i in off]
-                ids[off] = [s.words + tail_class(w, s.tails) for w in rare]
-                on = at >= 0
-                log = logs[at[on]]
-                row = ids.astype("<u2").tobytes(), len(ids), int(on.sum()) + end_known, float(log.sum()) + end_log, float(log[ids[:-1][on] >= s.words].sum()) - float(norm[ids].sum()), [{"word": w, "k": k} for w, k in Counter(rare).items()]
-                for column, value in zip(out, row):
-                    column.append(value)
-            types = pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-            got = [pa.array(c, t) for c, t in zip(out, types)]
+            words, sizes = words_of(batch.column(batch.schema.get_field_index("text")))
+            coded = words.dictionary_encode()
+            at, distinct = coded.indices.to_numpy(), coded.dictionary
+            # of each distinct word: its place on the list, its symbol, what it adds to known_log and tail_log
+            place = pc.index_in(distinct, value_set=listed).fill_null(-1).to_numpy()
+            off = place < 0
+            number = symbol[place]
+            number[off] = [s.words + tail_class(w, s.tails) for w in distinct.filter(pa.array(off)).to_pylist()]
+            known, tail = logs[place], np.where(number >= s.words, logs[place], 0) - norm[number]
+            n = len(sizes)
+            doc, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes + 1)
+            ids = np.full(len(at) + n, END, "<u2")
+            ids[np.arange(len(at)) + doc] = number[at]
+            sums = lambda v: np.bincount(doc, v[at], n)  # noqa: E731, B023
+            pairs, times = np.unique((doc * len(off) + at)[off[at]], return_counts=True)
+            rare_doc, rare_word = np.divmod(pairs, max(1, len(off)))
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(rare_word)), pa.array(times, pa.int64())], ["word", "k"])
+            offsets = lambda x: pa.array(np.concatenate([[0], x]), pa.int32())
+            got = [
+                pa.Array.from_buffers(pa.binary(), n, [None, offsets(2 * ends).buffers()[1], pa.py_buffer(ids)]),
+                pa.array(sizes + 1, pa.int64()),
+                pa.array(sums(~off).astype(np.int64) + end_known),
+                pa.array(sums(known) + end_log),
+                pa.array(sums(tail)),
+                pa.ListArray.from_arrays(offsets(np.searchsorted(rare_doc, np.arange(n), side="right")), rare),
+            ]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in others], *got], [*others, "ids", "n_tokens", "n_known", "known_log", "tail_log", "rare"])
         common.release()
 
@@ -160,6 +183,7 @@ def train(coded: DataFrame, corpus: Corpus, seed: int = 1) -> np.ndarray:
     counts[1 : 1 + len(corpus.frequent[: shape.words - 1])] = [c for _, c in corpus.frequent[: shape.words - 1]]
     counts[shape.words :] = corpus.tail_tokens
     flat = shape.start(counts, seed)
+    tasks = -(-corpus.tokens // (len(RATES) * TASK_TOKENS))  # follows the input
     for k, rate in enumerate(RATES):
         sent = spark.sparkContext.broadcast(flat)
 
@@ -172,7 +196,7 @@ def train(coded: DataFrame, corpus: Corpus, seed: int = 1) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.size + 1), pa.int32()), pa.array(np.append(moved, seen), pa.float64())], ["at", "v"])
             common.release()
 
-        part = coded.where(F.pmod(F.xxhash64("row"), F.lit(len(RATES))) == k).select("ids")
+        part = coded.where(F.pmod(F.xxhash64("row"), F.lit(len(RATES))) == k).select("ids").coalesce(max(1, tasks))
         sums = part.mapInArrow(descend, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # a row a parameter
         if sums:
             total = np.zeros(shape.size + 1)

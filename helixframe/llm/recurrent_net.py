@@ -7,7 +7,8 @@ one class's width, whatever the number of words.
 
 Documents are laid end to end on parallel lanes. A lane's state runs on from window to window and starts
 anew after each end symbol, so every token is predicted from its whole document. In training the gradient
-is cut at the window's beginning (truncated backpropagation through time), the state is not.
+is cut at the window's beginning (truncated backpropagation through time), the state is not. Where only the longest
+documents still run, windows are longer, so that a step of descent rests on about as many tokens.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 
 END = 0
-#: Lanes in parallel, steps a window.
-LANES, WINDOW = 512, 16
+#: Lanes in parallel, steps a window; how many times as long a window gets, at most, as lanes come to their end.
+LANES, WINDOW, STRETCH = 512, 16, 16
 
 
 @dataclass(frozen=True)
@@ -98,11 +99,13 @@ class Lanes:
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each window the places in the flat array (steps x lanes still running) and which of them are of the lane."""
-        steps = np.arange(WINDOW)[:, None]
-        for t in range(0, int(self.size.max(initial=0)), WINDOW):
+        t, end = 0, int(self.size.max(initial=0))
+        while t < end:
             on = int((self.size > t).sum())
-            live = steps[: int(self.size[0]) - t] + t < self.size[:on]
-            yield np.where(live, self.first[:on] + t + steps[: len(live)], 0), live
+            steps = np.arange(min(WINDOW * min(STRETCH, len(self.size) // on), end - t))[:, None]
+            live = steps + t < self.size[:on]
+            yield np.where(live, self.first[:on] + t + steps, 0), live
+            t += len(steps)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -133,20 +136,22 @@ class Net:
     def forward(self, inputs: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """States after each step of a window (units x steps x lanes), from inputs (steps x lanes) and the state before (units x lanes); what the way back needs."""
         h, p = self.shape.hidden, self.p
-        fed = np.take(p["table"], inputs, axis=1)
-        fed += p["bias"][:, None, None]
+        table = p["table"] + p["bias"][:, None]
         on, recur = (inputs != END).astype(self.flat.dtype), np.ascontiguousarray(p["recur"].T)
         states, kept = np.empty((h, *inputs.shape), self.flat.dtype), []
         for t in range(len(inputs)):
             before = state * on[t]
             back = recur @ before
-            gates = _logistic(fed[: 2 * h, t] + back[: 2 * h])
-            z, r = gates[:h], gates[h:]
+            fed = np.take(table, inputs[t], axis=1, mode="clip")
+            gates = fed[: 2 * h]
+            gates += back[: 2 * h]
+            z, r = _logistic(gates[:h]), _logistic(gates[h:])
             new = r * back[2 * h :]
-            new += fed[2 * h :, t]
+            new += fed[2 * h :]
             np.tanh(new, out=new)
             step = before - new
-            state = (1 - z) * step
+            state = z * step
+            np.subtract(step, state, out=state)
             state += new
             states[:, t] = state
             kept.append((before, z, r, new, back[2 * h :], step))
@@ -166,11 +171,12 @@ class Net:
             grads["class_bias"] += logit.sum(axis=1)
             back = p["to_class"] @ logit
         order = np.flatnonzero(of < s.word_classes)
-        order = order[np.argsort(of[order], kind="stable")]
+        order = order[np.argsort(of[order].astype(np.uint16) if s.word_classes < 1 << 16 else of[order], kind="stable")]
         ends = np.searchsorted(of[order], np.arange(s.word_classes + 1))
-        sorted_states, words = states[:, order], targets[order] % s.width
+        sorted_states, words = np.take(states, order, axis=1, mode="clip"), targets[order] % s.width
         inside = np.empty(len(order), log_p.dtype)
-        turned = np.empty_like(sorted_states) if grads is not None else None
+        # a column more, of zeros, for tokens of tail classes
+        turned = np.zeros((len(states), len(order) + 1), states.dtype) if grads is not None else None
         for c in range(s.word_classes):
             a, b = ends[c], ends[c + 1]
             if a == b:
@@ -185,7 +191,9 @@ class Net:
                 turned[:, a:b] = p["to_word"][c] @ inner
         log_p[order] += inside
         if grads is not None:
-            back[:, order] += turned
+            place = np.full(len(of), len(order))
+            place[order] = np.arange(len(order))
+            back += np.take(turned, place, axis=1, mode="clip")
         return log_p, back
 
     def backward(self, inputs: np.ndarray, kept: list[tuple], back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
@@ -207,12 +215,13 @@ class Net:
             d += recur @ inner
             d *= on[t]
         fed = fed.reshape(3 * h, -1)
-        grads["bias"] += fed.sum(axis=1)
         keys = inputs.ravel()
         order = np.argsort(keys.astype(np.uint16) if self.shape.symbols < 1 << 16 else keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        grads["table"][:, keys[starts]] += np.add.reduceat(fed[:, order], starts, axis=1)
+        sums = np.add.reduceat(np.take(fed, order, axis=1, mode="clip"), starts, axis=1)
+        grads["table"][:, keys[starts]] += sums
+        grads["bias"] += sums.sum(axis=1)
 
     def log_probabilities(self, docs: Sequence[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document (symbols with the end as last)."""
@@ -224,7 +233,7 @@ class Net:
         for at, live in lanes.windows():
             states, _ = self.forward(lanes.inputs[at], state[:, : at.shape[1]])
             state, places = states[:, -1], at[live]
-            got[places] = self.outputs(states[:, live], lanes.targets[places])[0]
+            got[places] = self.outputs(states.reshape(len(states), -1) if live.all() else states[:, live], lanes.targets[places])[0]
         out = np.zeros(len(docs))
         out[lanes.order] = np.add.reduceat(got, lanes.starts)
         return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 
 def logit(p: Column) -> Column:
@@ -19,9 +21,19 @@ def logsumexp(values: Column) -> Column:
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
+def _printed(x: Column, form: str) -> Column:
+    """Doubles by a C format: the exact binary value is rounded, ties to the even digit, where Java's formatter rounds the shortest decimal half up."""
+
+    @arrow_udf(T.StringType())
+    def printed(v: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else form % a for a in v.to_pylist()], pa.string())
+
+    return printed(x.cast("double"))
+
+
 def fixed(x: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f", x.cast("double"))
+    return _printed(x, f"%.{decimals}f")
 
 
 def scientific(x: Column, decimals: int = 3) -> Column:
-    return F.format_string(f"%.{decimals}e", x.cast("double"))
+    return _printed(x, f"%.{decimals}e")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixframe.functions import sequence
 
@@ -60,16 +60,26 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index("_h", " ", 1).alias("id"), F.trim(F.regexp_replace("_h", r"^\S+", "")).alias("description"), "seq")
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq, quality) of four-line records, by line numbers within each file, since a quality line may begin with ``@`` too.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, value): every line with its number within its file, from 0, and a number for the file; carriage returns are dropped.
 
-    A file is the unit of work: large runs come as many lane or shard files.
+    Rows of a file's split follow each other in the scan, so a line's number is its place in the split and the lines of the
+    file's earlier splits, a row a split that is broadcast; no file is read as a whole.
     """
-    raw = spark.read.text(path, wholetext=True)
-    rows = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    n = F.floor(F.size(rows) / 4).cast("int")
-    record = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(rows, 4 * i + 1, 4))).alias("r")
-    return raw.select(record).where(F.size("r") == 4).select(F.regexp_replace(F.substring_index(F.col("r")[0], " ", 1), "^@", "").alias("id"), F.col("r")[1].alias("seq"), F.col("r")[3].alias("quality"))
+    at = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m")]
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", *at)
+    splits = rows.groupBy("_f", "_s").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_f", "_s", F.dense_rank().over(Window.orderBy("_f")).alias("file"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(splits), ["_f", "_s"]).select("file", (F.col("_m") + F.col("_shift")).alias("n"), F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
+
+
+def fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(id, seq, quality) of four-line records, by line numbers within each file, since a quality line may begin with ``@`` too."""
+    place = F.col("n") % 4
+    line = lambda i: F.max(F.when(place == i, F.col("value")))
+    records = numbered_lines(spark, path).groupBy("file", F.floor(F.col("n") / 4)).agg(line(0).alias("h"), line(1).alias("seq"), line(3).alias("quality"), F.count("*").alias("n")).where("n = 4")
+    return records.select(F.regexp_replace(F.substring_index("h", " ", 1), "^@", "").alias("id"), "seq", "quality")
 
 
 def gmt(spark: SparkSession, path: str) -> DataFrame:

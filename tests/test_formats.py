@@ -104,3 +104,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.significant(df, "p", 0.6).count() == 1 and sinks.significant(df, "p", 1).count() == 2
     call = df.limit(1).select(sinks.hard_calls(0.9, F.lit(1.95)).alias("c")).first().c
     assert (round(call.hom, 2), round(call.het, 2), call.call) == (0.95, 0.05, 2)
+
+
+def test_fastq_in_splits_of_files(spark, tmp_path):
+    """Records that splits of a file cut, carriage returns, an open last record: by line numbers, whatever the splits, and in time in proportion to the lines."""
+    want = []
+    for f, n in enumerate((1, 700, 3)):
+        text = ""
+        for i in range(n):
+            want.append((f"f{f}r{i}", "ACGT"[: i % 5] + "A" * (i % 60), "@" + "I" * (i % 7)))
+            text += f"@{want[-1][0]} lane\r\n{want[-1][1]}\n+\n{want[-1][2]}\r\n"
+        (tmp_path / f"{f}.fastq").write_text(text + ("@open\nAC\n+\n" if f else ""), newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1001")
+    try:
+        got = formats.fastq(spark, str(tmp_path))
+        assert formats.numbered_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

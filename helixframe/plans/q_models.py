@@ -64,12 +64,10 @@ def principal_components(spark, d):
 
 def ld_prune(spark, d):
     """The rule that releases one outdated marker a step, over all individuals."""
-    g = dosages(spark, d)
-    top = g.agg(F.max("ind").alias("top"))  # one row
-    m = g.groupBy("marker").agg(F.map_from_entries(F.collect_list(F.struct("ind", "dosage"))).alias("m")).crossJoin(F.broadcast(top))
-    row = F.transform(F.sequence(F.lit(0).cast("long"), "top"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan"))))
-    m = m.select((F.col("marker") % 2).alias("chr"), (F.col("marker") * 100).alias("pos"), "marker", row.alias("dosages"))
-    return pruning.ld_prune(m, "chr", "pos", "marker", "dosages", 0.3, 1000)
+    known = F.when(F.col("dosage").isNotNull(), F.struct("ind", "dosage"))
+    m = dosages(spark, d).groupBy("marker").agg(F.collect_list(known).alias("m"))
+    m = m.select((F.col("marker") % 2).alias("chr"), (F.col("marker") * 100).alias("pos"), "marker", F.col("m.ind").alias("inds"), F.col("m.dosage").alias("dosages"))
+    return pruning.ld_prune(m, "chr", "pos", "marker", "dosages", 0.3, 1000, "inds")
 
 
 def _expression(spark, d):

@@ -124,3 +124,15 @@ def test_unpenalised_and_nested(table):
         penalised.cross_validated_path(df.limit(0), "k", "y", ["a"])
     with pytest.raises(ValueError, match="penalty"):
         penalised.cross_validated_path(df, "k", "y", ["a"], "l7")
+
+
+def test_products_of_entries_by_either_way():
+    r = np.random.default_rng(6)
+    for n, m, share in ((5, 40, 0.1), (6, 30, 0.9), (1, 1, 1.0), (40, 50, 0.02)):
+        x = np.where(r.random((n, m)) < share, r.normal(size=(n, m)), 0.0)
+        marker, individual = np.nonzero(x)
+        order = r.permutation(len(marker))
+        for most in (3, 1 << 20):
+            kernel = np.zeros((n, n))
+            regionsets.add_products(kernel, marker[order], individual[order], x[marker, individual][order], most)
+            assert np.allclose(kernel, x @ x.T)
